@@ -6,16 +6,53 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import near_dup
+from lorekeep.llm import exact_dedup, mixing, near_dup, quality, sharding
 from lorekeep.llm.common import table
 
 
+def op1_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
+    return quality.quality(table(spark, sf_dir, "documents"), trusted)
+
+
+def op3_merge_index_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_plan(table(spark, sf_dir, "documents"))
+
+
+def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.byte_shards(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op6_hyperminhash_near_dup": op6_hyperminhash_near_dup,
+    f.__name__: f
+    for f in (
+        op1_ngram_ratio_quality,
+        op3_merge_index_exact_dedup,
+        op6_hyperminhash_near_dup,
+        op8_sainte_lague_mix,
+        op10_prefix_sum_shards,
+    )
 }
 
-ORACLES: dict[str, str] = {}
+#: Of equal texts the largest doc_id stays.
+OP3_SQL = """
+SELECT doc_id,
+       max(doc_id) OVER g AS keep_id,
+       count(*) OVER g AS group_size,
+       doc_id = max(doc_id) OVER g AS kept,
+       sha256(coalesce(text, '')) AS text_sha256
+FROM documents
+WINDOW g AS (PARTITION BY coalesce(text, ''))
+"""
+
+ORACLES: dict[str, str] = {
+    "op3_merge_index_exact_dedup": OP3_SQL,
+}
