@@ -6,9 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact_dedup, mixing, near_dup, quality, sharding
+from lorekeep.llm import exact_dedup, mixing, near_dup, quality, sentencepiece_codec, sharding
 from lorekeep.llm.common import table
 
+#: A public SentencePiece model; any other file can be given.
+MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
+
 
 def op1_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
@@ -19,6 +22,10 @@ def op3_merge_index_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_streaming_viterbi_pieces(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
+    return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), sentencepiece_codec.read_model(model_path))
+
+
 def op6_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -36,6 +43,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (
         op1_ngram_ratio_quality,
         op3_merge_index_exact_dedup,
+        op5_streaming_viterbi_pieces,
         op6_hyperminhash_near_dup,
         op8_sainte_lague_mix,
         op10_prefix_sum_shards,
