@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import exact_dedup, mixing, near_dup, quality, sentencepiece_codec, sharding
+from lorekeep.llm import archive, exact_dedup, mixing, near_dup, quality, sentencepiece_codec, sharding
 from lorekeep.llm.common import table
 
 #: A public SentencePiece model; any other file can be given.
@@ -30,6 +30,10 @@ def op6_hyperminhash_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive.pages_through_archives(table(spark, sf_dir, "pages"))
+
+
 def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
@@ -45,6 +49,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op3_merge_index_exact_dedup,
         op5_streaming_viterbi_pieces,
         op6_hyperminhash_near_dup,
+        op7_arc_to_warc,
         op8_sainte_lague_mix,
         op10_prefix_sum_shards,
     )
