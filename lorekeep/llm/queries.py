@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import archive, exact_dedup, mixing, near_dup, quality, sentencepiece_codec, sharding
+from lorekeep.llm import archive, exact_dedup, mixing, near_dup, quality, sentencepiece_codec, sharding, toxicity
 from lorekeep.llm.common import table
 
 #: A public SentencePiece model; any other file can be given.
@@ -18,6 +18,10 @@ def op1_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.quality(table(spark, sf_dir, "documents"), trusted)
 
 
+def op2_weak_supervision_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_merge_index_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
@@ -46,6 +50,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_ngram_ratio_quality,
+        op2_weak_supervision_toxicity,
         op3_merge_index_exact_dedup,
         op5_streaming_viterbi_pieces,
         op6_hyperminhash_near_dup,
