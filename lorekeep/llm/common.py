@@ -75,3 +75,26 @@ def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Colu
     left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
     right = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
     return left.join(right, [*keys, "_salt"], how).drop("_salt")
+
+
+#: Rows of one key beyond which it is hot, and dealt over several tasks.
+HOT_ROWS = 256
+
+
+def hot_keys(counted: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """A filter of the keys whose `count` makes them hot, as a written table of bounded size."""
+    hot = counted.where(F.col(count) > HOT_ROWS)
+    return written(key_filter(hot, F.xxhash64(*keys)), "hot")
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:
+    """left join right where right has one row a key, and only hot keys are dealt over `salts` tasks.
+
+    Both sides ask the same filter, so they agree on a key that it takes for hot by mistake.
+    """
+    h = F.xxhash64(*keys)
+    salt = F.when(F.col("_hit"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
+    left = maybe_in(left, h, hot).withColumn("_salt", salt).drop("_hit")
+    all_salts = F.when(F.col("_hit"), F.array(*[F.lit(i) for i in range(salts)])).otherwise(F.array(F.lit(0)))
+    right = maybe_in(right, h, hot).withColumn("_salt", F.explode(all_salts)).drop("_hit")
+    return left.join(right, [*keys, "_salt"], how).drop("_salt")

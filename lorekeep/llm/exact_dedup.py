@@ -9,7 +9,7 @@ that meet in a memtable never leave the task, so a huge group of copies costs on
 (2) Compaction merges all runs: per digest the best doc_id and the sum of copies. (3) Digests
 with more than one copy are hits. A fixed-size filter of the hits, which is all that is broadcast,
 picks the rows whose texts move at all; every such text is compared byte for byte with that of
-the row that stays. A text that differs although its digest agrees is grouped again by its text.
+the row that stays. A text that differs although its digest agrees is grouped again, by a second full digest.
 
 Defined results: rows that repeat a doc_id and its text share a verdict (both kept, group_size
 counts both; `one_of_each` then leaves one of them); a null doc_id stays only if its whole group
@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import key_filter, maybe_in, salted_join, written
+from lorekeep.llm.common import hot_keys, key_filter, maybe_in, skew_join, written
 
 #: Digests that a memtable holds before it is flushed: some 20 MB of a task's memory.
 MEMTABLE_ROWS = 100_000
@@ -124,53 +124,64 @@ def probe(runs: DataFrame, keys: DataFrame) -> DataFrame:
     return hits.groupBy("digest").agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
 
 
-def _judged(docs: DataFrame, digest) -> tuple[DataFrame, DataFrame]:
-    """(single rows, rows of groups): docs with keep_id, group_size and kept."""
+def _split(docs: DataFrame, digest) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(rows surely without a twin, the others, of these the rows that stay, the digests with copies)."""
     docs = docs.withColumn("_id", F.col("doc_id").cast("long")).withColumn("_text", F.coalesce(F.col("text").cast("string"), F.lit(""))).withColumn("_digest", digest(F.col("_text")))
     runs = build_runs(docs.select(F.col("_id").alias("doc_id"), F.col("_digest").alias("digest")))
     index = compact(runs)
-    hits = index.where("copies > 1").select(F.col("digest").alias("_digest"), F.col("best").alias("_best"))
+    hits = index.where("copies > 1").select(F.col("digest").alias("_digest"), F.col("best").alias("_best"), "copies")
     hits = written(hits, "hits")
     seen = maybe_in(docs, F.xxhash64("_digest"), key_filter(hits, F.xxhash64("_digest"))).withColumnRenamed("_hit", "_maybe")
     single = seen.where("not _maybe")
     some = seen.where("_maybe")
-
-    # the texts that stay, one a digest: found by a filter on (digest, doc_id), so no other text moves
+    # the rows that stay, one a digest: found by a filter on (digest, doc_id), so no other text moves
     pair = F.xxhash64("_digest", "_best")
-    stay = maybe_in(some, F.xxhash64("_digest", "_id"), key_filter(hits, pair)).where("_hit").select("_digest", F.col("_id").alias("_best"), F.col("_text").alias("_stays"))
-    stay = hits.join(stay, (hits["_digest"] == stay["_digest"]) & hits["_best"].eqNullSafe(stay["_best"])).select(hits["_digest"], hits["_best"], "_stays").dropDuplicates(["_digest"])
-    met = salted_join(some, stay, ["_digest"], F.struct("_id"), "left")
+    stay = maybe_in(some, F.xxhash64("_digest", "_id"), key_filter(hits, pair)).where("_hit").drop("_hit")
+    best = hits.select(F.col("_digest").alias("_d"), "_best")
+    stay = stay.join(best, (F.col("_digest") == F.col("_d")) & F.col("_id").eqNullSafe(F.col("_best"))).drop("_d").dropDuplicates(["_digest"])
+    return single, some, stay, hits
+
+
+def _verified(some: DataFrame, stay: DataFrame, hits: DataFrame) -> DataFrame:
+    """(_id, _digest, _sha, _best, state): 0 without a twin, 1 equal to the row that stays, 2 different; written, without texts."""
+    stays = stay.select("_digest", "_best", F.col("_text").alias("_stays"))
+    met = skew_join(some.withColumn("_sha", full_digest(F.col("_text"))), stays, ["_digest"], F.struct("_id", "_text"), hot_keys(hits, ["_digest"], "copies"), "left")
     same = F.col("_stays").cast("binary") == F.col("_text").cast("binary")
-    alone = F.col("_stays").isNull()
-    met = met.withColumn("_state", F.when(alone, 0).when(same, 1).otherwise(2))
-
-    # a digest with one differing text: all its rows are grouped by the text itself
-    clash = written(met.where("_state = 2").select("_digest").distinct(), "clashes")
-    if clash.isEmpty():
-        sizes = met.where("_state = 1").groupBy("_digest").agg(F.count("*").alias("group_size"))
-        grouped = salted_join(met.where("_state = 1"), sizes, ["_digest"], F.struct("_id"))
-    else:
-        exact = met.where("_state > 0").groupBy("_digest", "_text").agg(F.max("_id").alias("_best"), F.count("*").alias("group_size"))
-        grouped = salted_join(met.where("_state > 0").drop("_best"), exact, ["_digest", "_text"], F.struct("_id"))
-    lone = single.unionByName(met.where("_state = 0").select(*single.columns))
-    lone = lone.withColumn("keep_id", F.col("_id")).withColumn("group_size", F.lit(1).cast("long")).withColumn("kept", F.lit(True))
-    grouped = grouped.withColumn("keep_id", F.col("_best")).withColumn("kept", F.col("_id").eqNullSafe(F.col("_best")))
-    return lone, grouped.select(*lone.columns)
+    state = F.when(F.col("_stays").isNull(), 0).when(same, 1).otherwise(2)
+    return written(met.select("_id", "_digest", "_sha", "_best", state.alias("_state")), "verified")
 
 
 def exact_duplicates(docs: DataFrame, digest=full_digest) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    lone, grouped = _judged(docs.select("doc_id", "text"), digest)
-    sha = F.sha2(F.col("_text").cast("binary"), 256)
-    return lone.unionByName(grouped).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", sha.alias("text_sha256"))
+    single, some, stay, hits = _split(docs.select("doc_id", "text"), digest)
+    met = _verified(some, stay, hits)
+    if met.where("_state = 2").isEmpty():
+        sizes = met.where("_state = 1").groupBy("_digest").agg(F.count("*").alias("n"))
+        grouped = skew_join(met.where("_state = 1"), sizes, ["_digest"], F.col("_id"), hot_keys(hits, ["_digest"], "copies"))
+    else:  # digests that deceive: their rows are grouped by a full digest together with the weak one
+        exact = met.where("_state > 0").groupBy("_digest", "_sha").agg(F.max("_id").alias("_best"), F.count("*").alias("n"))
+        keys = ["_digest", "_sha"]
+        grouped = skew_join(met.where("_state > 0").drop("_best"), exact, keys, F.col("_id"), hot_keys(exact, keys, "n"))
+    lone = met.where("_state = 0").select("_id", "_sha").unionByName(single.select("_id", full_digest(F.col("_text")).alias("_sha")))
+    lone = lone.select("_id", F.col("_id").alias("keep_id"), F.lit(1).cast("long").alias("group_size"), F.lit(True).alias("kept"), "_sha")
+    grouped = grouped.select("_id", F.col("_best").alias("keep_id"), F.col("n").alias("group_size"), F.col("_id").eqNullSafe(F.col("_best")).alias("kept"), "_sha")
+    return lone.unionByName(grouped).select(F.col("_id").alias("doc_id"), "keep_id", "group_size", "kept", F.lower(F.hex("_sha")).alias("text_sha256"))
 
 
 def one_of_each(docs: DataFrame, digest=full_digest) -> DataFrame:
     """docs without all but one row of each distinct text, with all their columns."""
     columns = docs.columns
-    lone, grouped = _judged(docs, digest)
-    nth = F.row_number().over(Window.partitionBy("_digest", "_text").orderBy(F.lit(0)))
-    return lone.select(columns).unionByName(grouped.where("kept").withColumn("_nth", nth).where("_nth = 1").select(columns))
+    single, some, stay, hits = _split(docs, digest)
+    met = _verified(some, stay, hits)
+    if met.where("_state = 2").isEmpty():
+        # what stays of the hits is `stay`; rows that the filter let through without a twin stay too
+        alone = met.where("_state = 0").select("_digest").distinct()
+        lone = maybe_in(some, F.xxhash64("_digest"), key_filter(alone, F.xxhash64("_digest"))).where("_hit").drop("_hit")
+        kept = lone.join(alone, "_digest", "left_semi").select(columns).unionByName(stay.select(columns))
+    else:
+        nth = F.row_number().over(Window.partitionBy("_digest", "_text").orderBy(F.col("_id").desc_nulls_last()))
+        kept = some.withColumn("_nth", nth).where("_nth = 1").select(columns)
+    return single.select(columns).unionByName(kept)
 
 
 def documents_index(spark: SparkSession, docs: DataFrame) -> DataFrame:
