@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm import tokens as tk
-from lorekeep.llm.common import key_filter, maybe_in, salted_join, written
+from lorekeep.llm.common import hot_keys, key_filter, maybe_in, skew_join, written
 
 REGISTERS, ROWS, BANDS = 128, 4, 32
 MANTISSA = 10
@@ -175,7 +175,9 @@ def checker(percent: int):
 def similar_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are links, by estimate and then by their full sets."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
-    both = salted_join(pairs, side("a"), ["a"], F.col("b")).join(side("b"), "b")
+    pairs = written(pairs, "pairs")
+    hot = hot_keys(pairs.groupBy("a").count(), ["a"], "count")
+    both = skew_join(pairs, side("a"), ["a"], F.col("b"), hot).join(side("b"), "b")
     likely = written(both.mapInArrow(estimator(percent), "a long, b long"), "likely")
     ids = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
     some = maybe_in(docs, F.xxhash64("doc_id"), key_filter(ids, F.xxhash64("cid"))).where("_hit").select("doc_id", "text")
@@ -183,7 +185,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int,
     sets = written(sets.where(F.size("shingles") > 0), "sets")
     a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))
-    full = salted_join(likely, a, ["a"], F.col("b")).join(b, "b").select("a", "b", "set_a", "set_b")
+    full = skew_join(likely, a, ["a"], F.col("b"), hot).join(b, "b").select("a", "b", "set_a", "set_b")
     return written(full.mapInArrow(checker(percent), "a long, b long").distinct(), "links")
 
 
@@ -195,21 +197,27 @@ def components(links: DataFrame) -> DataFrame:
     by joins and minima, each round written as a table.
     """
     edges = written(links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a")).where("u <> v").distinct(), "edges")
-    label = written(edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m")).select("v", F.least("v", "m").alias("p")), "labels")
+    degree = edges.groupBy(F.col("u").alias("v")).agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    label = written(degree.select("v", F.least("v", "m").alias("p"), "n"), "labels")
+    hot = hot_keys(label, ["v"], "n")
+    label = label.select("v", "p")
     while True:
-        near = salted_join(edges, label.select(F.col("v").alias("u"), "p"), ["u"], F.col("v")).groupBy("v").agg(F.min("p").alias("m"))
+        to = edges.select(F.col("u").alias("v"), F.col("v").alias("of"))
+        near = skew_join(to, label, ["v"], F.col("of"), hot).groupBy(F.col("of").alias("v")).agg(F.min("p").alias("m"))
         own = label.join(near, "v").select("v", "p", F.least("p", "m").alias("m"))
         roots = own.groupBy(F.col("p").alias("v")).agg(F.min("m").alias("r"))
         new = own.join(roots, "v", "left").select("v", F.col("p").alias("was"), F.least("m", F.coalesce("r", "m")).alias("p"))
-        new = written(new, "hooked")
+        # then every label is replaced by its own label
         up = new.select(F.col("v").alias("p"), F.col("p").alias("pp"))
-        jumped = salted_join(new, up, ["p"], F.col("v"), "left").select("v", "was", F.least("p", F.coalesce("pp", "p")).alias("p"))
+        popular = hot_keys(new.groupBy("p").count(), ["p"], "count")
+        jumped = skew_join(new, up, ["p"], F.col("v"), popular, "left").select("v", "was", F.least("p", F.coalesce("pp", "p")).alias("p"))
         label = written(jumped, "labels")
         if label.where("p <> was").isEmpty():
             return label.select("v", F.col("p").alias("comp"))
+        label = label.select("v", "p")
 
 
-def _blocks(rows: DataFrame) -> DataFrame:
+def _blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
     """Rows (band, key, cid, comp, n, bands, ga, gb, side) of block pairs to compare in buckets with several components.
 
     The bucket's largest component needs no comparing with itself: its blocks (A) meet those of
@@ -219,7 +227,7 @@ def _blocks(rows: DataFrame) -> DataFrame:
     sizes = rows.groupBy(*bucket, "comp").agg(F.count("*").alias("c"))
     tops = sizes.groupBy(*bucket).agg(F.max(F.struct("c", "comp")).alias("top"), F.sum("c").alias("all"))
     tops = tops.select(*bucket, F.col("top.comp").alias("main"), F.greatest(F.lit(1), F.ceil(F.col("top.c") / BLOCK)).cast("int").alias("na"), F.greatest(F.lit(1), F.ceil((F.col("all") - F.col("top.c")) / BLOCK)).cast("int").alias("nb"))
-    rows = salted_join(rows, tops, bucket, F.col("cid"))
+    rows = skew_join(rows, tops, bucket, F.col("cid"), hot)
     is_a = F.col("comp") == F.col("main")
     rows = rows.withColumn("mine", F.pmod(F.xxhash64("cid"), F.when(is_a, F.col("na")).otherwise(F.col("nb"))).cast("int"))
     all_b = F.sequence(F.lit(0), F.col("nb") - 1)
@@ -262,34 +270,36 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sketches = written(docs.mapInArrow(sketcher(k), SKETCH_SCHEMA), "sketches")
     able = sketches.where("n_shingles > 0 and doc_id is not null")
-    by_set = able.groupBy("h1", "h2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("cid"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
-    classes = by_set = written(by_set, "classes")
+    classes = able.groupBy("h1", "h2").agg(F.min_by("bands", "doc_id").alias("bands"), F.min("doc_id").alias("cid"), F.min("n_shingles").alias("n_shingles"), F.count("*").alias("copies"))
+    classes = written(classes, "classes")
 
     banded = classes.select("cid", F.posexplode("bands").alias("band", "key"))
     shared = banded.groupBy("band", "key").agg(F.count("*").alias("m"), F.min("cid").alias("center")).where("m > 1")
     shared = written(shared, "buckets")
     at = F.xxhash64("band", "key")
     banded = maybe_in(banded, at, key_filter(shared, at)).where("_hit").drop("_hit")
-    members = written(salted_join(banded, shared, ["band", "key"], F.col("cid")), "members")
+    crowded = hot_keys(shared, ["band", "key"], "m")
+    members = written(skew_join(banded, shared, ["band", "key"], F.col("cid"), crowded), "members")
     stars = members.where("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct()
     links = similar_pairs(stars, docs, classes, k, percent)
     comps = components(links)
 
     # buckets of three or more that still hold several components: their other pairs
-    named = salted_join(members.where("m > 2"), comps.withColumnRenamed("v", "cid"), ["cid"], F.xxhash64("band", "key"), "left", 2)
+    named = members.where("m > 2").join(comps.withColumnRenamed("v", "cid"), "cid", "left")
     named = named.select("band", "key", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
-    named = written(salted_join(named, split, ["band", "key"], F.col("cid")), "split")
+    named = written(skew_join(named, split, ["band", "key"], F.col("cid"), crowded), "split")
     if not named.isEmpty():
-        full = salted_join(named, classes.select("cid", "n_shingles", "bands"), ["cid"], F.xxhash64("band", "key"), "inner", 2)
-        pairs = _blocks(full).groupBy("band", "key", "kind", "x", "y").applyInArrow(block_comparer(percent), "a long, b long")
+        full = named.join(classes.select("cid", "n_shingles", "bands"), "cid")
+        pairs = _blocks(full, crowded).groupBy("band", "key", "kind", "x", "y").applyInArrow(block_comparer(percent), "a long, b long")
         more = similar_pairs(pairs.distinct(), docs, classes, k, percent)
         if not more.isEmpty():
             comps = components(links.union(more))
 
-    moved = by_set.join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
+    moved = classes.join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     moved = moved.where("copies > 1 or comp <> cid").select("h1", "h2", "comp")
-    named = salted_join(sketches.select("doc_id", "n_shingles", "h1", "h2"), moved, ["h1", "h2"], F.col("doc_id"), "left")
+    copied = hot_keys(classes, ["h1", "h2"], "copies")
+    named = skew_join(sketches.select("doc_id", "n_shingles", "h1", "h2"), moved, ["h1", "h2"], F.col("doc_id"), copied, "left")
     comp = F.when(F.col("n_shingles") > 0, F.coalesce("comp", "doc_id")).otherwise(F.col("doc_id"))
     comp = F.when(F.col("doc_id").isNotNull(), comp)
     return named.select("doc_id", "n_shingles", comp.alias("component_id"), F.coalesce(F.col("doc_id") == comp, F.lit(True)).alias("kept"))
