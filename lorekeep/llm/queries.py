@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lorekeep.llm import archive, exact_dedup, mixing, near_dup, quality, sentencepiece_codec, sharding, toxicity
+from lorekeep.llm import archive, exact_dedup, licences, line_dedup, mixing, near_dup, quality, sentencepiece_codec, sharding, toxicity
 from lorekeep.llm.common import table
 
 #: A public SentencePiece model; any other file can be given.
@@ -26,6 +26,10 @@ def op3_merge_index_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_tfidf_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licences.licences(licences.laid_out(table(spark, sf_dir, "documents")))
+
+
 def op5_streaming_viterbi_pieces(spark: SparkSession, sf_dir: str, model_path: str = MODEL_PATH) -> DataFrame:
     return sentencepiece_codec.round_trip(table(spark, sf_dir, "documents"), sentencepiece_codec.read_model(model_path))
 
@@ -42,6 +46,10 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_plan(table(spark, sf_dir, "documents"))
 
 
+def op9_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+
+
 def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.byte_shards(table(spark, sf_dir, "documents"))
 
@@ -52,10 +60,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op1_ngram_ratio_quality,
         op2_weak_supervision_toxicity,
         op3_merge_index_exact_dedup,
+        op4_tfidf_licence_scan,
         op5_streaming_viterbi_pieces,
         op6_hyperminhash_near_dup,
         op7_arc_to_warc,
         op8_sainte_lague_mix,
+        op9_line_hash_dedup,
         op10_prefix_sum_shards,
     )
 }
