@@ -2,13 +2,14 @@
 
 A document is a file with a path. Each line of its whole text is a possible header; in a licence
 file (name LICENSE, COPYING and the like) the text as a whole is compared as well. Terms are runs
-of a-z and 0-9, A-Z lower-cased, without the stop words; a term weighs tf * (1 + ln(N / df)) with
+of letters and digits, A-Z lower-cased, without the stop words; a term weighs tf * (1 + ln(N / df)) with
 df counted over all documents for the templates' terms, and N for any other. The licence is the
 template with the highest cosine, if it reaches the threshold. A file without a licence of its own
 takes that of the nearest directory above it that holds a licence file with one.
 
-How: only lines that share a term with some template are looked at further (others have cosine 0
-with all), so the texts stay where they are and few short rows move. Inheritance joins directories,
+How: only lines whose share of template terms lets the cosine reach the threshold are looked at
+further, an exact bound that needs no weights, so the texts stay where they are and few short rows
+move. Inheritance joins directories,
 not files: the distinct directories with their ancestors against the directories that have a
 licence, then files with their own directory's answer. Only DataFrame functions are used.
 
@@ -47,14 +48,9 @@ TEMPLATES = {
 STOP = "a an and any as at be by for from in is it of on or the this that to with without you your not may use are s".split()
 
 
-def terms(text: Column) -> Column:
-    parts = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+")
-    return F.array_remove(F.array_except(parts, F.array(*[F.lit(s) for s in STOP])), "")
-
-
-def _term_list(text: Column) -> Column:
-    """Like terms, with repeats."""
-    parts = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), "[^a-z0-9]+")
+def term_list(text: Column) -> Column:
+    """The terms of a text in order, with repeats."""
+    parts = F.split(F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), r"[^\p{L}\p{N}]+")
     return F.filter(parts, lambda x: (x != "") & ~x.isin(STOP))
 
 
@@ -65,18 +61,21 @@ def own_licences(files: DataFrame, threshold: float) -> DataFrame:
     """
     spark = files.sparkSession
     patterns = spark.createDataFrame(list(TEMPLATES.items()), "template string, notice string")
-    t = patterns.select("template", F.explode(_term_list(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
+    t = patterns.select("template", F.explode(term_list(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
     vocabulary = sorted({r.term for r in t.select("term").distinct().collect()})  # of the fixed templates
-    known = F.array(*[F.lit(v) for v in vocabulary])
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     is_file = F.coalesce(F.col("name"), F.lit("")).rlike(LICENCE_FILE)
     parts = F.concat(F.split(text, "\n"), F.when(is_file & text.contains("\n"), F.array(text)).otherwise(F.array().cast("array<string>")))
-    lines = files.select("row", F.posexplode(parts).alias("line", "part")).withColumn("has", terms(F.col("part"))).where(F.arrays_overlap("has", known))
-    lines = written(lines.select("row", "line", _term_list(F.col("part")).alias("list")), "lines")
+    lines = files.select("row", F.posexplode(parts).alias("line", "part")).select("row", "line", F.inline_outer(F.array(F.struct(term_list(F.col("part")).alias("list")))))
+    lines = lines.withColumn("known", F.size(F.filter("list", lambda x: x.isin(vocabulary))))
+    # no other term weighs less than a known one, so known^2 / (known^2 + others) bounds the squared cosine
+    bound = F.col("known") * F.col("known") >= threshold**2 * (F.col("known") * F.col("known") + F.size("list") - F.col("known"))
+    lines = written(lines.where((F.col("known") > 0) & bound).select("row", "line", "list"), "lines")
 
     n = files.count()
     each = lines.select("row", "line", F.explode("list").alias("term")).groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
-    df = each.where(F.col("term").isin(vocabulary)).select("row", "term").distinct().groupBy("term").agg(F.count("*").alias("df"))
+    per_file = files.select(F.array_distinct(F.filter(term_list(text), lambda x: x.isin(vocabulary))).alias("terms"))
+    df = per_file.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     idf = F.broadcast(df.select("term", (1 + F.log(F.lit(float(max(n, 1))) / F.col("df"))).alias("idf")))  # a row a template term at most
     rare = F.lit(1.0) + F.log(F.lit(float(max(n, 1))))
     weigh = lambda x: x.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare)).drop("idf")
