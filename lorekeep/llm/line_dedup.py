@@ -101,14 +101,14 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """docs with the spans cut out of their texts; all columns stay."""
     columns = docs.columns
-    found = _spans(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), "spans")
+    found = _spans(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), F.col("spans").alias("_spans"))
     h = F.xxhash64(F.xxhash64(F.col("text").cast("string")))
     seen = maybe_in(docs, h, key_filter(found, F.xxhash64("_h")))
     some = seen.where("_hit").drop("_hit").withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
     met = some.join(found, F.col("doc_id").cast("long").eqNullSafe(F.col("_d")) & (F.col("_hash") == F.col("_h")), "left")
     raw = F.col("text").cast("binary")
-    ends = F.concat(F.array(F.lit(0)), F.col("spans.end"))
-    begins = F.concat(F.col("spans.start"), F.array(F.octet_length(raw)))
+    ends = F.concat(F.array(F.lit(0)), F.col("_spans.end"))
+    begins = F.concat(F.col("_spans.start"), F.array(F.octet_length(raw)))
     parts = F.transform(F.zip_with(ends, begins, lambda e, b: F.struct(e.alias("e"), b.alias("b"))), lambda x: F.substring(raw, x["e"] + 1, x["b"] - x["e"]).cast("string"))
-    cut = met.withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
+    cut = met.withColumn("text", F.when(F.col("_spans").isNull(), F.col("text")).otherwise(F.array_join(parts, "")))
     return seen.where("not _hit").select(columns).unionByName(cut.select(columns))
