@@ -93,3 +93,12 @@ def test_comparison_line(spark):
     row = spark.createDataFrame([("A", "B", "wrote", ["x", "y"], ["y"], ["y"])], "a string, b string, v string, x array<string>, y array<string>, s array<string>")
     line = narrate.narrated_comparison(*[F.col(c) for c in ("a", "b", "v", "x", "y", "s")])
     assert row.select(line.alias("l")).first().l == "A wrote x, y; B wrote y (both: y)."
+
+
+def test_default_ontology_is_consistent():
+    from lorekeep.functions import ontology
+
+    o = ontology.default()
+    assert o.problems() == [] and len(o.predicates) == 69 and len(o.classes) == 17
+    names = {p.name for p in o.predicates}
+    assert set(ontology.NO_TRANSIT) <= names and sum(p.priority < 3 for p in o.predicates) == 33
