@@ -26,6 +26,8 @@ an empty result. Texts of any length are handled whole.
 
 from __future__ import annotations
 
+import hashlib
+import sys
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,8 +38,8 @@ from pyspark.sql import functions as F
 MARK = "▁"
 UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
-#: Remembered stretches in each worker; the older half is forgotten when full.
-MEMORY = 200_000
+#: Remembered stretches in each worker (some 250 bytes each); the older half is forgotten when full.
+MEMORY = 1_000_000
 #: Characters of a stretch up to which it is remembered.
 SHORT = 48
 
@@ -69,6 +71,8 @@ class Codec:
         self.unknown_score = min(self.score[i] for i in self.ids.values()) - 10.0
         self.cuts_at_marks = not any(MARK in p.lstrip(MARK) for p in self.ids)
         self.stable_one: dict[str, bool] = {}
+        # of every end of a piece: 0 no stable piece itself, 1 a stable piece, 2 a piece not looked at yet
+        self.ends = dict.fromkeys(self.tails, 0) | dict.fromkeys(self.ids, 2)
         self.stable_two: dict[tuple[str, str], bool] = {}
         self.young: dict[str, tuple[int, ...]] = {}
         self.old: dict[str, tuple[int, ...]] = {}
@@ -161,13 +165,49 @@ class Codec:
             else:
                 yield self.unknown
 
+    def short_walk(self, unit: str) -> tuple[int, ...]:
+        """walk() of a stretch no longer than the window, where nothing needs to be committed early."""
+        ids, ends, pairs = self.ids, self.ends, self.stable_two
+        last: list[str] = [""]
+        for end in range(1, len(unit) + 1):
+            found = None
+            for start in range(end - 1, -1, -1):
+                p = unit[start:end]
+                kind = ends.get(p)
+                if kind is None:
+                    if start < end - 1:
+                        break  # no longer piece ends like this either
+                    kind = 1
+                elif kind == 2:
+                    kind = ends[p] = int(self.alone(p))
+                if kind:
+                    q = last[start]
+                    ok = not q or pairs.get((q, p))
+                    if ok or ok is None and self.beside(q, p):
+                        found = p
+                        break
+            last.append(found)
+        out: list[int] = []
+        end = len(unit)
+        while end:
+            p = last[end]
+            k = ids.get(p)
+            if k is not None:
+                out.append(k)
+            elif self.byte_id:
+                out += [self.byte_id[b] for b in reversed(p.encode("utf-8", "surrogatepass"))]
+            else:
+                out.append(self.unknown)
+            end -= len(p)
+        return tuple(reversed(out))
+
     # -- whole texts -------------------------------------------------------------------------
     def remembered(self, unit: str) -> tuple[int, ...]:
         found = self.young.get(unit)
         if found is None:
             found = self.old.get(unit)
             if found is None:
-                found = tuple(self.walk(unit))
+                found = self.short_walk(unit) if self.bpe and len(unit) <= SHORT else tuple(self.walk(unit))
             if len(unit) <= SHORT:
                 if len(self.young) >= MEMORY // 2:
                     self.old, self.young = self.young, {}
@@ -228,9 +268,19 @@ def decode_many(table: tuple[np.ndarray, np.ndarray], ids: np.ndarray, off: np.n
     return data[index], ends[off]
 
 
+def codec_for(model: bytes) -> Codec:
+    """The model's codec, kept with its memory for the life of a worker process."""
+    held = sys.__dict__.setdefault("_lorekeep_codecs", {})
+    key = hashlib.sha256(model).hexdigest()
+    if key not in held:
+        held.clear()
+        held[key] = Codec(model)
+    return held[key]
+
+
 def encoder(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_for(model)
         for batch in batches:
             texts, i = batch.column("text"), 0
             while i < batch.num_rows:  # rows of about a megabyte at a time
@@ -251,7 +301,7 @@ def encoder(model: bytes):
 
 def decoder(model: bytes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codec = Codec(model)
+        codec = codec_for(model)
         table = codec.piece_bytes()
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
@@ -282,7 +332,7 @@ def round_trip(docs: DataFrame, model: bytes) -> DataFrame:
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_part, codec = encoder(model), Codec(model)
+        encode_part, codec = encoder(model), codec_for(model)
         table = codec.piece_bytes()
         for batch in batches:
             at = 0
