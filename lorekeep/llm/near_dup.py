@@ -37,7 +37,7 @@ MANTISSA = 10
 #: Standard deviations by which an estimate may fall short of the threshold before a pair is dropped.
 SLACK = 5.0
 #: Members of one side of a block of comparisons.
-BLOCK = 128
+BLOCK = 512
 
 SKETCH_SCHEMA = "doc_id long, n_shingles long, h1 long, h2 long, bands array<long>"
 
@@ -172,6 +172,13 @@ def checker(percent: int):
     return run
 
 
+def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
+    """(cid, shingles) of the documents in ids (cid), written; other texts stay where they are."""
+    some = maybe_in(docs, F.xxhash64("doc_id"), key_filter(ids, F.xxhash64("cid"))).where("_hit").select("doc_id", "text")
+    sets = some.join(ids.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi").mapInArrow(set_maker(k), "cid long, shingles array<long>")
+    return written(sets.where(F.size("shingles") > 0), "sets")
+
+
 def similar_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are links, by estimate and then by their full sets."""
     side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
@@ -179,10 +186,7 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int,
     hot = hot_keys(pairs.groupBy("a").count(), ["a"], "count")
     both = skew_join(pairs, side("a"), ["a"], F.col("b"), hot).join(side("b"), "b")
     likely = written(both.mapInArrow(estimator(percent), "a long, b long"), "likely")
-    ids = likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct()
-    some = maybe_in(docs, F.xxhash64("doc_id"), key_filter(ids, F.xxhash64("cid"))).where("_hit").select("doc_id", "text")
-    sets = some.join(ids.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi").mapInArrow(set_maker(k), "cid long, shingles array<long>")
-    sets = written(sets.where(F.size("shingles") > 0), "sets")
+    sets = full_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), k)
     a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))
     full = skew_join(likely, a, ["a"], F.col("b"), hot).join(b, "b").select("a", "b", "set_a", "set_b")
@@ -237,10 +241,15 @@ def _blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
         F.transform(all_a, lambda i: F.struct(F.lit("ab").alias("kind"), i.alias("x"), F.col("mine").alias("y"))),
         F.transform(all_b, lambda j: F.struct(F.lit("bb").alias("kind"), F.least(F.col("mine"), j).alias("x"), F.greatest(F.col("mine"), j).alias("y"))),
     )
-    return rows.withColumn("at", F.explode(F.when(is_a, a_side).otherwise(b_side))).select(*bucket, "cid", "comp", "n_shingles", "bands", "at.kind", "at.x", "at.y")
+    return rows.withColumn("at", F.explode(F.when(is_a, a_side).otherwise(b_side))).select(*bucket, "cid", "comp", "n_shingles", "bands", "shingles", "at.kind", "at.x", "at.y")
 
 
 def block_comparer(percent: int):
+    """Links between different components of one pair of blocks: by estimate, then on the full sets.
+
+    One link is enough to join two components, so pairs of components that are joined already
+    are passed over.
+    """
     floor = least_estimate(percent)
 
     def run(t: pa.Table) -> pa.Table:
@@ -249,18 +258,24 @@ def block_comparer(percent: int):
         cid, comp, n = (t.column(c).to_numpy() for c in ("cid", "comp", "n_shingles"))
         regs = np.ascontiguousarray(_lists(t.column("bands").combine_chunks(), BANDS))
         r16 = regs.view(np.uint16).reshape(-1, REGISTERS)
-        out_a, out_b = [], []
+        sets = t.column("shingles").combine_chunks()
+        flat, off = sets.values.to_numpy(zero_copy_only=False), sets.offsets.to_numpy()
+        comp, found = comp.copy(), []
         for i in range(len(cid) - 1):
-            rest = slice(i + 1, None)
-            ok = comp[rest] != comp[i]
-            lo, hi = np.minimum(n[rest], n[i]), np.maximum(n[rest], n[i])
-            ok &= 100 * lo >= percent * hi
-            ok &= ~(regs[rest, :band] == regs[i, :band]).any(axis=1)  # only in the pair's first common band
-            j = np.flatnonzero(ok) + i + 1
-            j = j[estimate((r16[j] == r16[i]).sum(axis=1), n[j], np.full(len(j), n[i])) >= floor]
-            out_a.append(np.minimum(cid[j], cid[i]))
-            out_b.append(np.maximum(cid[j], cid[i]))
-        return pa.table({"a": np.concatenate([*out_a, np.zeros(0, np.int64)]), "b": np.concatenate([*out_b, np.zeros(0, np.int64)])})
+            lo, hi = np.minimum(n[i + 1 :], n[i]), np.maximum(n[i + 1 :], n[i])
+            ok = (comp[i + 1 :] != comp[i]) & (100 * lo >= percent * hi)
+            ok &= ~(regs[i + 1 :, :band] == regs[i, :band]).any(axis=1)  # only in the pair's first common band
+            near = np.flatnonzero(ok) + i + 1
+            near = near[estimate((r16[near] == r16[i]).sum(axis=1), n[near], np.full(len(near), n[i])) >= floor]
+            x = flat[off[i] : off[i + 1]]
+            for j in near:
+                if comp[j] != comp[i]:
+                    both = len(np.intersect1d(x, flat[off[j] : off[j + 1]], assume_unique=True))
+                    if 100 * both >= percent * (n[i] + n[j] - both):
+                        found.append((min(cid[i], cid[j]), max(cid[i], cid[j])))
+                        comp[comp == comp[j]] = comp[i]
+        a, b = zip(*found, strict=True) if found else ((), ())
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
 
     return run
 
@@ -290,9 +305,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     split = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
     named = written(skew_join(named, split, ["band", "key"], F.col("cid"), crowded), "split")
     if not named.isEmpty():
-        full = named.join(classes.select("cid", "n_shingles", "bands"), "cid")
+        full = named.join(classes.select("cid", "n_shingles", "bands"), "cid").join(full_sets(docs, named.select("cid").distinct(), k), "cid")
         pairs = _blocks(full, crowded).groupBy("band", "key", "kind", "x", "y").applyInArrow(block_comparer(percent), "a long, b long")
-        more = similar_pairs(pairs.distinct(), docs, classes, k, percent)
+        more = written(pairs.distinct(), "more")
         if not more.isEmpty():
             comps = components(links.union(more))
 
