@@ -8,6 +8,13 @@ doc_id, then position) is kept, all others are repeats. Neighbouring repeats of
 run, and a run is removed if it has at least MIN_WORDS words, so short common sentences stay unless
 they lie in a repeated passage. The spans removed are given as byte offsets into the original text.
 
+With `stretches`, passages that share no whole unit are found too: of every WINDOW neighbouring
+stretches of STRETCH words, over lines and sentences, the one of least hash is taken as well (all of
+them if several are least), and removed like a unit if an earlier place has it and does not overlap
+it. What is taken depends on the words only, so any WINDOW + STRETCH - 1 words (39) that two places
+share hold a stretch taken at both, and of a longer shared run WINDOW - 1 words at either end stay at
+most. Words are what white space parts, so a script without spaces has no stretches.
+
 How: texts never move for the search. One pass hashes units and counts digests (a row a unit, no
 text); digests that repeat make a filter of fixed size; a second pass lets only such units through
 and joins them with the first occurrence, hot digests dealt over several tasks.
@@ -31,66 +38,111 @@ from lorekeep.llm.common import hot_keys, key_filter, maybe_in, skew_join, writt
 
 #: Words that a run of repeats must have to be removed.
 MIN_WORDS = 10
-UNIT_SCHEMA = "doc_id long, doc_hash long, nth int, start int, end int, n_words int, h1 long, h2 long"
+#: Words of a stretch, and how many neighbouring stretches give at least one.
+STRETCH, WINDOW = 20, 20
+#: nth is null for a stretch; word is the number of the first word in its document.
+UNIT_SCHEMA = "doc_id long, doc_hash long, nth int, word int, start int, end int, n_words int, h1 long, h2 long"
 
 ENDS_SENTENCE = np.zeros(256, bool)
 ENDS_SENTENCE[[ord(c) for c in ".!?"]] = True
 
 
-def unit_maker(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        for i, _, data, off in tk.chunks(batch.column("text")):
-            w = tk.Words(data, off, tk.SPACE, lower=True)
-            if not len(w.doc):
-                continue
-            lines = np.r_[0, np.cumsum(data == 10)]
-            new = np.r_[True, w.doc[1:] != w.doc[:-1]]
-            new[1:] |= lines[w.start[1:]] != lines[w.end[:-1]]
-            new[1:] |= ENDS_SENTENCE[w.data[w.end[:-1] - 1]]
-            first = np.flatnonzero(new)
-            n = np.diff(np.r_[first, len(w.doc)])
-            last = first + n - 1
-            up, _ = tk.powers(int(n.max()))
-            place = up[np.arange(len(w.doc)) - np.repeat(first, n)]
-            h = w.hashes()
-            h1 = tk.mix(np.add.reduceat(h * place, first))
-            h2 = tk.mix(np.add.reduceat(tk.mix(h ^ tk.seed(700)) * place, first) ^ n.astype(np.uint64))
-            doc = w.doc[first]
-            opens = tk.group_starts(doc)
-            nth = np.arange(len(doc)) - np.repeat(opens, np.diff(np.r_[opens, len(doc)]))
-            rows = pa.array(doc + i)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id").take(rows), batch.column("doc_hash").take(rows), pa.array(nth.astype(np.int32)), pa.array((w.start[first] - off[doc]).astype(np.int32)), pa.array((w.end[last] - off[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
-                names=[c.split(" ")[0] for c in UNIT_SCHEMA.split(", ")],
-            )
-
-
-def units(docs: DataFrame) -> DataFrame:
+def taken(h: np.ndarray, doc: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(first word, h1, h2) of the stretches taken from words of hashes h."""
+    n = len(h) - STRETCH - WINDOW + 2
+    if n < 1:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+    up, down = tk.powers(len(h))
+
+    def over(x: np.ndarray) -> np.ndarray:
+        sums = np.r_[np.uint64(0), np.cumsum(x * up)]
+        return tk.mix((sums[STRETCH:] - sums[:-STRETCH]) * down[: len(h) - STRETCH + 1] ^ tk.seed(701))
+
+    v = over(h)
+    least = v[:n].copy()
+    for k in range(1, WINDOW):
+        np.minimum(least, v[k : k + n], out=least)
+    whole = doc[:n] == doc[STRETCH + WINDOW - 2 :]
+    some = np.zeros(len(v), bool)
+    for k in range(WINDOW):
+        some[k : k + n] |= whole & (v[k : k + n] == least)
+    at = np.flatnonzero(some)
+    return at, v[at], over(tk.mix(h ^ tk.seed(702)))[at]
+
+
+def unit_maker(stretches: bool):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, _, data, off in tk.chunks(batch.column("text")):
+                w = tk.Words(data, off, tk.SPACE, lower=True)
+                if not len(w.doc):
+                    continue
+                lines = np.r_[0, np.cumsum(data == 10)]
+                new = np.r_[True, w.doc[1:] != w.doc[:-1]]
+                new[1:] |= lines[w.start[1:]] != lines[w.end[:-1]]
+                new[1:] |= ENDS_SENTENCE[w.data[w.end[:-1] - 1]]
+                first = np.flatnonzero(new)
+                n = np.diff(np.r_[first, len(w.doc)])
+                up, _ = tk.powers(int(n.max()))
+                place = up[np.arange(len(w.doc)) - np.repeat(first, n)]
+                h = w.hashes()
+                h1 = tk.mix(np.add.reduceat(h * place, first))
+                h2 = tk.mix(np.add.reduceat(tk.mix(h ^ tk.seed(700)) * place, first) ^ n.astype(np.uint64))
+                opens = tk.group_starts(w.doc[first])
+                nth = np.arange(len(first)) - np.repeat(opens, np.diff(np.r_[opens, len(first)]))
+                is_unit = np.ones(len(first), bool)
+                if stretches:
+                    at, s1, s2 = taken(h, w.doc)
+                    first, n = np.r_[first, at], np.r_[n, np.full(len(at), STRETCH)]
+                    h1, h2, nth = np.r_[h1, s1], np.r_[h2, s2], np.r_[nth, np.zeros(len(at), nth.dtype)]
+                    is_unit = np.r_[is_unit, np.zeros(len(at), bool)]
+                doc, last = w.doc[first], first + n - 1
+                word = first - (np.cumsum(w.count) - w.count)[doc]
+                rows = pa.array(doc + i)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(rows), batch.column("doc_hash").take(rows), pa.array(nth.astype(np.int32), mask=~is_unit), pa.array(word.astype(np.int32)), pa.array((w.start[first] - off[doc]).astype(np.int32)), pa.array((w.end[last] - off[doc]).astype(np.int32)), pa.array(n.astype(np.int32)), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64))],
+                    names=[c.split(" ")[0] for c in UNIT_SCHEMA.split(", ")],
+                )
+
+    return run
+
+
+def units(docs: DataFrame, stretches: bool = False) -> DataFrame:
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("doc_hash"), text.alias("text"))
-    return rows.mapInArrow(unit_maker, UNIT_SCHEMA)
+    return rows.mapInArrow(unit_maker(stretches), UNIT_SCHEMA)
 
 
-def _spans(docs: DataFrame, min_words: int) -> DataFrame:
+def _spans(docs: DataFrame, min_words: int, stretches: bool) -> DataFrame:
     """(doc_id, doc_hash, spans, n_units_removed, words_removed) of the documents that lose something; written."""
     key = ["h1", "h2"]
-    rank = F.struct("doc_id", "doc_hash", "start")
-    groups = units(docs).groupBy(*key).agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
+    rank = F.struct("doc_id", "doc_hash", "start", "end")
+    groups = units(docs, stretches).groupBy(*key).agg(F.count("*").alias("n"), F.min(rank).alias("first")).where("n > 1")
     groups = written(groups, "repeats")
     at = F.xxhash64(*key)
-    some = maybe_in(units(docs), at, key_filter(groups, at)).where("_hit").drop("_hit")
+    some = maybe_in(units(docs, stretches), at, key_filter(groups, at)).where("_hit").drop("_hit")
     met = skew_join(some, groups.select(*key, "first"), key, F.struct("doc_id", "start"), hot_keys(groups, key, "n"))
-    again = met.where(~F.struct("doc_id", "doc_hash", "start").eqNullSafe(F.col("first"))).drop("first").distinct()
+    apart = ~F.struct("doc_id", "doc_hash").eqNullSafe(F.struct("first.doc_id", "first.doc_hash")) | (F.col("start") >= F.col("first.end"))
+    again = met.where(apart).drop("first").distinct()
     one = Window.partitionBy("doc_id", "doc_hash")
-    again = again.withColumn("run", F.col("nth") - F.row_number().over(one.orderBy("nth")))
-    runs = again.groupBy("doc_id", "doc_hash", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n_words").alias("words"), F.count("*").alias("units")).where(F.col("words") >= min_words)
+    of_units = again.where("nth is not null").withColumn("run", F.col("nth") - F.row_number().over(one.orderBy("nth")))
+    extent = [F.min("word").alias("word"), F.max(F.col("word") + F.col("n_words")).alias("to"), F.min("start").alias("start"), F.max("end").alias("end")]
+    runs = of_units.groupBy("doc_id", "doc_hash", "run").agg(*extent, F.sum("n_words").alias("words"), F.count("*").alias("units")).where(F.col("words") >= min_words).drop("run")
+    if stretches:
+        more = again.where("nth is null and n_words >= %d" % min_words).select("doc_id", "doc_hash", "word", (F.col("word") + F.col("n_words")).alias("to"), "start", "end", F.lit(1).cast("long").alias("units"))
+        both = runs.drop("words").unionByName(more)
+        before = F.max("to").over(one.orderBy("word").rowsBetween(Window.unboundedPreceding, -1))
+        both = both.withColumn("apart", F.coalesce(F.col("word") > before, F.lit(True)).cast("int"))
+        both = both.withColumn("run", F.sum("apart").over(one.orderBy("word").rowsBetween(Window.unboundedPreceding, 0)))
+        whole = both.groupBy("doc_id", "doc_hash", "run").agg(F.min("word").alias("word"), F.max("to").alias("to"), F.min("start").alias("start"), F.max("end").alias("end"), F.sum("units").alias("units"))
+        runs = whole.withColumn("words", (F.col("to") - F.col("word")).cast("long"))
     spans = F.array_sort(F.collect_list(F.struct("start", "end"))).alias("spans")
     return written(runs.groupBy("doc_id", "doc_hash").agg(spans, F.sum("units").alias("n_units_removed"), F.sum("words").alias("words_removed")), "spans")
 
 
-def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
-    """One row per row of docs: doc_id, n_units_removed, words_removed, bytes_removed, spans (start, end in bytes)."""
-    found = _spans(docs, min_words).withColumnsRenamed({"doc_id": "_d", "doc_hash": "_h"})
+def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS, stretches: bool = False) -> DataFrame:
+    """One row per row of docs: doc_id, n_units_removed (units and stretches), words_removed, bytes_removed, spans (start, end in bytes)."""
+    found = _spans(docs, min_words, stretches).withColumnsRenamed({"doc_id": "_d", "doc_hash": "_h"})
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(F.col("text").cast("string")).alias("doc_hash"))
     both = rows.join(found, F.col("doc_id").eqNullSafe(F.col("_d")) & (F.col("doc_hash") == F.col("_h")), "left")
     gone = F.aggregate("spans", F.lit(0).cast("long"), lambda s, x: s + x["end"] - x["start"])
@@ -98,10 +150,10 @@ def repeated_spans(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     return both.select("doc_id", F.coalesce("n_units_removed", F.lit(0)).alias("n_units_removed"), F.coalesce("words_removed", F.lit(0)).alias("words_removed"), F.coalesce(gone, F.lit(0)).alias("bytes_removed"), F.coalesce("spans", none).alias("spans"))
 
 
-def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, stretches: bool = False) -> DataFrame:
     """docs with the spans cut out of their texts; all columns stay."""
     columns = docs.columns
-    found = _spans(docs, min_words).select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), F.col("spans").alias("_spans"))
+    found = _spans(docs, min_words, stretches).select(F.col("doc_id").alias("_d"), F.col("doc_hash").alias("_h"), F.col("spans").alias("_spans"))
     h = F.xxhash64(F.xxhash64(F.col("text").cast("string")))
     seen = maybe_in(docs, h, key_filter(found, F.xxhash64("_h")))
     some = seen.where("_hit").drop("_hit").withColumn("_hash", F.xxhash64(F.col("text").cast("string")))

@@ -47,7 +47,7 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_spans(table(spark, sf_dir, "documents"))
+    return line_dedup.repeated_spans(table(spark, sf_dir, "documents"), stretches=True)
 
 
 def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
