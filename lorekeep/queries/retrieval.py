@@ -165,10 +165,17 @@ SELECT vec_id, round(list_sum(list_transform(v, lambda x: (x / d) * (x / d))), 6
 
 def _rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     b = bm25_topk(spark, sf_dir).select("qid", F.lit("bm25").alias("channel"), F.col("doc_id").alias("chunk_id"), "rank")
-    v = knn_exact(spark, sf_dir).select("qid", F.lit("vec").alias("channel"), F.col("vec_id").alias("chunk_id"), "rank")
+    v = _vector_channel(spark, sf_dir).select("qid", F.lit("vec").alias("channel"), F.col("vec_id").alias("chunk_id"), "rank")
     return b.unionByName(v).unionByName(_title_channel(spark, sf_dir))
 
 
+def _vector_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nearest vectors of every benchmark question, whose own vector has its item_id."""
+    e = parquet(spark, sf_dir, "embeddings")
+    asked = parquet(spark, sf_dir, "benchmark").select(F.col("item_id").alias("vec_id")).distinct()
+    return vectors.knn_of(e, e.join(asked, "vec_id", "left_semi").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), K)
+
+
 def _chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each document is a chunk, three in a row are a page; the title is its first three words."""
     first = F.regexp_extract("text", r"^[^\n]*", 0)
