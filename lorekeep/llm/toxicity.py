@@ -11,7 +11,9 @@ other, no hit at all as a vote for clean). The label model is a two-class mixtur
 the votes: class balance, each voter's rates of voting either way per class, and the voters'
 correlations within a class; voters that say the same thing share their weight, so a family of
 similar lexicons does not count several times over. Its posteriors, never the raw labels, are the
-targets of a logistic regression on hashed terms, the linear classifier that gives the score.
+targets of a logistic regression on hashed terms, the linear classifier that gives the score. It
+learns weights of at most FEATURES terms, those whose share of rows differs most between the classes,
+and every one of them counts in the scores.
 Language, source, doc_id and labels are never inputs of a score.
 
 Defined results: null and empty texts get the score of a text without terms; a document with
@@ -38,6 +40,7 @@ PREFIXES = (4, 5, 6)
 GROUPS = 6
 #: A mined term occurs in at least so many rows, with at least this share of toxic ones.
 LEAST_ROWS, LEAST_SHARE = 4, 0.85
+#: Terms that the classifier has at most, and slots of the table that finds them (a power of 2).
 FEATURES = 20_000
 TABLE = 1 << 20
 
@@ -180,13 +183,12 @@ def fit(texts: pa.Array, toxic: np.ndarray, steps: int = 200) -> tuple[np.ndarra
     return uniq[able], weight, bias
 
 
-def packed(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A one-probe table: slot -> full hash and weight; of two terms in a slot the heavier stays."""
-    keys, vals = np.zeros(TABLE, np.uint64), np.zeros(TABLE, np.float32)
-    order = np.argsort(np.abs(weights), kind="stable")
-    slot = (terms[order] & np.uint64(TABLE - 1)).astype(np.int64)
-    keys[slot], vals[slot] = terms[order], weights[order]
-    return keys, vals
+def lookup(terms: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Slots that have a term, for a quick no; the terms, sorted; their weights."""
+    order = np.argsort(terms)
+    slots = np.zeros(TABLE, bool)
+    slots[(terms & np.uint64(TABLE - 1)).astype(np.int64)] = True
+    return slots, terms[order], weights[order]
 
 
 FIT_SCHEMA = "terms array<long>, weights array<double>, bias double"
@@ -215,15 +217,17 @@ def learn(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[n
 
 def scorer(terms: np.ndarray, weights: np.ndarray, bias: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, vals = packed(terms, weights)
+        slots, keys, vals = lookup(terms, weights)
         for b in batches:
             for i, j, data, off in tk.chunks(b.column("text")):
                 s = np.zeros(j - i)
                 for d, h in term_hashes(tk.Words(data, off, tk.NO_LETTER, lower=True)):
-                    slot = (h & np.uint64(TABLE - 1)).astype(np.int64)
-                    ok = np.flatnonzero((keys[slot] == h) & (vals[slot] != 0))
+                    ok = np.flatnonzero(slots[(h & np.uint64(TABLE - 1)).astype(np.int64)])
+                    place = np.searchsorted(keys, h[ok])
+                    same = keys[np.minimum(place, len(keys) - 1)] == h[ok] if len(ok) else np.zeros(0, bool)
+                    ok, place = ok[same], place[same]
                     if len(ok):  # each term counts three times at most, as in the fit
-                        at, n = np.unique(np.stack([d[ok], slot[ok]]), axis=1, return_counts=True)
+                        at, n = np.unique(np.stack([d[ok], place]), axis=1, return_counts=True)
                         s += np.bincount(at[0], weights=vals[at[1]] * np.minimum(n, 3), minlength=j - i)
                 p = 1 / (1 + np.exp(-np.clip(s + bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
