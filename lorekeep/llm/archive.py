@@ -9,34 +9,38 @@ follows the HTTP head). `write_warc` writes them: of records with equal payloads
 bytes the one with the smallest page_id is a response, the others are revisits without payload
 that refer to it; smaller payloads are always responses. `read_warc` reads the files back.
 
-WARC files are written by Spark's text writer, whose line separator is the two CR LF that end a
-WARC record, so files come from the committer, in any store that Spark can write, and hold any
-bytes. Payloads move between tasks only if a fixed-size filter says that they may have a twin.
+A task packs records into files of about WARC_BYTES; a file is one row for Spark's text writer,
+whose line separator is the two CR LF that end a WARC record, so files come from the committer, in
+any store that Spark can write, and hold any bytes. Payloads move between tasks only if a filter of
+bounded size says that they may have a twin. A revisit names the response it refers to by record
+id, URI and date; it has no payload, so its size and digest are read back from its headers.
 
 Defined results: a null html is an empty payload; blanks in URLs are escaped, a null URL becomes
 `urn:unknown`; pages that repeat the smallest page_id of their payload are all responses; pages
 without page_id are never referred to unless none of the group has one (then all are responses);
-an empty table gives no files and no rows; extra columns are ignored. Payloads of any size are
-kept whole; an ARC file is closed after about ARC_BYTES.
+an empty table gives no files and no rows; extra columns, whatever their names, are ignored.
+Payloads of up to 1 GB are kept whole (a record is one value, which Spark holds to 2 GB); an ARC
+file is closed after about ARC_BYTES, a WARC file after about WARC_BYTES.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
 import uuid
 from collections.abc import Iterator
 from datetime import UTC, datetime
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import key_filter, maybe_in, salted_join, work_dir, written
+from lorekeep.llm.common import hot_keys, key_filter, maybe_in, skew_join, work_dir, written
 
 ARC_BYTES = 4 << 20
 #: Payload bytes from which equal payloads are stored once.
 LEAST_SHARED = 100
-RECORDS_PER_FILE = 2_000
+WARC_BYTES = 16 << 20
 
 #: The fields of a record line in the two versions of the ARC format.
 ARC_FIELDS = {
@@ -47,6 +51,10 @@ REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-dig
 RECORD_SCHEMA = "type string, page_id long, uri string, date string, record_id string, head binary, payload binary, digest string, n_bytes long"
 
 
+#: Blanks that a URL in a record line must not hold.
+BLANKS = r"[\x20\x09-\x0D]+"
+
+
 # -- ARC ---------------------------------------------------------------------------------------
 def arc_head(version: int, name: str, date: str) -> bytes:
     body = f"{version} 0 corpus\n{' '.join(ARC_FIELDS[version])}\n".encode()
@@ -83,9 +91,13 @@ def parse_arc(data: bytes) -> Iterator[dict]:
         at = end + 1 + size
 
 
+#: Capture times begin at this second and repeat after so many.
+FIRST_SECOND, PERIOD = 1_700_000_000, 100_000_000
+
+
 def arc_date(page_id: int | None) -> str:
     """A 14-digit capture time; pages carry none, so it is counted from a fixed day."""
-    return datetime.fromtimestamp(1_700_000_000 + (page_id or 0) % 100_000_000, UTC).strftime("%Y%m%d%H%M%S")
+    return datetime.fromtimestamp(FIRST_SECOND + (page_id or 0) % PERIOD, UTC).strftime("%Y%m%d%H%M%S")
 
 
 def arc_packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -107,7 +119,7 @@ def arc_packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts, size = [arc_head(version, name, arc_date(0))], 0
             mark = b"" if page is None else b"X-Page-Id: %d\r\n" % page
             content = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n" + mark + b"Content-Length: %d\r\n\r\n" % len(html) + html
-            url = "%20".join((url or "urn:unknown").split()) or "urn:unknown"
+            url = re.sub(BLANKS, "%20", (url or "").strip(" \t\n\v\f\r")) or "urn:unknown"
             parts.append(arc_record(version, url, arc_date(page), content, size, name))
             size += len(parts[-1])
             if size >= ARC_BYTES:
@@ -162,28 +174,64 @@ def to_records(arcs: DataFrame) -> DataFrame:
 
 # -- WARC --------------------------------------------------------------------------------------
 def shared_payloads(payloads: DataFrame) -> DataFrame:
-    """(digest, first): payloads that several rows (page_id, digest, n_bytes) hold, and their smallest page_id."""
-    big = payloads.where(F.col("n_bytes") >= LEAST_SHARED)
-    return big.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").select("digest", "first")
+    """(digest, first, first_uri, n): payloads that several rows (page_id, url, digest, n_bytes) hold, and the page that keeps them."""
+    uri = F.regexp_replace(F.regexp_replace(F.coalesce("url", F.lit("")), f"^{BLANKS}|{BLANKS}$", ""), BLANKS, "%20")
+    big = payloads.where(F.col("n_bytes") >= LEAST_SHARED).withColumn("uri", F.when(uri == "", "urn:unknown").otherwise(uri))
+    first = F.min(F.when(F.col("page_id").isNotNull(), F.struct("page_id", "uri"))).alias("f")
+    return big.groupBy("digest").agg(first, F.count("*").alias("n")).where("n > 1").select("digest", F.col("f.page_id").alias("first"), F.col("f.uri").alias("first_uri"), "n")
+
+
+def record_date(page_id: Column) -> Column:
+    """arc_date of a page in the form of WARC dates."""
+    return F.date_format(F.timestamp_seconds(F.lit(FIRST_SECOND) + F.pmod(F.coalesce(page_id, F.lit(0)), F.lit(PERIOD))), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+
+
+def record_id(uri: Column, date: Column, page_id: Column, digest: Column) -> Column:
+    """The id that the converter gives to a record: a name-based UUID."""
+    h = F.sha2(F.concat_ws(" ", uri, date, F.coalesce(page_id.cast("string"), F.lit("None")), digest), 256)
+    part = lambda i, n: F.substring(h, i, n)
+    variant = F.element_at(F.array(*map(F.lit, "89ab")), (F.conv(part(17, 1), 16, 10).cast("int") % 4) + 1)
+    return F.concat(F.lit("<urn:uuid:"), part(1, 8), F.lit("-"), part(9, 4), F.lit("-5"), part(14, 3), F.lit("-"), variant, part(18, 3), F.lit("-"), part(21, 12), F.lit(">"))
 
 
 def with_revisits(records: DataFrame, shared: DataFrame) -> DataFrame:
-    """records with `refers_to`, the page whose response holds the payload (null: the record itself)."""
+    """records with `refers_to`, the page whose response holds the payload, and its uri (null: the record itself)."""
     seen = maybe_in(records, F.xxhash64("digest"), key_filter(shared, F.xxhash64("digest")))
     seen = seen.withColumnRenamed("_hit", "_maybe")
-    some = salted_join(seen.where("_maybe"), shared, ["digest"], F.col("record_id"), "left").select(*seen.columns, "first")
-    both = seen.where("not _maybe").withColumn("first", F.lit(None).cast("long")).unionByName(some).drop("_maybe")
+    some = skew_join(seen.where("_maybe"), shared.select("digest", "first", "first_uri"), ["digest"], F.col("record_id"), hot_keys(shared, ["digest"], "n"), "left").select(*seen.columns, "first", "first_uri")
+    none = seen.where("not _maybe").withColumn("first", F.lit(None).cast("long")).withColumn("first_uri", F.lit(None).cast("string"))
+    both = none.unionByName(some).drop("_maybe")
     other = (F.col("type") == "response") & (F.col("n_bytes") >= LEAST_SHARED) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     return both.withColumn("refers_to", F.when(other, F.col("first"))).drop("first")
 
 
+def warc_packer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Records as files of about WARC_BYTES; the end of the last one is the writer's line separator."""
+    parts: list[bytes] = []
+    size = 0
+
+    def closed() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"\r\n\r\n".join(parts)], pa.binary())], names=["file"])
+
+    for b in batches:
+        for record in b.column("record"):
+            parts.append(record.as_py())
+            size += len(parts[-1])
+            if size >= WARC_BYTES:
+                yield closed()
+                parts, size = [], 0
+    if parts:
+        yield closed()
+
+
 def write_warc(records: DataFrame, path: str) -> None:
-    """records with refers_to as WARC/1.1 files under path."""
+    """records with refers_to and first_uri as WARC/1.1 files under path."""
     again = F.col("refers_to").isNotNull()
     line = lambda name, value: F.coalesce(F.concat(F.lit(f"{name}: "), value.cast("string"), F.lit("\r\n")), F.lit(""))
     kind = F.when(again, "revisit").otherwise(F.col("type"))
     block = F.when(again, F.col("head")).otherwise(F.concat("head", "payload"))
     mime = F.when(F.col("type") == "warcinfo", "application/warc-fields").otherwise("application/http; msgtype=response")
+    met = record_date(F.col("refers_to"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
         line("WARC-Type", kind),
@@ -192,6 +240,9 @@ def write_warc(records: DataFrame, path: str) -> None:
         F.when(F.col("type") == "warcinfo", "").otherwise(line("WARC-Target-URI", F.col("uri"))),
         line("WARC-Payload-Digest", F.concat(F.lit("sha256:"), F.col("digest"))),
         line("WARC-Profile", F.when(again, REVISIT_PROFILE)),
+        line("WARC-Refers-To", F.when(again, record_id(F.col("first_uri"), met, F.col("refers_to"), F.col("digest")))),
+        line("WARC-Refers-To-Target-URI", F.when(again, F.col("first_uri"))),
+        line("WARC-Refers-To-Date", F.when(again, met)),
         line("X-Payload-Length", F.when(again, F.col("n_bytes"))),
         line("X-Page-Id", F.col("page_id")),
         line("X-Refers-To-Page-Id", F.col("refers_to")),
@@ -199,8 +250,8 @@ def write_warc(records: DataFrame, path: str) -> None:
         line("Content-Length", F.octet_length(block)),
         F.lit("\r\n"),
     )
-    whole = F.concat(head.cast("binary"), block).cast("string").alias("value")
-    records.select(whole).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
+    whole = records.select(F.concat(head.cast("binary"), block).alias("record")).mapInArrow(warc_packer, "file binary")
+    whole.select(F.col("file").cast("string").alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", 1).text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -220,12 +271,12 @@ def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
         at = cut + 8 + size
 
 
-READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string"
+READ_SCHEMA = "page_id long, payload_bytes long, payload_digest string, record_type string, refers_to long, record_id string, target_uri string, warc_date string, refers_to_record string"
 
 
 def warc_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split(" ")[0] for c in READ_SCHEMA.split(", ")]
-    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string()]
+    types = [pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.string(), pa.string()]
     for b in batches:
         for i in range(b.num_rows):
             rows = []
@@ -241,7 +292,7 @@ def warc_reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     if digest != said:
                         raise ValueError(f"{f['warc-record-id']}: the payload does not match its digest")
                 page, to = f.get("x-page-id"), f.get("x-refers-to-page-id")
-                rows.append((page and int(page), size, digest, kind, to and int(to), f["warc-record-id"], f["warc-target-uri"], f["warc-date"]))
+                rows.append((page and int(page), size, digest, kind, to and int(to), f["warc-record-id"], f["warc-target-uri"], f["warc-date"], f.get("warc-refers-to")))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)], names=names)
 
@@ -256,7 +307,7 @@ def pages_through_archives(pages: DataFrame) -> DataFrame:
     """pages packed as ARC, converted, written as WARC and read back: one row a page, see READ_SCHEMA."""
     spark = pages.sparkSession
     raw = F.coalesce(F.col("html").cast("string"), F.lit("")).cast("binary")
-    small = pages.select(F.col("page_id").cast("long").alias("page_id"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("n_bytes"))
+    small = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.sha2(raw, 256).alias("digest"), F.octet_length(raw).alias("n_bytes"))
     shared = written(shared_payloads(small), "shared")
     path = f"{work_dir(spark)}/warc"
     write_warc(with_revisits(to_records(arc_files(pages)), shared), path)

@@ -3,16 +3,17 @@
 from __future__ import annotations
 
 import uuid
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: blank and 0x09 to 0x0D, nothing else.
 SPACES = " \t\n\x0b\x0c\r"
-#: Copies of each right-hand row in a salted join, so of tasks that share one hot key.
-SALTS = 16
-#: Upper bound of the 64-bit words of a key filter: what is broadcast never exceeds this many rows.
-FILTER_WORDS = 1 << 18
+#: Bits of a key filter for each key, bits of one of its rows (a fixed value of Spark's bitmap functions), and its rows at most: 32 MB.
+FILTER_BITS, BITMAP_BITS, FILTER_ROWS = 16, 1 << 15, 1 << 13
+#: Rows of one key beyond which it may be dealt over several tasks, and how many keys are at most.
+HOT_ROWS, HOT_KEYS = 256, 1 << 14
 
 
 def words(text: Column) -> Column:
@@ -49,52 +50,77 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def key_filter(keys: DataFrame, hashed: Column, n_words: int = FILTER_WORDS) -> DataFrame:
-    """A one-probe Bloom filter of the keys' 64-bit hashes as rows (slot, bits).
+def packed(df: DataFrame, *columns: str) -> DataFrame:
+    """The whole row as `_row` and only the named columns beside it: names inside it cannot clash with an operator's own."""
+    return df.select(F.struct(*[quoted(c) for c in df.columns]).alias("_row"), *[quoted(c).alias(c) for c in columns])
 
-    It has n_words rows at most whatever the input, so it can always be broadcast; when it
-    fills up, more rows pass `maybe_in` than need to, and none is ever lost.
-    """
-    h = keys.select(hashed.alias("h"))
-    slot = F.pmod(F.shiftrightunsigned("h", 6), F.lit(n_words)).cast("int").alias("slot")
-    bit = F.expr("shiftleft(1L, cast(h & 63 as int))")
-    return h.select(slot, bit.alias("b")).groupBy("slot").agg(F.bit_or("b").alias("bits"))
 
+def unpacked(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The rows that `packed` took in, with their columns."""
+    return df.select(*[F.col("_row").getField(c).alias(c) for c in columns])
 
-def maybe_in(df: DataFrame, hashed: Column, filt: DataFrame, n_words: int = FILTER_WORDS) -> DataFrame:
-    """df with a boolean column `_hit`: false means that the row's key is surely not in the filter."""
-    df = df.withColumn("_h", hashed)
-    df = df.withColumn("_slot", F.pmod(F.shiftrightunsigned("_h", 6), F.lit(n_words)).cast("int"))
-    df = df.join(F.broadcast(filt.withColumnRenamed("slot", "_slot").withColumnRenamed("bits", "_bits")), "_slot", "left")
-    hit = F.coalesce(F.expr("getbit(_bits, cast(_h & 63 as int)) = 1"), F.lit(False))
-    return df.withColumn("_hit", hit).drop("_h", "_slot", "_bits")
 
+def quoted(name: str) -> Column:
+    return F.col("`" + name.replace("`", "``") + "`")
 
-def salted_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """left join right where right has one row a key: a hot key of left is dealt over `salts` tasks."""
-    left = left.withColumn("_salt", F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int"))
-    right = right.withColumn("_salt", F.explode(F.array(*[F.lit(i) for i in range(salts)])))
-    return left.join(right, [*keys, "_salt"], how).drop("_salt")
 
+@dataclass
+class KeyFilter:
+    """Bitmaps (slot, bits) of hashed keys, sized by their number."""
 
-#: Rows of one key beyond which it is hot, and dealt over several tasks.
-HOT_ROWS = 256
+    rows: DataFrame
+    slots: int
 
 
-def hot_keys(counted: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """A filter of the keys whose `count` makes them hot, as a written table of bounded size."""
-    hot = counted.where(F.col(count) > HOT_ROWS)
-    return written(key_filter(hot, F.xxhash64(*keys)), "hot")
+def _places(h: Column, slots: int) -> tuple[Column, list[Column]]:
+    """The slot of a hash and its two bits there."""
+    slot = F.pmod(h, F.lit(slots)).cast("int")
+    return slot, [F.pmod(F.shiftrightunsigned(h, n), F.lit(BITMAP_BITS)).cast("int") for n in (16, 40)]
+
+
+def key_filter(keys: DataFrame, hashed: Column) -> KeyFilter:
+    """A Bloom filter of the keys' 64-bit hashes: 16 bits a key and two probes, some 1.4 % false hits.
+
+    It has FILTER_ROWS bitmaps of 4 KB at most, so it can always be broadcast. Beyond 16 million
+    keys it fills up: more rows pass `maybe_in` than need to (at worst all), and none is ever lost.
+    """
+    n = keys.count()
+    slots = max(1, min(FILTER_ROWS, -(-n * FILTER_BITS // BITMAP_BITS)))
+    slot, bits = _places(F.col("h"), slots)
+    each = keys.select(hashed.alias("h")).select(slot.alias("slot"), F.explode(F.array(*bits)).alias("bit"))
+    return KeyFilter(each.groupBy("slot").agg(F.call_function("bitmap_construct_agg", F.col("bit")).alias("bits")), slots)
+
+
+def maybe_in(df: DataFrame, hashed: Column, filt: KeyFilter) -> DataFrame:
+    """df with a boolean column `_hit`: false means that the row's key is surely not in the filter."""
+    df = df.withColumn("_h", hashed)
+    slot, bits = _places(F.col("_h"), filt.slots)
+    held = F.broadcast(filt.rows.select(F.col("slot").alias("_slot"), F.col("bits").alias("_bits")))
+    df = df.withColumn("_slot", slot).join(held, "_slot", "left")
+    byte = lambda b: F.conv(F.hex(F.substring(F.col("_bits"), F.shiftright(b, 3) + 1, F.lit(1))), 16, 10).cast("int")
+    one = [F.getbit(byte(b), F.pmod(b, F.lit(8)).cast("int")) == 1 for b in bits]
+    return df.withColumn("_hit", F.coalesce(F.col("_bits").isNotNull() & one[0] & one[1], F.lit(False))).drop("_h", "_slot", "_bits")
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner", salts: int = SALTS) -> DataFrame:
-    """left join right where right has one row a key, and only hot keys are dealt over `salts` tasks.
+def hot_keys(counted: DataFrame, keys: list[str], count: str) -> DataFrame:
+    """(h, k): hashes of the keys that are dealt over k tasks, as a written table of HOT_KEYS rows at most.
 
-    Both sides ask the same filter, so they agree on a key that it takes for hot by mistake.
+    A key is hot if it has over HOT_ROWS rows and over 1 / HOT_KEYS of all rows of such keys; k grows
+    with its rows, so a task gets an even share of it however large it is.
     """
+    hot = counted.where(F.col(count) > HOT_ROWS).groupBy(F.xxhash64(*keys).alias("h")).agg(F.max(count).alias("n"))
+    hot = written(hot, "hot")
+    total = hot.agg(F.sum("n")).first()[0] or 0
+    share = max(HOT_ROWS, -(-total // HOT_KEYS))
+    return hot.where(F.col("n") >= share).select("h", F.ceil(F.col("n") / share).cast("int").alias("k"))
+
+
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner") -> DataFrame:
+    """left join right where right has one row a key: the rows of hot keys are dealt over as many tasks as `hot` says."""
+    hot = F.broadcast(hot.select(F.col("h").alias("_h"), F.col("k").alias("_k")))  # HOT_KEYS rows at most
     h = F.xxhash64(*keys)
-    salt = F.when(F.col("_hit"), F.pmod(F.xxhash64(spread), F.lit(salts)).cast("int")).otherwise(F.lit(0))
-    left = maybe_in(left, h, hot).withColumn("_salt", salt).drop("_hit")
-    all_salts = F.when(F.col("_hit"), F.array(*[F.lit(i) for i in range(salts)])).otherwise(F.array(F.lit(0)))
-    right = maybe_in(right, h, hot).withColumn("_salt", F.explode(all_salts)).drop("_hit")
+    left = left.withColumn("_h", h).join(hot, "_h", "left")
+    left = left.withColumn("_salt", F.coalesce(F.pmod(F.xxhash64(spread), F.col("_k")).cast("int"), F.lit(0))).drop("_h", "_k")
+    right = right.withColumn("_h", h).join(hot, "_h", "left")
+    right = right.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.coalesce("_k", F.lit(1)) - 1))).drop("_h", "_k")
     return left.join(right, [*keys, "_salt"], how).drop("_salt")

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import hot_keys, key_filter, maybe_in, skew_join, written
+from lorekeep.llm.common import hot_keys, key_filter, maybe_in, packed, skew_join, unpacked, written
 
 #: Digests that a memtable holds before it is flushed: some 20 MB of a task's memory.
 MEMTABLE_ROWS = 100_000
@@ -170,18 +170,20 @@ def exact_duplicates(docs: DataFrame, digest=full_digest) -> DataFrame:
 
 def one_of_each(docs: DataFrame, digest=full_digest) -> DataFrame:
     """docs without all but one row of each distinct text, with all their columns."""
-    columns = docs.columns
-    single, some, stay, hits = _split(docs, digest)
+    single, some, stay, hits = _split(packed(docs, "doc_id", "text"), digest)
     met = _verified(some, stay, hits)
     if met.where("_state = 2").isEmpty():
         # what stays of the hits is `stay`; rows that the filter let through without a twin stay too
-        alone = met.where("_state = 0").select("_digest").distinct()
-        lone = maybe_in(some, F.xxhash64("_digest"), key_filter(alone, F.xxhash64("_digest"))).where("_hit").drop("_hit")
-        kept = lone.join(alone, "_digest", "left_semi").select(columns).unionByName(stay.select(columns))
-    else:
-        nth = F.row_number().over(Window.partitionBy("_digest", "_text").orderBy(F.col("_id").desc_nulls_last()))
-        kept = some.withColumn("_nth", nth).where("_nth = 1").select(columns)
-    return single.select(columns).unionByName(kept)
+        alone = written(met.where("_state = 0").select("_digest").distinct(), "alone")
+        lone = maybe_in(some, F.xxhash64("_digest"), key_filter(alone, F.xxhash64("_digest"))).where("_hit")
+        kept = lone.join(alone, "_digest", "left_semi").select("_row").unionByName(stay.select("_row"))
+    else:  # of rows of one weak and one full digest the best, hot groups first within parts of them
+        some = some.withColumn("_sha", full_digest(F.col("_text"))).withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(64)))
+        for group in (["_digest", "_sha", "_part"], ["_digest", "_sha"]):
+            best = F.max_by(F.struct("_row", "_id", "_part"), F.coalesce("_id", F.lit(-(1 << 63))))
+            some = some.groupBy(*group).agg(best.alias("_best")).select(*[g for g in group if g != "_part"], "_best.*")
+        kept = some.select("_row")
+    return unpacked(single.select("_row").unionByName(kept), docs.columns)
 
 
 def documents_index(spark: SparkSession, docs: DataFrame) -> DataFrame:

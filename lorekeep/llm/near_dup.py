@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm import tokens as tk
-from lorekeep.llm.common import hot_keys, key_filter, maybe_in, skew_join, written
+from lorekeep.llm.common import hot_keys, key_filter, maybe_in, packed, skew_join, unpacked, written
 
 REGISTERS, ROWS, BANDS = 128, 4, 32
 MANTISSA = 10
@@ -73,16 +73,16 @@ def registers(doc: np.ndarray, s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return owners, ((zeros.astype(np.uint64) << np.uint64(MANTISSA)) | (low & np.uint64((1 << MANTISSA) - 1))).astype(np.uint16)
 
 
-def _texts(batch: pa.RecordBatch) -> Iterator[tuple[int, int, tk.Words]]:
+def _sets(batch: pa.RecordBatch, k: int) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, doc, shingle) of runs of rows."""
     for i, j, data, off in tk.chunks(batch.column("text")):
-        yield i, j, tk.Words(data, off, tk.SPACE, lower=True)
+        yield i, j, *tk.shingles(data, off, k)
 
 
 def sketcher(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, w in _texts(batch):
-                doc, s = tk.shingle_sets(w, k)
+            for i, j, doc, s in _sets(batch, k):
                 m = j - i
                 n = np.bincount(doc, minlength=m).astype(np.int64) if len(doc) else np.zeros(m, np.int64)
                 h1, h2 = np.zeros(m, np.uint64), np.zeros(m, np.uint64)
@@ -106,8 +106,7 @@ def sketcher(k: int):
 def set_maker(k: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i, j, w in _texts(batch):
-                doc, s = tk.shingle_sets(w, k)
+            for i, j, doc, s in _sets(batch, k):
                 offs = np.zeros(j - i + 1, np.int32)
                 np.cumsum(np.bincount(doc, minlength=j - i), out=offs[1:])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(i, j - i), pa.ListArray.from_arrays(pa.array(offs), pa.array(s.view(np.int64)))], names=["cid", "shingles"])
@@ -324,7 +323,7 @@ def one_of_each(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame:
     """The rows of docs whose document is kept, with all their columns; null doc_ids stay."""
     gone = near_duplicates(docs, k, percent).where("not kept").select("doc_id").distinct()
     gone = written(gone, "gone")
-    seen = maybe_in(docs, F.xxhash64(F.col("doc_id").cast("long")), key_filter(gone, F.xxhash64("doc_id")))
-    rest = seen.where("_hit").drop("_hit")
-    rest = rest.join(gone.withColumnRenamed("doc_id", "_gone"), rest["doc_id"] == F.col("_gone"), "left_anti")
-    return seen.where("not _hit").drop("_hit").unionByName(rest)
+    rows = packed(docs, "doc_id").withColumn("doc_id", F.col("doc_id").cast("long"))
+    seen = maybe_in(rows, F.xxhash64("doc_id"), key_filter(gone, F.xxhash64("doc_id")))
+    rest = seen.where("_hit").join(gone, "doc_id", "left_anti")
+    return unpacked(seen.where("not _hit").select("_row").unionByName(rest.select("_row")), docs.columns)

@@ -6,13 +6,13 @@ prefix sums of a polynomial modulo 2**64, and groups are reduced over sorted run
 
 from __future__ import annotations
 
-import sys
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
 
-#: Bytes handled at once; a longer text is handled alone.
+#: Bytes handled at once; a longer text is handled alone, in pieces of about as many.
 CHUNK_BYTES = 1 << 20
 BASE = np.uint64(0x9E3779B97F4A7C15)
 BASE_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
@@ -39,16 +39,23 @@ def seed(i: int) -> np.uint64:
     return np.uint64(mix(np.array([(i + 1) * 0x9E3779B97F4A7C15 % (1 << 64)], dtype=np.uint64))[0])
 
 
+BYTE_NUMBERS = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+
+
+@cache
+def _tile(n: int) -> tuple[np.ndarray, np.ndarray]:
+    out = []
+    for b in (BASE, BASE_INVERSE):
+        a = np.full(n, b, dtype=np.uint64)
+        a[0] = 1
+        out.append(np.cumprod(a, dtype=np.uint64))
+    return out[0], out[1]
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """BASE**i and BASE**-i modulo 2**64 for i < n, kept for the life of the process."""
-    _powers = sys.__dict__.setdefault("_lorekeep_powers", {})
-    if "up" not in _powers or len(_powers["up"]) < n:
-        m = max(n, CHUNK_BYTES) + 1
-        for name, b in (("up", BASE), ("down", BASE_INVERSE)):
-            a = np.full(m, b, dtype=np.uint64)
-            a[0] = 1
-            _powers[name] = np.cumprod(a, dtype=np.uint64)
-    return _powers["up"][:n], _powers["down"][:n]
+    """BASE**i and BASE**-i modulo 2**64 for i < n; tables for one chunk are kept, longer ones are not."""
+    up, down = _tile(CHUNK_BYTES + 2) if n <= CHUNK_BYTES + 2 else _tile.__wrapped__(n)
+    return up[:n], down[:n]
 
 
 def chunks(column: pa.Array, size: int = CHUNK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
@@ -84,6 +91,13 @@ class Words:
         self.count = np.bincount(self.doc, minlength=self.n) if len(self.doc) else np.zeros(self.n, np.int64)
         self.sums: np.ndarray | None = None
 
+    def second_hashes(self) -> np.ndarray:
+        """Another 64-bit hash of each word, over other numbers for the bytes: words that agree in `hashes` need not agree here."""
+        up, down = powers(len(self.data) + 1)
+        sums = np.zeros(len(self.data) + 1, np.uint64)
+        np.cumsum(BYTE_NUMBERS[self.data] * up[:-1], out=sums[1:])
+        return mix((sums[self.end] - sums[self.start]) * down[self.start])
+
     def hashes(self, end: np.ndarray | None = None) -> np.ndarray:
         """A 64-bit hash of each word's bytes (up to `end`, if given)."""
         up, down = powers(len(self.data) + 1)
@@ -93,6 +107,28 @@ class Words:
         return mix((self.sums[self.end if end is None else end] - self.sums[self.start]) * down[self.start])
 
 
+def long_text(data: np.ndarray, sep: np.ndarray, lower: bool, overlap: int = 0) -> Iterator[tuple[int, Words]]:
+    """(first byte, words) of pieces of one text of about CHUNK_BYTES, cut at separators.
+
+    Each piece but the first begins with the last `overlap` words of the one before it, so every
+    run of overlap + 1 words lies in exactly one piece. A piece grows until it has more words.
+    """
+    at, step = 0, CHUNK_BYTES
+    while True:
+        end = min(len(data), at + step)
+        if end < len(data):
+            cuts = np.flatnonzero(sep[data[at:end]])
+            end = at + int(cuts[-1]) + 1 if len(cuts) else at
+        w = Words(data[at:end], np.array([0, end - at]), sep, lower)
+        if end < len(data) and len(w.start) <= overlap:
+            step *= 2
+            continue
+        yield at, w
+        if end == len(data):
+            return
+        at, step = at + int(w.start[len(w.start) - overlap]) if overlap else end, CHUNK_BYTES
+
+
 def group_starts(ids: np.ndarray) -> np.ndarray:
     """Where each run of equal ids begins."""
     return np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]]) if len(ids) else np.zeros(0, np.int64)
@@ -101,6 +137,23 @@ def group_starts(ids: np.ndarray) -> np.ndarray:
 WEIGHT = [seed(1000 + i) | np.uint64(1) for i in range(8)]
 
 
+def shingles(data: np.ndarray, off: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """shingle_sets of texts with A-Z lower-cased; one long text is worked through in pieces."""
+    if len(off) > 2 or len(data) <= CHUNK_BYTES:
+        return shingle_sets(Words(data, off, SPACE, lower=True), k)
+    found, held = [], 0
+    for at, w in long_text(data, SPACE, True, k - 1):
+        if at and len(w.start) < k:
+            continue  # nothing but the words of the piece before
+        found.append(shingle_sets(w, k)[1])
+        held += len(found[-1])
+        if held > 4 * CHUNK_BYTES and len(found) > 1:
+            found = [np.unique(np.concatenate(found))]
+            held = 0
+    s = np.unique(np.concatenate(found))
+    return np.zeros(len(s), np.int64), s
+
+
 def shingle_sets(w: Words, k: int) -> tuple[np.ndarray, np.ndarray]:
     """(doc, hash) of the distinct k-word shingles, sorted; fewer than k words make one shingle."""
     h = w.hashes()
