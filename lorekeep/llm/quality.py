@@ -5,22 +5,24 @@ words), n_symbols (characters of [#*$%&|<>]), n_dup_lines (lines with a word tha
 line), n_repeat_words (words in 3-word windows found twice or more). base_failed: fewer than 50
 words, or more than half of them repeated.
 
-Method: every word and every pair of neighbouring word endings (two characters each) is hashed to
-one of 8192 buckets. The multinomial of the trusted documents and that of the raw corpus, both
-over all rows with add-one smoothing, give each bucket log p(target) - log p(raw), rounded to
-1/1000. A document's score is the sum over its n-grams divided by their number; it is kept if the
-score reaches the threshold, a fixed number of nats per n-gram, so the verdict on a document
-depends on nothing but its text and the two multinomials, and integer sums make reruns agree.
+Method: every word and every pair of neighbouring words is hashed to one of 65536 buckets. The
+multinomial of the raw corpus (add-one smoothing) and that of the trusted documents (smoothed with
+the raw corpus, which counts as PRIOR n-grams a bucket, at most twice the target itself: few trusted rows say little), both
+over all rows, give each bucket log p(target) - log p(raw), rounded to 1/1000. A document's score is
+the sum over its n-grams divided by their number; it is kept if the score reaches the threshold, a
+fixed number of nats per n-gram, so the verdict on a document depends on nothing but its text and
+the two multinomials, and integer sums make reruns agree.
 
 All is done with DataFrame functions. Per-document work stays in one row (no shuffle of texts);
-only bucket counts move. Repeated windows are found by sorting 64-bit numbers (hash and
-position); neighbours with equal hashes are compared as strings, and a document in which a hash
+only bucket counts move. Words are hashed once; pairs and windows hash their hashes. Repeated windows
+are found by sorting 64-bit numbers (hash and position); neighbours with equal hashes are compared as strings, and a document in which a hash
 deceives, or that has over two million words, is sorted by the windows' strings instead.
 
 Defined results: a null text has no words, fails the base rules and is not kept; without trusted
 rows every score is 0 and the base rules decide; repeated rows are judged alike; repeated trusted
-ids count once; extra columns are ignored by `quality` and kept by `keep_good`; an empty table
-gives an empty result.
+ids count once; a null doc_id is never trusted; texts of any length are one row; extra columns,
+whatever their names, are ignored by `quality` and kept by `keep_good`; an empty table gives an
+empty result.
 """
 
 from __future__ import annotations
@@ -31,16 +33,16 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import SPACES, words
+from lorekeep.llm.common import SPACES, key_filter, maybe_in, packed, unpacked, words, written
 
-BUCKETS = 8192
+BUCKETS = 1 << 16
+#: N-grams that the raw corpus counts for in the target's multinomial: so many a bucket, and so many times the target's own at most.
+PRIOR, PRIOR_SHARE = 4, 2
 #: Nats per n-gram below which a document is rejected.
-THRESHOLD = -0.3
+THRESHOLD = -0.15
 SCALE = 1000
 SYMBOLS = "#*$%&|<>"
 MIN_WORDS, MAX_REPEAT_PERCENT = 50, 50
-#: Trusted ids up to which they are broadcast (8 MB of ids); more are joined by a shuffle.
-BROADCAST_IDS = 1_000_000
 POSITION_BITS = 21
 
 
@@ -54,9 +56,9 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
 
 
 def _repeat_words() -> list[tuple[str, str]]:
-    """Steps (column, SQL) from `w` (words) to `n_repeat_words`."""
+    """Steps (column, SQL) from `w` (words) and `wh` (their hashes) to `n_repeat_words`."""
     mask = (1 << POSITION_BITS) - 1
-    keyed = f"transform(sequence(0, size(w) - 3), i -> (xxhash64(w[i], w[i + 1], w[i + 2]) & {~mask}L) | i)"
+    keyed = f"transform(sequence(0, size(w) - 3), i -> (xxhash64(wh[i], wh[i + 1], wh[i + 2]) & {~mask}L) | i)"
     near = lambda a, x, same: f"filter({a}, ({x}, j) -> (j > 0 AND {same(f'{a}[greatest(j - 1, 0)]', x)}) OR (j < size({a}) - 1 AND {same(x, f'{a}[least(j + 1, size({a}) - 1)]')}))"
     by_hash = lambda x, y: f"shiftright({x}, {POSITION_BITS}) = shiftright({y}, {POSITION_BITS})"
     at = lambda x: f"cast({x} & {mask}L as int)"
@@ -73,7 +75,7 @@ def _repeat_words() -> list[tuple[str, str]]:
 
 
 def base_counts(docs: DataFrame) -> DataFrame:
-    """docs with its words `w` and the base columns."""
+    """docs with its words `w`, their hashes `wh` and the base columns."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.translate(x, SPACES, "") != "")
     df = staged(docs, w=words(F.col("text").cast("string")), _lines=lines)
@@ -83,24 +85,20 @@ def base_counts(docs: DataFrame) -> DataFrame:
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"),
         "n_dup_lines": (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long"),
     })
+    df = staged(df, wh=F.expr(WORD_HASHES))
     for name, sql in _repeat_words():
         df = staged(df, **{name: F.expr(sql)})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
     return df.withColumn("base_failed", failed).drop("_lines", "win", "rep", "odd", "strs", "pos")
 
 
-def ngrams(w: str = "w") -> list[tuple[str, str]]:
-    """Steps (column, SQL) from words to `grams`, the buckets of the document's n-grams."""
-    return [
-        ("_ends", f"transform({w}, x -> right(x, 2))"),
-        ("grams", f"concat(transform({w}, x -> cast(pmod(xxhash64('word', x), {BUCKETS}) as int)), CASE WHEN size({w}) > 1 THEN transform(sequence(1, size({w}) - 1), i -> cast(pmod(xxhash64('ends', _ends[i - 1], _ends[i]), {BUCKETS}) as int)) ELSE array(cast(null as int)) END)"),
-    ]
+WORD_HASHES = "transform(w, x -> xxhash64(x))"
+GRAMS = f"concat(transform(wh, x -> cast(pmod(x, {BUCKETS}) as int)), CASE WHEN size(wh) > 1 THEN transform(sequence(1, size(wh) - 1), i -> cast(pmod(xxhash64(wh[i - 1], wh[i]), {BUCKETS}) as int)) ELSE array(cast(null as int)) END)"
 
 
 def with_grams(df: DataFrame) -> DataFrame:
-    for name, sql in ngrams():
-        df = staged(df, **{name: F.expr(sql)})
-    return df.drop("_ends")
+    """df with `grams`, the buckets of its words (hashes `wh`) and of its neighbouring words."""
+    return staged(df, grams=F.expr(GRAMS))
 
 
 def log_ratios(docs: DataFrame, trusted: DataFrame | None) -> list[int]:
@@ -111,35 +109,44 @@ def log_ratios(docs: DataFrame, trusted: DataFrame | None) -> list[int]:
     if trusted is None:
         return [0] * BUCKETS
     ids = trusted.select(F.col("doc_id").cast("long").alias("_id")).where("_id is not null").distinct()
-    if ids.count() <= BROADCAST_IDS:
-        ids = F.broadcast(ids)
     rows = docs.select(F.col("doc_id").cast("long").alias("_id"), "text")
-    rows = staged(rows.join(ids.withColumn("_good", F.lit(1)), "_id", "left"), w=words(F.col("text").cast("string")))
-    rows = with_grams(rows)
+    ids = written(ids, "trusted")
+    # a filter of fixed size lets texts lie where they are; only those that may be trusted meet the ids
+    seen = maybe_in(rows, F.xxhash64("_id"), key_filter(ids, F.xxhash64("_id")))
+    met = seen.where("_hit").drop("_hit").join(ids.withColumn("_good", F.lit(1)), "_id", "left")
+    rows = seen.where("not _hit").drop("_hit").withColumn("_good", F.lit(None).cast("int")).unionByName(met)
+    rows = staged(rows, w=words(F.col("text").cast("string")))
+    rows = with_grams(staged(rows, wh=F.expr(WORD_HASHES)))
     each = rows.select(F.coalesce("_good", F.lit(0)).alias("good"), F.explode_outer("grams").alias("g")).where("g is not null")
     counts = each.groupBy("g").agg(F.count("*").alias("n"), F.sum("good").alias("good")).collect()
-    raw, good = [1] * BUCKETS, [1] * BUCKETS
+    raw, good = [1] * BUCKETS, [0] * BUCKETS
     for r in counts:
         raw[r.g] += r.n
         good[r.g] += r.good
-    if sum(good) == BUCKETS:
-        return [0] * BUCKETS
-    all_raw, all_good = math.log(sum(raw)), math.log(sum(good))
-    return [round(SCALE * (math.log(g) - all_good - math.log(r) + all_raw)) for g, r in zip(good, raw, strict=True)]
+    return ratios(raw, good)
+
+
+def ratios(raw: list[int], good: list[int]) -> list[int]:
+    """Log ratios from the buckets' counts, raw ones with one added."""
+    all_raw, all_good = sum(raw), sum(good)
+    prior = min(PRIOR * len(raw), PRIOR_SHARE * all_good)
+    if not all_good:
+        return [0] * len(raw)
+    return [round(SCALE * (math.log((g + prior * r / all_raw) / (all_good + prior)) - math.log(r / all_raw))) for g, r in zip(good, raw, strict=True)]
 
 
-def score(ratios: list[int]) -> Column:
+def score(found: list[int]) -> Column:
     """Mean log ratio of the n-grams in `grams`, 0 without any."""
-    table = F.lit(np.array(ratios, dtype=np.int32))  # one literal, not BUCKETS expressions
+    table = F.lit(np.array(found, dtype=np.int32))  # one literal, not BUCKETS expressions
     real = F.size("w") + F.greatest(F.size("w") - 1, F.lit(0))
     total = F.aggregate("grams", F.lit(0).cast("long"), lambda s, g: s + F.when(g.isNull(), 0).otherwise(F.get(table, g)))
     return F.when(real > 0, total / (SCALE * real)).otherwise(F.lit(0.0))
 
 
 def judged(docs: DataFrame, trusted: DataFrame | None, threshold: float) -> DataFrame:
-    ratios = log_ratios(docs, trusted)
+    found = log_ratios(docs, trusted)
     df = with_grams(base_counts(docs))
-    df = staged(df, score=score(ratios)).drop("grams", "w")
+    df = staged(df, score=score(found)).drop("grams", "w", "wh")
     return df.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= threshold))
 
 
@@ -151,8 +158,7 @@ def quality(docs: DataFrame, trusted: DataFrame | None, threshold: float = THRES
 
 def keep_good(docs: DataFrame, trusted: DataFrame | None, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs that pass, with all their columns."""
-    inner = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id"), F.col("text"))
-    return judged(inner, trusted, threshold).where("kept").select("_row.*")
+    return unpacked(judged(packed(docs, "doc_id", "text"), trusted, threshold).where("kept"), docs.columns)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
