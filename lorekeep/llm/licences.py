@@ -1,35 +1,44 @@
 """Licence scan: sparse TF-IDF cosine to licence templates, then inheritance along directories.
 
-A document is a file with a path. Each line of its whole text is a possible header; in a licence
-file (name LICENSE, COPYING and the like) the text as a whole is compared as well. Terms are runs
-of letters and digits, A-Z lower-cased, without the stop words; a term weighs tf * (1 + ln(N / df)) with
-df counted over all documents for the templates' terms, and N for any other. The licence is the
-template with the highest cosine, if it reaches the threshold. A file without a licence of its own
-takes that of the nearest directory above it that holds a licence file with one.
-
-How: only lines whose share of template terms lets the cosine reach the threshold are looked at
-further, an exact bound that needs no weights, so the texts stay where they are and few short rows
-move. Inheritance joins directories,
-not files: the distinct directories with their ancestors against the directories that have a
-licence, then files with their own directory's answer. Only DataFrame functions are used.
+A document is a file with a path. What is compared with the templates: each line of its whole text,
+each run of neighbouring lines that mostly hold template terms (a header that wraps), and, in a
+licence file (name LICENSE, COPYING and the like), the text as a whole. Terms are runs of letters
+and digits, A-Z lower-cased, without the stop words; a term weighs tf * (1 + ln(N / df)) with df
+counted over all documents. The licence is the template with the highest cosine, if it reaches the
+threshold. A file without a licence of its own takes that of the nearest directory above it that
+holds a licence file with one.
+
+How: one pass counts df of the templates' terms. With these weights a second pass bounds each
+part's cosine to each template, taking every other term at the least weight there is (1); only
+parts that can reach the threshold leave their task, so the texts stay where they are and few short
+rows move. A last pass counts df of the other terms of those parts alone. Inheritance joins
+directories, not files: the distinct directories with their ancestors against the directories that
+have a licence, then files with their own directory's answer. Only DataFrame functions are used.
 
 Defined results: a null text has no lines; a null or empty path is the root directory; equal
 cosines go to the licence that comes first by name; several licence files of a directory count by
-cosine, then name; repeated rows are scanned alike; extra columns are ignored; an empty table gives
-an empty result.
+cosine, then name; repeated rows are scanned alike, and each counts in N and df; a null doc_id is
+kept; texts and lines of any length are compared whole; extra columns, whatever their names, are
+ignored; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import math
+import re
+from collections import Counter
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import written
+from lorekeep.llm.common import key_filter, maybe_in, written
 
 THRESHOLD = 0.6
 LICENCE_FILE = r"(?i)^(licen[sc]e|copying|unlicense|notice)([._-].*)?$"
+#: A line belongs to a run if so large a share of its terms are template terms.
+RUN_SHARE = 1 / 3
 
-#: Short notices by which the licences are declared.
+#: Notices by which the licences are declared, and (-text) the texts of the short licences.
 TEMPLATES = {
     "MIT": "Released under the MIT License. Permission is hereby granted, free of charge, to any person obtaining a copy of this software",
     "MIT-short": "Released under the MIT License.",
@@ -43,6 +52,37 @@ TEMPLATES = {
     "CC-BY-SA-4.0": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License. Licensed under CC BY-SA 4.0.",
     "CC-BY-NC-4.0": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
     "CC-BY-NC-4.0-short": "Licensed under CC BY-NC 4.0.",
+    "MIT-text": (
+        "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), "
+        "to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, "
+        "and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: "
+        "The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. "
+        "THE SOFTWARE IS PROVIDED AS IS, WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, "
+        "FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, "
+        "WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+    ),
+    "ISC-text": (
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice "
+        "and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED AS IS AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL "
+        "IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES "
+        "WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH "
+        "THE USE OR PERFORMANCE OF THIS SOFTWARE."
+    ),
+    "BSD-3-Clause-text": (
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: "
+        "1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. "
+        "2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation "
+        "and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse "
+        "or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS AS IS "
+        "AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. "
+        "IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT "
+        "LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER "
+        "IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+    ),
+    "Unlicense-text": (
+        "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, "
+        "either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+    ),
 }
 #: Words that say nothing about a licence.
 STOP = "a an and any as at be by for from in is it of on or the this that to with without you your not may use are s".split()
@@ -54,39 +94,77 @@ def term_list(text: Column) -> Column:
     return F.filter(parts, lambda x: (x != "") & ~x.isin(STOP))
 
 
+def notice_terms(text: str) -> Counter:
+    """term_list of a notice, counted; the notices are ASCII."""
+    return Counter(x for x in re.findall(r"[a-z0-9]+", text.lower()) if x not in STOP)
+
+
+def document_counts(files: DataFrame, vocabulary: list[str]) -> tuple[int, dict[str, int]]:
+    """(number of files, df of each term of a small vocabulary): one row a term reaches the driver."""
+    has = files.select(F.array_distinct(F.filter(term_list(F.col("text")), lambda x: x.isin(vocabulary))).alias("terms"))
+    rows = has.select(F.explode(F.concat("terms", F.array(F.lit("")))).alias("term")).groupBy("term").count().collect()  # "": every file
+    df = {r["term"]: r["count"] for r in rows}
+    return df.pop("", 0), df
+
+
 def own_licences(files: DataFrame, threshold: float) -> DataFrame:
     """(row, name, licence, cosine): the best template of each file that reaches the threshold.
 
-    files has row (a key), name (the file's own name) and text.
+    files has row (a key), name (the file's own name) and text (not null).
     """
     spark = files.sparkSession
-    patterns = spark.createDataFrame(list(TEMPLATES.items()), "template string, notice string")
-    t = patterns.select("template", F.explode(term_list(F.col("notice"))).alias("term")).groupBy("template", "term").agg(F.count("*").alias("tf"))
-    vocabulary = sorted({r.term for r in t.select("term").distinct().collect()})  # of the fixed templates
-    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    notices = {name: notice_terms(text) for name, text in TEMPLATES.items()}
+    vocabulary = sorted({t for c in notices.values() for t in c})
+    n, df = document_counts(files, vocabulary)
+    idf = lambda d: 1 + math.log(max(n, 1) / max(d, 1))
+    weight = {t: idf(df.get(t, 0)) for t in vocabulary}
+    rows = []
+    for name, c in notices.items():
+        norm = math.sqrt(sum((k * weight[t]) ** 2 for t, k in c.items()))
+        rows += [(name, t, k * weight[t] / norm) for t, k in c.items()]
+
+    known = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, weight[t])])
+    of_template = {name: F.create_map(*[F.lit(x) for m, t, w in rows if m == name for x in (t, w)]) for name in notices}
+
+    def bounded(parts: DataFrame) -> DataFrame:
+        """The parts (list) whose cosine can reach the threshold: other terms weigh 1 at least, and come once each."""
+        parts = parts.withColumn("hits", F.filter("list", lambda x: x.isin(vocabulary)))
+        sums = parts.withColumn("tf", F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("t"), (F.size(F.filter("hits", lambda x: x == t)) * F.element_at(known, t)).alias("w"))))
+        own = F.aggregate("tf", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
+        others = F.size(F.array_distinct("list")) - F.size("tf")
+        norm = F.sqrt(own + others)
+        dot = lambda m: F.aggregate("tf", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at(m, x["t"]), F.lit(0.0)))
+        dots = [dot(m) for m in of_template.values()]
+        return sums.where(own >= threshold**2 * (own + others)).where(F.greatest(*dots) >= (threshold - 1e-6) * norm).drop("hits", "tf")
+
     is_file = F.coalesce(F.col("name"), F.lit("")).rlike(LICENCE_FILE)
-    parts = F.concat(F.split(text, "\n"), F.when(is_file & text.contains("\n"), F.array(text)).otherwise(F.array().cast("array<string>")))
-    lines = files.select("row", F.posexplode(parts).alias("line", "part")).select("row", "line", F.inline_outer(F.array(F.struct(term_list(F.col("part")).alias("list")))))
-    lines = lines.withColumn("known", F.size(F.filter("list", lambda x: x.isin(vocabulary))))
-    # no other term weighs less than a known one, so known^2 / (known^2 + others) bounds the squared cosine
-    bound = F.col("known") * F.col("known") >= threshold**2 * (F.col("known") * F.col("known") + F.size("list") - F.col("known"))
-    lines = written(lines.where((F.col("known") > 0) & bound).select("row", "line", "list"), "lines")
-
-    n = files.count()
-    each = lines.select("row", "line", F.explode("list").alias("term")).groupBy("row", "line", "term").agg(F.count("*").alias("tf"))
-    per_file = files.select(F.array_distinct(F.filter(term_list(text), lambda x: x.isin(vocabulary))).alias("terms"))
-    df = per_file.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
-    idf = F.broadcast(df.select("term", (1 + F.log(F.lit(float(max(n, 1))) / F.col("df"))).alias("idf")))  # a row a template term at most
-    rare = F.lit(1.0) + F.log(F.lit(float(max(n, 1))))
-    weigh = lambda x: x.join(idf, "term", "left").withColumn("w", F.col("tf") * F.coalesce("idf", rare)).drop("idf")
-    lw, tw = weigh(each), weigh(t)
-    norm = lw.groupBy("row", "line").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
-    t_norm = tw.groupBy("template").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("t_norm"))
-    tw = F.broadcast(tw.join(t_norm, "template").select("template", "term", (F.col("w") / F.col("t_norm")).alias("tw")))
-    dots = lw.join(tw, "term").groupBy("row", "line", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
-    scored = dots.join(norm, ["row", "line"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
-    scored = scored.withColumn("licence", F.regexp_replace("template", "-short$", ""))
-    best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence", "line")).alias("b")
+    once = lambda df, **c: df.select("*", F.inline_outer(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))))
+    lines = files.select("row", F.posexplode(F.split("text", "\n")).alias("line", "part"))
+    lines = once(lines, list=term_list(F.col("part"))).drop("part")
+    lines = lines.withColumn("known", F.size(F.filter("list", lambda x: x.isin(vocabulary)))).where("known > 0")
+    alone = bounded(lines.select("row", F.col("line").alias("part"), "list"))
+    # neighbouring lines of mostly template terms; their numbers are negative
+    dense = written(lines.where(F.col("known") >= RUN_SHARE * F.size("list")).select("row", "line", "list"), "dense")
+    of_row = Window.partitionBy("row").orderBy("line")
+    dense = dense.withColumn("run", F.col("line") - F.row_number().over(of_row))
+    runs = dense.groupBy("row", "run").agg(F.min("line").alias("line"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "list"))), lambda x: x["list"])).alias("list"), F.count("*").alias("lines"))
+    runs = bounded(runs.where("lines > 1").select("row", (-1 - F.col("line")).alias("part"), "list"))
+    whole = files.where(is_file & F.col("text").contains("\n")).select("row", F.lit(1 << 30).alias("part"), term_list(F.col("text")).alias("list"))
+    parts = written(alone.unionByName(runs).unionByName(bounded(whole)), "parts")
+
+    each = parts.select("row", "part", F.explode("list").alias("term")).groupBy("row", "part", "term").agg(F.count("*").alias("tf"))
+    strange = written(each.where(~F.col("term").isin(vocabulary)).select("term").distinct(), "strange")
+    terms = files.select(F.explode(F.array_distinct(term_list(F.col("text")))).alias("term"))
+    terms = maybe_in(terms, F.xxhash64("term"), key_filter(strange, F.xxhash64("term"))).where("_hit").groupBy("term").agg(F.count("*").alias("df"))
+    of_known = spark.createDataFrame([(t, w) for t, w in weight.items()], "term string, idf double")
+    idfs = terms.join(strange, "term", "left_semi").select("term", (1 + F.log(F.lit(float(max(n, 1))) / F.col("df"))).alias("idf")).unionByName(of_known)
+    weighed = each.join(idfs, "term").withColumn("w", F.col("tf") * F.col("idf"))
+    norm = weighed.groupBy("row", "part").agg(F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("norm"))
+    templates = F.broadcast(spark.createDataFrame(rows, "template string, term string, tw double"))  # the fixed templates
+    dots = weighed.join(templates, "term").groupBy("row", "part", "template").agg(F.sum(F.col("w") * F.col("tw")).alias("dot"))
+    scored = dots.join(norm, ["row", "part"]).withColumn("cosine", F.round(F.col("dot") / F.col("norm"), 6)).where(F.col("cosine") >= threshold)
+    scored = scored.withColumn("licence", F.regexp_replace("template", "-(short|text)$", ""))
+    best = F.min(F.struct((-F.col("cosine")).alias("c"), "licence", "part")).alias("b")
     return scored.groupBy("row").agg(best).select("row", "b.licence", (-F.col("b.c")).alias("cosine"))
 
 
@@ -97,9 +175,9 @@ def directory(path: Column) -> Column:
 def licences(files: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """doc_id, path, licence, cosine, origin (own, inherited, none), inherited_from; files has doc_id, path, text."""
     path = F.coalesce(F.col("path"), F.lit(""))
-    files = files.select("doc_id", path.alias("path"), "text").withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
+    files = files.select("doc_id", path.alias("path"), F.col("text").cast("string").alias("text")).withColumn("name", F.regexp_extract("path", "[^/]*$", 0))
     files = files.withColumn("row", F.sha2(F.concat_ws("\0", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("path"), F.coalesce("text", F.lit("-"))), 256))
-    own = own_licences(files, threshold)
+    own = own_licences(files.select("row", "name", F.coalesce("text", F.lit("")).alias("text")), threshold)
     rows = written(files.select("row", "doc_id", "path", "name"), "files").join(written(own, "own"), "row", "left")
     rows = rows.withColumn("dir", directory(F.col("path")))
     of_dir = rows.where(F.col("name").rlike(LICENCE_FILE) & F.col("licence").isNotNull()).groupBy("dir").agg(F.min(F.struct((-F.col("cosine")).alias("c"), "licence")).alias("b"))
