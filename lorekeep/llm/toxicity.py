@@ -8,9 +8,9 @@ Voters see words (runs of letters and digits, A-Z lower-cased) and their 4 to 6-
 a fixed lexicon of insults, lexicons mined from the sample (terms found almost only in toxic rows,
 dealt to several voters by hash), and patterns (several hits, hits by density, hits close to each
 other, no hit at all as a vote for clean). The label model is a two-class mixture fitted by EM on
-the votes: class balance, each voter's rates of voting either way per class, and the voters'
-correlations within a class; voters that say the same thing share their weight, so a family of
-similar lexicons does not count several times over. Its posteriors, never the raw labels, are the
+the votes: class balance, each voter's rates of voting either way per class, and, along a tree of
+the most correlated voters, its rates given how its neighbour votes, so a family of similar lexicons
+does not count several times over (LabelModel). Its posteriors, never the raw labels, are the
 targets of a logistic regression on hashed terms, the linear classifier that gives the score. It
 learns weights of at most FEATURES terms, those whose share of rows differs most between the classes,
 and every one of them counts in the scores.
@@ -18,8 +18,8 @@ Language, source, doc_id and labels are never inputs of a score.
 
 Defined results: null and empty texts get the score of a text without terms; a document with
 contradicting label rows counts as toxic; repeated rows are scored alike; without any labelled
-row the fixed lexicon alone decides; extra columns are ignored; an empty table gives an empty
-result.
+row the fixed lexicon alone decides; a null doc_id is scored and not held out; extra columns are
+ignored; an empty table gives an empty result. A text over a megabyte is read in pieces.
 """
 
 from __future__ import annotations
@@ -106,37 +106,60 @@ def voters(n: int, doc: np.ndarray, term: np.ndarray, at: np.ndarray, mined: np.
 
 
 class LabelModel:
-    """Two-class mixture over votes with shared weight for correlated voters."""
+    """Two-class mixture over votes, fitted by EM, in which voters depend on the class and on one other voter.
+
+    `start` is what an annotator who errs in a tenth of the rows says of each: one more voter, of
+    fixed accuracy, that anchors which class is which.
+
+    Within a class the votes form a tree: p(votes | class) = product of p(vote | class, vote of the
+    voter's parent). The tree joins the voters of highest mutual information given the class (the
+    best tree there is), so a family of voters that say the same thing counts about once. Accuracies
+    are the voters' rates given the class, correlations the rates given class and parent; both are
+    re-estimated in every round, the tree as well.
+    """
 
     def __init__(self, votes: np.ndarray, start: np.ndarray, rounds: int = 30):
-        p = start.astype(float)
-        k = votes.shape[1]
-        one = [(votes == v).astype(float) for v in (-1, 0, 1)]
-        self.share = np.ones(k)
+        p = self.start = start.astype(float)
+        self.hot = np.stack([votes == v for v in (-1, 0, 1)], axis=2).astype(float)  # row, voter, vote
         for _ in range(rounds):
-            self.balance = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
-            rates = []
-            for w in (1 - p, p):
-                r = np.stack([(o * w[:, None]).sum(0) + 0.5 for o in one])
-                rates.append(r / r.sum(0))
-            self.rates = np.stack(rates)  # class, vote, voter
-            # voters' correlation within the classes; each shares its weight with those it repeats
-            c = np.zeros((k, k))
-            for w in (1 - p, p):
-                mean = (votes * w[:, None]).sum(0) / max(w.sum(), 1e-9)
-                z = (votes - mean) * np.sqrt(w)[:, None]
-                c += z.T @ z
-            dev = np.sqrt(np.maximum(np.diag(c), 1e-12))
-            self.correlation = c / np.outer(dev, dev)
-            self.share = 1 / np.maximum(1, (np.clip(self.correlation, 0, 1) ** 2).sum(0))
+            self._maximise(p)
             new = self.posterior(votes)
             if np.abs(new - p).max() < 1e-6:
                 break
             p = new
+        del self.hot
+
+    def _maximise(self, p: np.ndarray) -> None:
+        n, k, _ = self.hot.shape
+        self.balance = float(np.clip(p.mean(), 1e-3, 1 - 1e-3))
+        self.odds = np.log(self.start / (1 - self.start))
+        flat = self.hot.reshape(n, 3 * k)
+        both = np.stack([(flat * w[:, None]).T @ flat for w in (1 - p, p)]).reshape(2, k, 3, k, 3) + 0.5 / 9
+        both /= both.sum(axis=(2, 4), keepdims=True)  # class, voter, vote, voter, vote
+        one = both.sum(axis=4)[:, :, :, 0]  # class, voter, vote
+        expected = one[:, :, :, None, None] * one[:, None, None, :, :]
+        share = np.array([1 - self.balance, self.balance])[:, None, None]
+        self.information = (share * (both * np.log(both / expected)).sum(axis=(2, 4))).sum(0)
+        # the spanning tree of highest information, grown from voter 0
+        self.parent, free = np.full(k, -1), np.arange(k) > 0
+        best, to = self.information[0].copy(), np.zeros(k, int)
+        while free.any():
+            j = int(np.argmax(np.where(free, best, -np.inf)))
+            self.parent[j], free[j] = to[j], False
+            better = self.information[j] > best
+            best, to = np.where(better, self.information[j], best), np.where(better, j, to)
+        # log p(vote | class, parent's vote); the root has itself as parent
+        self.log = np.zeros((2, k, 3, 3))  # class, voter, parent's vote, vote
+        for j in range(k):
+            joint = both[:, self.parent[j], :, j, :] if self.parent[j] >= 0 else np.repeat(one[:, j, None, :], 3, axis=1)
+            self.log[:, j] = np.log(joint / joint.sum(axis=2, keepdims=True))
+        self.accuracy = one
 
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        ratio = np.log(self.rates[1]) - np.log(self.rates[0])  # vote, voter
-        s = np.log(self.balance / (1 - self.balance)) + (ratio[votes + 1, np.arange(votes.shape[1])] * self.share).sum(1)
+        k = votes.shape[1]
+        above = votes[:, np.where(self.parent < 0, np.arange(k), self.parent)] + 1
+        of = self.log[:, np.arange(k), above, votes + 1].sum(axis=2)  # class, row
+        s = self.odds + of[1] - of[0]
         return 1 / (1 + np.exp(-np.clip(s, -30, 30)))
 
 
@@ -216,19 +239,32 @@ def learn(docs: DataFrame, labels: DataFrame, max_fit: int = MAX_FIT) -> tuple[n
 
 
 def scorer(terms: np.ndarray, weights: np.ndarray, bias: float):
+    """doc_id and score of each text; a term counts three times at most, as in the fit."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         slots, keys, vals = lookup(terms, weights)
+
+        def met(w: tk.Words) -> tuple[np.ndarray, np.ndarray]:
+            """(doc, place in keys) of every known term."""
+            docs, places = [], []
+            for d, h in term_hashes(w):
+                ok = np.flatnonzero(slots[(h & np.uint64(TABLE - 1)).astype(np.int64)])
+                place = np.searchsorted(keys, h[ok])
+                same = keys[np.minimum(place, len(keys) - 1)] == h[ok] if len(ok) else np.zeros(0, bool)
+                docs.append(d[ok[same]])
+                places.append(place[same])
+            return np.concatenate(docs), np.concatenate(places)
+
         for b in batches:
             for i, j, data, off in tk.chunks(b.column("text")):
-                s = np.zeros(j - i)
-                for d, h in term_hashes(tk.Words(data, off, tk.NO_LETTER, lower=True)):
-                    ok = np.flatnonzero(slots[(h & np.uint64(TABLE - 1)).astype(np.int64)])
-                    place = np.searchsorted(keys, h[ok])
-                    same = keys[np.minimum(place, len(keys) - 1)] == h[ok] if len(ok) else np.zeros(0, bool)
-                    ok, place = ok[same], place[same]
-                    if len(ok):  # each term counts three times at most, as in the fit
-                        at, n = np.unique(np.stack([d[ok], place]), axis=1, return_counts=True)
-                        s += np.bincount(at[0], weights=vals[at[1]] * np.minimum(n, 3), minlength=j - i)
+                if j - i == 1 and len(data) > tk.CHUNK_BYTES:
+                    times = np.zeros(len(keys), np.int64)
+                    for _, w in tk.long_text(data, tk.NO_LETTER, True):
+                        times += np.bincount(met(w)[1], minlength=len(keys))
+                    s = np.array([(vals * np.minimum(times, 3)).sum()])
+                else:
+                    key, n = np.unique(np.stack(met(tk.Words(data, off, tk.NO_LETTER, lower=True))), axis=1, return_counts=True)
+                    s = np.bincount(key[0], weights=vals[key[1]] * np.minimum(n, 3), minlength=j - i) if len(n) else np.zeros(j - i)
                 p = 1 / (1 + np.exp(-np.clip(s + bias, -30, 30)))
                 yield pa.RecordBatch.from_arrays([b.column("doc_id").slice(i, j - i), pa.array(p)], names=["doc_id", "score"])
 
