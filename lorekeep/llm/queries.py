@@ -12,6 +12,9 @@ from lorekeep.llm.common import table
 #: A public SentencePiece model; any other file can be given.
 MODEL_PATH = "/opt/tokenizers/piece_bpe_32k.model"
 
+#: Words of a run of repeats from which op9 removes it: shorter ones are in most clean documents too.
+OP9_WORDS = 20
+
 
 def op1_ngram_ratio_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     trusted = quality.trusted_ids(table(spark, sf_dir, "labels"))
@@ -47,7 +50,7 @@ def op8_sainte_lague_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_line_hash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.repeated_spans(table(spark, sf_dir, "documents"), stretches=True)
+    return line_dedup.repeated_spans(table(spark, sf_dir, "documents"), min_words=OP9_WORDS, sentences=True, stretches=True)
 
 
 def op10_prefix_sum_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
