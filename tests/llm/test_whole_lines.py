@@ -44,5 +44,5 @@ def test_every_shared_run_shares_a_stretch(spark):
     for i in range(60):
         shared = " ".join(f"w{r.randrange(3000)}" for _ in range(least))
         docs += [(2 * i + k, " ".join([*(f"a{r.random()}" for _ in range(r.randrange(40))), shared, *(f"a{r.random()}" for _ in range(r.randrange(40)))])) for k in range(2)]
-    got = line_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), stretches=True)
+    got = line_dedup.repeated_spans(spark.createDataFrame(docs, "doc_id long, text string"), min_words=10, sentences=True, stretches=True)
     assert all((row.words_removed >= line_dedup.STRETCH) == (row.doc_id % 2 == 1) for row in got.collect())
