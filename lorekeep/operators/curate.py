@@ -41,14 +41,24 @@ def apply_overrides(edges: DataFrame, rules: DataFrame) -> tuple[DataFrame, Data
     return kept.unionByName(new, allowMissingColumns=True), report
 
 
-def numbered(rows: DataFrame, key: str, width: int = 8) -> DataFrame:
-    """rows with n, their number from 0 in order of a string key.
+def numbered(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
+    """rows with n, their number from 0 in order of a key.
 
-    Rows are numbered inside buckets of equal beginnings and the buckets' sizes summed up, so no
-    task sees more than a bucket.
+    The keys are cut into ranges at `buckets` bounds, taken from a sample of bounded size; rows are
+    numbered inside their range and the ranges' sizes summed up, so no task sees more than a range.
+    A poor sample makes uneven ranges, never other numbers.
     """
-    rows = rows.withColumn("_b", F.substring(key, 1, width))
+    some = rows.select(F.col(key).alias("k")).orderBy(F.xxhash64("k")).limit(64 * buckets)
+    cut = some.withColumn("i", F.row_number().over(Window.orderBy("k"))).where("i % 64 = 0").select("k").distinct().collect()
+    bounds = F.array(*[F.lit(k) for k in sorted(r.k for r in cut)]) if cut else F.array().cast("array<string>")
+    rows = rows.withColumn("_b", F.size(F.filter(bounds, lambda x: x < F.col(key))))
     sizes = rows.groupBy("_b").agg(F.count("*").alias("_c"))
     start = sizes.withColumn("_from", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
     inside = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return rows.withColumn("_i", inside).join(start, "_b").withColumn("n", F.col("_from") + F.col("_i")).drop("_b", "_i", "_from")
+    return rows.withColumn("_i", inside).join(F.broadcast(start), "_b").withColumn("n", F.col("_from") + F.col("_i")).drop("_b", "_i", "_from")
+
+
+def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:
+    """(key, n): the distinct values of a small dictionary (predicates, fields), numbered by their first appearance in `order`."""
+    first = rows.where(F.col(key).isNotNull()).groupBy(key).agg(F.min(order).alias("_at"))
+    return first.select(key, (F.row_number().over(Window.orderBy("_at", key)) - 1).alias("n"))

@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 TITLE_COVERAGE = 0.6
 
 
-def title_coverage(questions: DataFrame, names: DataFrame, least: float = TITLE_COVERAGE, pages: int | None = 4) -> DataFrame:
+def title_coverage(questions: DataFrame, names: DataFrame, least: float = TITLE_COVERAGE, pages: int | None = 4, among: DataFrame | None = None) -> DataFrame:
     """(qid, page_id, coverage, hits, aliases, rank): pages that a question names.
 
     questions (qid, terms); names (page_id, terms): a row for the title and each alias. The share
     of a name's terms that the question holds counts, the best name of a page wins; then more
-    hits, then more names, then the smaller page_id. Joined on terms, so only pages that share a
-    term with a question are looked at.
+    hits, then more names, then the smaller page_id. With `among` (qid, page_id), the pages that a
+    recall step let through, only these are looked at; without, all that share a term with a question.
     """
     named = names.where(F.size("terms") > 0).withColumn("name", F.xxhash64("page_id", F.array_sort("terms")))
     n_names = names.groupBy("page_id").agg((F.count("*") - 1).alias("aliases"))
     words = named.select("page_id", "name", F.size("terms").alias("size"), F.explode("terms").alias("term"))
     asked = questions.select("qid", F.explode("terms").alias("term")).distinct()
-    met = words.join(asked, "term").groupBy("qid", "page_id", "name", "size").agg(F.count_distinct("term").alias("hits"))
+    if among is not None:  # a bounded number of pages a question, so common words of titles make no more rows than that
+        met = words.join(among, "page_id").join(asked, ["qid", "term"])
+    else:
+        met = words.join(asked, "term")
+    met = met.groupBy("qid", "page_id", "name", "size").agg(F.count_distinct("term").alias("hits"))
     best = met.groupBy("qid", "page_id").agg(F.max(F.struct((F.col("hits") / F.col("size")).alias("coverage"), "hits")).alias("b"))
     best = best.select("qid", "page_id", "b.coverage", "b.hits").where(F.col("coverage") >= least).join(n_names, "page_id")
     order = [F.col("coverage").desc(), F.col("hits").desc(), F.col("aliases").desc(), F.col("page_id")]
@@ -28,11 +32,11 @@ def title_coverage(questions: DataFrame, names: DataFrame, least: float = TITLE_
     return best.where(F.col("rank") <= pages) if pages else best
 
 
-def lead_chunks(chunks: DataFrame, per_page: int, kinds: list[str] | None = None) -> DataFrame:
-    """chunks with slot (1..per_page) inside each page: infobox, summary, body, then by ordinal."""
+def lead_chunks(chunks: DataFrame, per_page: int, kinds: list[str] | None = None, by: list[str] | None = None) -> DataFrame:
+    """chunks with slot (1..per_page) inside each page (or `by`): infobox, summary, body, then by ordinal."""
     kind_rank = F.when(F.col("kind") == "infobox", 0).when(F.col("kind") == "summary", 1).otherwise(2)
     rows = chunks.where(F.col("kind").isin(kinds)) if kinds else chunks
-    slot = F.row_number().over(Window.partitionBy("page_id").orderBy(kind_rank, "ordinal", "chunk_id"))
+    slot = F.row_number().over(Window.partitionBy(*(by or ["page_id"])).orderBy(kind_rank, "ordinal", "chunk_id"))
     return rows.withColumn("slot", slot).where(F.col("slot") <= per_page)
 
 

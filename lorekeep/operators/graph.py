@@ -1,4 +1,4 @@
-"""The property graph: adjacency, degrees, neighbours, facts, walks, comparisons and their sentences.
+"""The property graph: look-ups, adjacency, degrees, neighbours, facts, walks, comparisons, and pages of paths.
 
 nodes (id, kind, label, page_id, classes), edges (eid, s, p, o); predicates (p, label, inverse,
 priority) is the small ontology table.
@@ -30,6 +30,32 @@ def edge_order() -> list[Column]:
     return [F.col("prio"), F.when(F.col("dir") == "out", 0).otherwise(1), F.col("p"), F.col("eid")]
 
 
+def nodes_of(nodes: DataFrame, ids: DataFrame) -> DataFrame:
+    """The nodes of ids (id); unknown ids give no row."""
+    return nodes.join(ids.select("id").distinct(), "id", "left_semi")
+
+
+def nodes_for_pages(nodes: DataFrame, pages: DataFrame) -> DataFrame:
+    """pages (page_id, ...) with the entity `node` that stands for the page; pages without one are left out."""
+    own = nodes.where((F.col("kind") == "entity") & F.col("page_id").isNotNull()).groupBy("page_id").agg(F.min("id").alias("node"))
+    return pages.join(own, "page_id")
+
+
+def classes_of(classes: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, classes) for every one of ids (id), from rows (node, class); an empty list without any."""
+    of = classes.join(ids.select(F.col("id").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+    return ids.select("id").distinct().join(of.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("classes", F.array().cast("array<string>")).alias("classes"))
+
+
+def person_flags(paths: DataFrame, classes: DataFrame, person_classes: list[str]) -> DataFrame:
+    """paths with `persons`: of each node that a step leaves from whether it is a person, from rows (node, class)."""
+    persons = classes.where(F.col("class").isin(person_classes)).select(F.col("node").alias("_node")).distinct().withColumn("_is", F.lit(True))
+    keyed = paths.withColumn("_path", F.xxhash64("qid", "seed", F.to_json("nodes"), F.to_json("preds"), F.to_json("dirs")))
+    each = keyed.select("_path", F.posexplode(F.slice("nodes", F.lit(1), F.size("preds"))).alias("i", "_node")).distinct().join(persons, "_node", "left")
+    flags = each.groupBy("_path").agg(F.transform(F.array_sort(F.collect_list(F.struct("i", F.coalesce("_is", F.lit(False)).alias("is")))), lambda x: x["is"]).alias("persons"))
+    return keyed.join(flags, "_path").drop("_path")
+
+
 def edges_from(adj: DataFrame, anchors: DataFrame) -> DataFrame:
     """The edges of each anchor (anchor) in their order, numbered from 1."""
     near = adj.join(anchors, "anchor", "left_semi")
@@ -94,7 +120,7 @@ def tier_weight(prio: Column) -> Column:
 
 
 def walk(adj: DataFrame, seeds: DataFrame, degree: DataFrame, predicates: DataFrame, no_transit: list[str], symmetric: list[str], hops: int = 2, beam: int = 24, hub: int = HUB_DEGREE, stop_at: DataFrame | None = None) -> DataFrame:
-    """Paths of 1 to `hops` steps from the seeds (qid, anchor), as rows (qid, seed, depth, node, score, preds, nodes, labels, dirs, sigs).
+    """Paths of 1 to `hops` steps from the seeds (qid, anchor), as rows (qid, seed, depth, node, score, preds, nodes, labels, dirs, pages, trail).
 
     A path never meets a seed or a node of its own, and no fact twice. Of paths with equal facts the
     first counts. It goes on from entities only, not over a predicate in no_transit, not from a node
@@ -109,21 +135,21 @@ def walk(adj: DataFrame, seeds: DataFrame, degree: DataFrame, predicates: DataFr
     steps = adj.join(F.broadcast(pred), "p", "left").withColumn("sig", sig).drop("inverse")
     taken = seeds.select("qid", F.collect_set("anchor").over(Window.partitionBy("qid")).alias("all_seeds")).distinct()
     none = F.array().cast("array<string>")
-    front = seeds.select("qid", F.col("anchor").alias("seed"), F.col("anchor").alias("node"), F.lit(1.0).alias("score"), none.alias("preds"), F.array("anchor").alias("nodes"), none.alias("labels"), none.alias("dirs"), none.alias("sigs"), F.lit("").alias("trail"))
+    front = seeds.select("qid", F.col("anchor").alias("seed"), F.col("anchor").alias("node"), F.lit(1.0).alias("score"), none.alias("preds"), F.array("anchor").alias("nodes"), none.alias("labels"), none.alias("dirs"), F.array().cast("array<bigint>").alias("pages"), none.alias("sigs"), F.array().cast("array<struct<prio:int,d:int,p:string,eid:bigint>>").alias("trail"))
     out = None
     for depth in range(1, hops + 1):
         nxt = front.join(steps, front["node"] == steps["anchor"]).join(taken, "qid")
         free = ~F.array_contains("nodes", F.col("other")) & ~F.array_contains("sigs", F.col("sig"))
         free &= ~F.array_contains("all_seeds", F.col("other"))
         decay = 1.0 if depth == 1 else HOP_DECAY
-        rank = F.concat(F.col("trail"), F.lpad(F.col("prio").cast("string"), 2, "0"), F.when(F.col("dir") == "out", "0").otherwise("1"), "p", F.lpad(F.col("eid").cast("string"), 12, "0"))
+        rank = F.concat("trail", F.array(F.struct(F.col("prio").cast("int").alias("prio"), F.when(F.col("dir") == "out", 0).otherwise(1).alias("d"), "p", F.col("eid").cast("long").alias("eid"))))
         nxt = nxt.where(free).select(
             "qid", "seed", F.lit(depth).alias("depth"), F.col("other").alias("node"), "other_kind", "other_page", F.round(F.col("score") * decay * tier_weight(F.col("prio")), 9).alias("score"),
             F.concat("preds", F.array("p")).alias("preds"), F.concat("nodes", F.array("other")).alias("nodes"), F.concat("labels", F.array("other_label")).alias("labels"),
-            F.concat("dirs", F.array("dir")).alias("dirs"), F.array_sort(F.concat("sigs", F.array("sig"))).alias("sigs"), rank.alias("trail"), F.col("p").alias("last_p"),
+            F.concat("dirs", F.array("dir")).alias("dirs"), F.concat("pages", F.array(F.col("other_page").cast("long"))).alias("pages"), F.array_sort(F.concat("sigs", F.array("sig"))).alias("sigs"), rank.alias("trail"), F.col("p").alias("last_p"),
         )
         nxt = nxt.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "seed", "sigs").orderBy("trail"))).where("_n = 1").drop("_n")
-        rows = nxt.select("qid", "seed", "depth", "node", "other_page", "score", "preds", "nodes", "labels", "dirs")
+        rows = nxt.select("qid", "seed", "depth", "node", "other_page", "score", "preds", "nodes", "labels", "dirs", "pages", "trail")
         out = rows if out is None else out.unionByName(rows)
         if depth < hops:
             on = nxt.where((F.col("other_kind") == "entity") & ~F.col("last_p").isin(no_transit))
@@ -131,23 +157,32 @@ def walk(adj: DataFrame, seeds: DataFrame, degree: DataFrame, predicates: DataFr
                 on = on.join(stop_at.select("qid", F.col("anchor").alias("node")), ["qid", "node"], "left_anti")
             on = on.join(degree.select(F.col("id").alias("node"), "degree"), "node").where(F.col("degree") <= hub)
             on = on.withColumn("_b", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "node", "trail"))).where(F.col("_b") <= beam)
-            front = on.select("qid", "seed", "node", "score", "preds", "nodes", "labels", "dirs", "sigs", "trail")
+            front = on.select("qid", "seed", "node", "score", "preds", "nodes", "labels", "dirs", "pages", "sigs", "trail")
     return out
 
 
-def expand(paths: DataFrame, limit: int) -> DataFrame:
-    """The best paths of a question: by seed and depth in order of score, dealt depth-major round robin; `position` from 1."""
-    slot = F.row_number().over(Window.partitionBy("qid", "seed", "depth").orderBy(F.col("score").desc(), "node", F.array_join("preds", ",")))
-    rows = paths.withColumn("slot", slot)
+def path_order(prominence: DataFrame | None, paths: DataFrame) -> tuple[DataFrame, list[Column]]:
+    """(paths with what they are ordered by, the order): score, then shortness, prominence of the end, its label, its id, the way there."""
+    if prominence is not None:
+        paths = paths.join(prominence.select(F.col("id").alias("node"), F.col("prominence").alias("_prom")), "node", "left")
+    else:
+        paths = paths.withColumn("_prom", F.lit(0))
+    return paths, [F.col("score").desc(), F.col("depth"), F.coalesce("_prom", F.lit(0)).desc(), F.coalesce(F.element_at("labels", -1), F.lit("")), F.col("node"), F.col("trail")]
+
+
+def expand(paths: DataFrame, limit: int, prominence: DataFrame | None = None) -> DataFrame:
+    """The best paths of a question: by seed and depth in path_order, dealt depth-major round robin; `position` from 1."""
+    rows, order = path_order(prominence, paths)
+    rows = rows.withColumn("slot", F.row_number().over(Window.partitionBy("qid", "seed", "depth").orderBy(*order)))
     position = F.row_number().over(Window.partitionBy("qid").orderBy("slot", "depth", "seed"))
-    return rows.withColumn("position", position).where(F.col("position") <= limit)
+    return rows.withColumn("position", position).where(F.col("position") <= limit).drop("_prom")
 
 
 def connect(paths: DataFrame, ends: DataFrame, limit: int = 3) -> DataFrame:
-    """Of paths that end in ends (qid, anchor), the shortest only, best first."""
+    """Of paths that end in ends (qid, anchor), the shortest only, best first by score, predicates and the way there."""
     met = paths.join(ends.select("qid", F.col("anchor").alias("node")), ["qid", "node"], "left_semi")
     short = met.withColumn("least", F.min("depth").over(Window.partitionBy("qid"))).where("depth = least").drop("least")
-    position = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.array_join("preds", ","), F.array_join("nodes", ",")))
+    position = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), F.array_join("preds", ","), "trail"))
     return short.withColumn("position", position).where(F.col("position") <= limit)
 
 
@@ -156,20 +191,40 @@ def compare(adj: DataFrame, pairs: DataFrame, predicates: DataFrame, limit: int
     verbs = predicates.select("p", F.col("label").alias("verb"), F.col("inverse").alias("inv")).join(predicates.select(F.col("p").alias("inv"), F.col("label").alias("inv_verb")), "inv", "left")
     told = adj.join(F.broadcast(verbs), "p").withColumn("said", F.when(F.col("dir") == "out", F.col("verb")).otherwise(F.col("inv_verb"))).where("said is not null and other_label is not null")
 
-    def side(end: str) -> DataFrame:
-        rows = told.join(pairs.select("qid", F.col(end).alias("anchor")), "anchor")
-        each = rows.groupBy("qid", "prio", "said", "other_label").agg(F.min(F.struct(*edge_order())).alias("at"))
-        return each.groupBy("qid", "prio", "said").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "other_label"))), lambda x: x["other_label"]).alias(f"{end}_objects"))
-
-    both = side("a").join(side("b"), ["qid", "prio", "said"])
+    ends = pairs.select("qid", F.explode(F.array(F.struct(F.lit("a").alias("end"), F.col("a").alias("anchor")), F.struct(F.lit("b").alias("end"), F.col("b").alias("anchor")))).alias("x")).select("qid", "x.end", "x.anchor")
+    each = told.join(ends, "anchor").groupBy("qid", "prio", "said", "end", "other_label").agg(F.min(F.struct(*edge_order())).alias("at"))
+    objects = lambda end: F.transform(F.array_sort(F.collect_list(F.when(F.col("end") == end, F.struct("at", "other_label")))), lambda x: x["other_label"]).alias(f"{end}_objects")
+    both = each.groupBy("qid", "prio", "said").agg(objects("a"), objects("b")).where((F.size("a_objects") > 0) & (F.size("b_objects") > 0))
     both = both.withColumn("shared", F.array_intersect("a_objects", "b_objects"))
     position = F.row_number().over(Window.partitionBy("qid").orderBy("prio", "said"))
     return both.withColumn("position", position).where(F.col("position") <= limit).select("qid", "position", F.col("said").alias("verb"), "a_objects", "b_objects", "shared")
 
 
-def round_robin_pages(paths: DataFrame, limit: int) -> DataFrame:
-    """(qid, page_id, position): the ends of paths as pages, first the best of each depth, then the next."""
-    pages = paths.where("other_page is not null").groupBy("qid", F.col("other_page").alias("page_id")).agg(F.min(F.struct("position", "depth")).alias("at"))
-    slot = F.row_number().over(Window.partitionBy("qid", "at.depth").orderBy("at"))
-    rows = pages.withColumn("slot", slot).withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("slot", "at.depth")))
+def path_pages(paths: DataFrame) -> DataFrame:
+    """(qid, page_id, hop, score, connects, position, step): the pages that paths (with `connects`) make worth reading.
+
+    Of a chain its end, of a route between two seeds the nodes between them.
+    """
+    steps = F.transform(F.sequence(F.lit(1), F.size("pages")), lambda i: F.struct(i.alias("hop"), F.element_at(F.col("pages"), i).alias("page_id")))
+    wanted = F.filter(steps, lambda x: x["page_id"].isNotNull() & F.when(F.col("connects"), x["hop"] < F.size("pages")).otherwise(x["hop"] == F.size("pages")))
+    return paths.select("qid", "score", "connects", "position", F.explode(wanted).alias("x")).select("qid", "x.page_id", "x.hop", "score", "connects", "position")
+
+
+def shown_inbound(edges: DataFrame, predicates: DataFrame) -> DataFrame:
+    """(node, p, other): inbound edges as a reader of `node` sees them, without those whose inverse is stated outbound as well."""
+    into = edges.select(F.col("o").alias("node"), "p", F.col("s").alias("other"))
+    stated = edges.select(F.col("s").alias("node"), F.col("p").alias("ip"), F.col("o").alias("other"))
+    inv = predicates.select("p", F.col("inverse").alias("ip"))
+    return into.join(F.broadcast(inv), "p", "left").join(stated, ["node", "ip", "other"], "left_anti").select("node", "p", "other")  # the ontology: tens of rows
+
+
+def round_robin_pages(paths: DataFrame, limit: int, seeds: DataFrame | None = None) -> DataFrame:
+    """(qid, page_id, position): the pages of paths in order of score, no seed's page (qid, page_id), dealt round robin over their depths."""
+    paths = paths if "connects" in paths.columns else paths.withColumn("connects", F.lit(False))
+    rows = path_pages(paths)
+    if seeds is not None:
+        rows = rows.join(seeds.select("qid", "page_id").distinct(), ["qid", "page_id"], "left_anti")
+    pages = rows.groupBy("qid", "page_id").agg(F.min(F.struct((-F.col("score")).alias("s"), "connects", "position", "hop")).alias("at"))
+    slot = F.row_number().over(Window.partitionBy("qid", "at.hop").orderBy("at"))
+    rows = pages.withColumn("slot", slot).withColumn("position", F.row_number().over(Window.partitionBy("qid").orderBy("slot", "at.hop")))
     return rows.where(F.col("position") <= limit).select("qid", "page_id", "position")

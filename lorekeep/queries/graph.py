@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators import graph as g
-from lorekeep.sources.tables import parquet
+from lorekeep.plans import retrieve as r
+from lorekeep.sources.tables import parquet, stored
 
 #: The predicates of the star schema's graph.
 PREDICATES = [
@@ -30,7 +31,7 @@ def predicates(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame(PREDICATES, "p string, label string, inverse string, priority int")
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: parquet(spark, sf_dir, n)
     make = lambda df, prefix, key, label, cls, page=False: df.select(F.concat(F.lit(f"{prefix}:"), F.col(key).cast("string")).alias("id"), F.lit("entity").alias("kind"), F.col(label).alias("label"), (F.col(key).cast("long") if page else F.lit(None).cast("long")).alias("page_id"), F.lit(cls).alias("class"))
     n = make(t("region"), "region", "r_regionkey", "r_name", "Region").unionByName(make(t("nation"), "nation", "n_nationkey", "n_name", "Nation"))
@@ -42,7 +43,7 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.unionByName(orders).unionByName(dates).unionByName(types)
 
 
-def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+def made_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = lambda n: parquet(spark, sf_dir, n)
     c = lambda prefix, col: F.concat(F.lit(f"{prefix}:"), F.col(col).cast("string"))
     e = lambda df, s, p, o: df.select(s.alias("s"), F.lit(p).alias("p"), o.alias("o")).distinct()
@@ -78,23 +79,57 @@ edges0 AS (SELECT 'cust:' || c_custkey AS s, 'located_in' AS p, 'nation:' || c_n
   UNION ALL SELECT DISTINCT 'part:' || l_partkey, 'supplied_by', 'supp:' || l_suppkey FROM lineitem
   UNION ALL SELECT 'order:' || o_orderkey, 'occurred_on', 'date:ce:' || strftime(o_orderdate, '%Y-%m-%d') FROM orders
   UNION ALL SELECT 'part:' || p_partkey, 'instance_of', 'cat:' || p_type FROM part),
-edges AS (SELECT s, p, o, ('0x' || substr(md5(s || '|' || p || '|' || o), 1, 9))::BIGINT AS eid FROM edges0),
-typed AS (SELECT * FROM edges WHERE p NOT IN ('instance_of', 'subclass_of')),
-adj AS (SELECT a.*, n.label AS other_label, n.kind AS other_kind, n.page_id AS other_page, coalesce(priority, 3) AS prio, CASE dir WHEN 'out' THEN 0 ELSE 1 END AS d
+edges AS MATERIALIZED (SELECT s, p, o, ('0x' || substr(md5(s || '|' || p || '|' || o), 1, 9))::BIGINT AS eid FROM edges0),
+typed AS MATERIALIZED (SELECT * FROM edges WHERE p NOT IN ('instance_of', 'subclass_of')),
+adj AS MATERIALIZED (SELECT a.*, n.label AS other_label, n.kind AS other_kind, n.page_id AS other_page, coalesce(priority, 3) AS prio, CASE dir WHEN 'out' THEN 0 ELSE 1 END AS d
   FROM (SELECT s AS anchor, 'out' AS dir, p, o AS other, eid FROM typed UNION ALL SELECT o, 'in', p, s, eid FROM typed) a LEFT JOIN nodes n ON n.id = other LEFT JOIN preds USING (p)),
-degree AS (SELECT id, coalesce(n, 0) AS degree FROM nodes LEFT JOIN (SELECT anchor AS id, count(*) AS n FROM adj GROUP BY 1) USING (id))"""
+degree AS MATERIALIZED (SELECT id, coalesce(n, 0) AS degree FROM nodes LEFT JOIN (SELECT anchor AS id, count(*) AS n FROM adj GROUP BY 1) USING (id))"""
+
+
+def tables(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """nodes, edges, degree and adj (both directions of every typed edge, with what there is to say of the far end), made once."""
+
+    def make() -> dict[str, DataFrame]:
+        n, e = made_nodes(spark, sf_dir), made_edges(spark, sf_dir)
+        return {"nodes": n, "edges": e, "degree": g.degrees(n, e), "adj": g.adjacency(n, e, predicates(spark)).sortWithinPartitions("anchor")}
+
+    return stored(spark, f"graph of {sf_dir}", make)
+
+
+def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir)["nodes"]
+
+
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir)["edges"]
 
 
 def _adj(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.adjacency(nodes(spark, sf_dir), edges(spark, sf_dir), predicates(spark))
+    return tables(spark, sf_dir)["adj"]
+
+
+def _degree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tables(spark, sf_dir)["degree"]
+
 
+def _prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Without aliases a node's prominence is its degree."""
+    return _degree(spark, sf_dir).withColumnRenamed("degree", "prominence")
 
-def _seeds(spark: SparkSession, n: int = 20, per: int = 4) -> DataFrame:
-    """Questions of a few customers each."""
-    return spark.range(1, n + 1).select(((F.col("id") - 1) / per).cast("int").alias("qid"), F.concat(F.lit("cust:"), F.col("id").cast("string")).alias("anchor"), (F.col("id") % per).cast("int").alias("seed_rank"))
 
+def _asked(spark: SparkSession, sf_dir: str, table: str, key: str, prefix: str, per: int = 4) -> DataFrame:
+    """Questions (qid, anchor, seed_rank) of `per` nodes each: every row whose key is divisible by 20."""
+    k = F.col(key).cast("long")
+    i = F.col("k") / 20
+    rows = parquet(spark, sf_dir, table).where(k % 20 == 0).select(k.alias("k"))
+    return rows.select(F.floor(i / per).cast("int").alias("qid"), F.concat(F.lit(f"{prefix}:"), F.col("k").cast("string")).alias("anchor"), (i.cast("long") % per).cast("int").alias("seed_rank"))
 
-SEEDS = "seeds AS (SELECT (i - 1) // 4 AS qid, 'cust:' || i AS anchor, i % 4 AS seed_rank FROM range(1, 21) t(i))"
+
+def _seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _asked(spark, sf_dir, "customer", "c_custkey", "cust")
+
+
+SEEDS = "seeds AS (SELECT (c_custkey // 20 // 4)::INT AS qid, 'cust:' || c_custkey AS anchor, (c_custkey // 20 % 4)::INT AS seed_rank FROM customer WHERE c_custkey % 20 = 0)"
 
 
 def kg_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,33 +210,32 @@ DATES_SQL = f"""SELECT o_orderkey,
 
 
 def edges_from(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.edges_from(_adj(spark, sf_dir), _seeds(spark).select("anchor")).select("anchor", "nth", "dir", "p", "other", "other_label")
+    return g.edges_from(_adj(spark, sf_dir), _seeds(spark, sf_dir).select("anchor")).select("anchor", "nth", "dir", "p", "other", "other_label")
 
 
 def degrees(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.degrees(nodes(spark, sf_dir), edges(spark, sf_dir))
+    return _degree(spark, sf_dir)
 
 
 def prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
     a = parquet(spark, sf_dir, "part").groupBy("p_name").agg(F.count("*").alias("k")).join(parquet(spark, sf_dir, "part"), "p_name").select(F.concat(F.lit("part:"), F.col("p_partkey").cast("string")).alias("id"), (F.col("k") % 7).alias("n_aliases"))
-    return g.prominence(nodes(spark, sf_dir).where("class = 'Part'"), edges(spark, sf_dir), a)
+    return g.prominence(nodes(spark, sf_dir), edges(spark, sf_dir), a)
 
 
 def neighbour_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Around orders: their customers and parts."""
-    s = spark.range(1, 41).select(((F.col("id") - 1) / 4).cast("int").alias("qid"), F.concat(F.lit("order:"), F.col("id").cast("string")).alias("anchor"), (F.col("id") % 4).cast("int").alias("seed_rank"))
-    return g.neighbour_pages(_adj(spark, sf_dir), s, 6)
+    return g.neighbour_pages(_adj(spark, sf_dir), _asked(spark, sf_dir, "orders", "o_orderkey", "order"), 6)
 
 
-NEIGHBOUR_SQL = f"""WITH {KG}, s AS (SELECT (i - 1) // 4 AS qid, 'order:' || i AS anchor, i % 4 AS seed_rank FROM range(1, 41) t(i)),
-a AS (SELECT *, row_number() OVER (PARTITION BY qid, anchor, other ORDER BY prio, d, p, eid) AS again FROM adj JOIN s USING (anchor) WHERE other_kind = 'entity' AND other_page IS NOT NULL AND (qid, other) NOT IN (SELECT (qid, anchor) FROM s)),
+NEIGHBOUR_SQL = f"""WITH {KG}, s AS (SELECT (o_orderkey // 20 // 4)::INT AS qid, 'order:' || o_orderkey AS anchor, (o_orderkey // 20 % 4)::INT AS seed_rank FROM orders WHERE o_orderkey % 20 = 0),
+a AS (SELECT *, row_number() OVER (PARTITION BY qid, anchor, other ORDER BY prio, d, p, eid) AS again FROM adj JOIN s USING (anchor) WHERE other_kind = 'entity' AND other_page IS NOT NULL AND NOT EXISTS (SELECT 1 FROM s x WHERE x.qid = s.qid AND x.anchor = other)),
 b AS (SELECT *, row_number() OVER (PARTITION BY qid, anchor ORDER BY prio, d, p, eid) AS slot FROM a WHERE again = 1),
 f AS (SELECT qid, other_page AS page_id, min(slot * 10 + seed_rank) AS x FROM b GROUP BY ALL)
 SELECT qid, page_id, position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY x) AS position FROM f) WHERE position <= 6"""
 
 
 def facts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.facts(_adj(spark, sf_dir), nodes(spark, sf_dir), predicates(spark), _seeds(spark).select("anchor"), 12)
+    return g.facts(_adj(spark, sf_dir), nodes(spark, sf_dir), predicates(spark), _seeds(spark, sf_dir).select("anchor"), 12)
 
 
 FACTS_SQL = f"""WITH {KG}, {SEEDS}, r AS (SELECT anchor, prio, d, a.p, eid, CASE WHEN dir = 'out' THEN n.label || ' ' || v.label || ' ' || other_label WHEN i.label IS NOT NULL THEN n.label || ' ' || i.label || ' ' || other_label ELSE other_label || ' ' || v.label || ' ' || n.label END || '.' AS sentence
@@ -211,85 +245,185 @@ SELECT anchor, sentence, position FROM (SELECT *, row_number() OVER (PARTITION B
 
 
 def canonical_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.canonical(predicates(spark), edges(spark, sf_dir).where("p in ('ordered_by', 'contains', 'part_of')"), ["part_of"]).groupBy("cp").agg(F.count("*").alias("n"), F.min("cs").alias("least_s"), F.max("co").alias("most_o"))
+    return g.canonical(predicates(spark), edges(spark, sf_dir), ["part_of"]).groupBy("cp").agg(F.count("*").alias("n"), F.min("cs").alias("least_s"), F.max("co").alias("most_o"))
 
 
 def adjacency_dedupe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Inbound edges go where their inverse is stated outbound; half the orders state both."""
-    e = edges(spark, sf_dir).where("p = 'ordered_by'").select("s", "p", "o")
-    back = e.where("cast(substr(s, 7) as int) % 2 = 0").select(F.col("o").alias("s"), F.lit("ordered").alias("p"), F.col("s").alias("o"))
-    both = e.unionByName(back)
-    out, into = both.select(F.col("s").alias("node"), "p", F.col("o").alias("other")), both.select(F.col("o").alias("node"), "p", F.col("s").alias("other"))
-    inv = predicates(spark).select("p", F.col("inverse").alias("ip"))
-    stated = out.select("node", F.col("p").alias("ip"), "other")
-    left = into.join(F.broadcast(inv), "p", "left").join(stated, ["node", "ip", "other"], "left_anti")
-    return left.groupBy("p").agg(F.count("*").alias("n"))
+    e = edges(spark, sf_dir).where(~F.col("p").isin(g.TAXONOMY)).select("s", "p", "o")
+    back = e.where("p = 'ordered_by' and cast(substr(s, 7) as int) % 2 = 0").select(F.col("o").alias("s"), F.lit("ordered").alias("p"), F.col("s").alias("o"))
+    return g.shown_inbound(e.unionByName(back), predicates(spark)).groupBy("p").agg(F.count("*").alias("n"))
 
 
-DEDUPE_SQL = f"""WITH {KG}, e AS (SELECT s, p, o FROM edges WHERE p = 'ordered_by'), b AS (SELECT * FROM e UNION ALL SELECT o, 'ordered', s FROM e WHERE substr(s, 7)::INT % 2 = 0)
-SELECT b.p, count(*) AS n FROM b JOIN preds USING (p) WHERE NOT EXISTS (SELECT 1 FROM b x WHERE x.s = b.o AND x.o = b.s AND x.p = inverse) GROUP BY b.p"""
+DEDUPE_SQL = f"""WITH {KG}, b AS MATERIALIZED (SELECT s, p, o FROM typed UNION ALL SELECT o, 'ordered', s FROM typed WHERE p = 'ordered_by' AND substr(s, 7)::INT % 2 = 0)
+SELECT b.p, count(*) AS n FROM b JOIN preds USING (p) LEFT JOIN b x ON x.s = b.o AND x.o = b.s AND x.p = inverse WHERE x.s IS NULL GROUP BY b.p"""
 
 
 def _paths(spark: SparkSession, sf_dir: str, hops: int = 2) -> DataFrame:
-    adj = _adj(spark, sf_dir).where("p <> 'supplied_by'")
-    return g.walk(adj, _seeds(spark), degrees(spark, sf_dir), predicates(spark), NO_TRANSIT, SYMMETRIC, hops=hops)
+    return g.walk(_adj(spark, sf_dir), _seeds(spark, sf_dir), _degree(spark, sf_dir), predicates(spark), NO_TRANSIT, SYMMETRIC, hops=hops)
+
+
+def _expanded(spark: SparkSession, sf_dir: str, hops: int = 2) -> DataFrame:
+    return g.expand(_paths(spark, sf_dir, hops), 12, _prominence(spark, sf_dir))
 
 
 def beam_expand(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = g.expand(_paths(spark, sf_dir), 12)
-    return p.select("qid", "position", "seed", "depth", "node", "score", F.array_join("preds", ",").alias("preds"))
+    return _expanded(spark, sf_dir).select("qid", "position", "seed", "depth", "node", "score", F.array_join("preds", ",").alias("preds"), F.array_join("nodes", ",").alias("nodes"))
 
 
-WALK = f"""{KG}, {SEEDS}, st AS (SELECT * FROM adj WHERE p <> 'supplied_by'), w AS (SELECT unnest([1.0, 0.75, 0.5, 0.3])::DOUBLE AS w, generate_subscripts([1, 2, 3, 4], 1) - 1 AS prio),
-h1 AS (SELECT qid, anchor AS seed, 1 AS depth, other AS node, other_kind, other_page, round(w, 9) AS score, p AS preds, p, prio, d, eid, anchor || '|' || other AS nodes, other_label AS l1, dir AS d1 FROM st JOIN seeds USING (anchor) JOIN w USING (prio) WHERE (qid, other) NOT IN (SELECT (qid, anchor) FROM seeds)),
-f1 AS (SELECT * FROM (SELECT h1.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node, prio, d, p, eid) AS b FROM h1 JOIN degree ON id = node WHERE other_kind = 'entity' AND p NOT IN ('located_in', 'part_of') AND degree <= 40) WHERE b <= 24),
-h2 AS (SELECT f1.qid, seed, 2 AS depth, st.other AS node, st.other_kind, st.other_page, round(f1.score * 0.45 * w, 9) AS score, f1.preds || ',' || st.p AS preds, f1.node AS mid, f1.l1, f1.d1, f1.p AS p1, st.p AS p2, st.dir AS d2, st.other_label AS l2 FROM f1 JOIN st ON st.anchor = f1.node JOIN w ON w.prio = st.prio WHERE st.other <> seed AND (f1.qid, st.other) NOT IN (SELECT (qid, anchor) FROM seeds)),
-paths AS (SELECT qid, seed, depth, node, other_page, score, preds FROM h1 UNION ALL SELECT qid, seed, depth, node, other_page, score, preds FROM h2),
-slots AS (SELECT *, row_number() OVER (PARTITION BY qid, seed, depth ORDER BY score DESC, node, preds) AS slot FROM paths),
-expanded AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY slot, depth, seed) AS position FROM slots) WHERE position <= 12)"""
+WALK = f"""{KG}, {SEEDS}, w(w, prio) AS (VALUES (1.0::DOUBLE, 0), (0.75, 1), (0.5, 2), (0.3, 3)),
+h1 AS MATERIALIZED (SELECT qid, anchor AS seed, other AS node, other_kind, other_page, other_label, round(w, 9) AS score, p, prio, d, eid, dir FROM adj JOIN seeds USING (anchor) JOIN w USING (prio) WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.qid = seeds.qid AND x.anchor = other)),
+f1 AS MATERIALIZED (SELECT * FROM (SELECT h1.*, row_number() OVER (PARTITION BY qid ORDER BY score DESC, node, prio, d, p, eid) AS b FROM h1 JOIN degree ON id = node WHERE other_kind = 'entity' AND p NOT IN ('located_in', 'part_of') AND degree <= 40) WHERE b <= 24),
+h2 AS MATERIALIZED (SELECT f1.qid, f1.seed, f1.node AS mid, f1.other_page AS mid_page, f1.other_label AS mid_label, f1.p AS p1, f1.prio AS prio1, f1.d AS d1, f1.eid AS eid1, f1.dir AS dir1, a.*, round(f1.score * 0.45 * w, 9) AS score
+  FROM f1 JOIN adj a ON a.anchor = f1.node JOIN w ON w.prio = a.prio WHERE NOT EXISTS (SELECT 1 FROM seeds x WHERE x.qid = f1.qid AND x.anchor = a.other)),
+paths AS MATERIALIZED (SELECT qid, seed, 1 AS depth, node, other_page, other_label, score, p AS preds, seed || ',' || node AS nodes, [other_label] AS labels, [dir] AS dirs, [(prio, d, p, eid)] AS trail FROM h1
+  UNION ALL SELECT qid, seed, 2, other, other_page, other_label, score, p1 || ',' || p, seed || ',' || mid || ',' || other, [mid_label, other_label], [dir1, dir], [(prio1, d1, p1, eid1), (prio, d, p, eid)] FROM h2),
+slots AS (SELECT paths.*, degree, row_number() OVER (PARTITION BY qid, seed, depth ORDER BY score DESC, degree DESC, other_label, node, trail) AS slot FROM paths JOIN degree ON id = node),
+expanded AS MATERIALIZED (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY slot, depth, seed) AS position FROM slots) WHERE position <= 12)"""
 
 
 def graph_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return g.round_robin_pages(g.expand(_paths(spark, sf_dir), 12), 6)
+    """The pages that a question's paths make worth reading, none of its own."""
+    own = _seeds(spark, sf_dir).select("qid", F.substring("anchor", 6, 20).cast("long").alias("page_id"))
+    return g.round_robin_pages(_expanded(spark, sf_dir), 6, own)
 
 
-CHANNEL_SQL = f"""WITH {WALK}, pg AS (SELECT qid, other_page AS page_id, min(position * 10 + depth) AS at_ FROM expanded WHERE other_page IS NOT NULL GROUP BY ALL),
-s AS (SELECT *, at_ % 10 AS dep, row_number() OVER (PARTITION BY qid, at_ % 10 ORDER BY at_) AS slot FROM pg)
-SELECT qid, page_id, position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY slot, dep) AS position FROM s) WHERE position <= 6"""
+PAGES = """pg AS (SELECT qid, other_page AS page_id, min((-score, position, depth)) AS at_ FROM expanded WHERE other_page IS NOT NULL AND (qid, other_page) NOT IN (SELECT (qid, substr(anchor, 6)::BIGINT) FROM seeds) GROUP BY ALL),
+ps AS (SELECT *, at_[3] AS dep, row_number() OVER (PARTITION BY qid, at_[3] ORDER BY at_) AS slot FROM pg)"""
+CHANNEL_SQL = f"""WITH {WALK}, {PAGES}
+SELECT qid, page_id, position FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY slot, dep) AS position FROM ps) WHERE position <= 6"""
 
 
 def connect_shortest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """From orders to nations: two steps over the customer."""
-    s = spark.range(1, 31).select(F.col("id").cast("int").alias("qid"), F.concat(F.lit("order:"), F.col("id").cast("string")).alias("anchor"))
-    ends = s.select("qid").crossJoin(F.broadcast(nodes(spark, sf_dir).where("class = 'Nation'").select(F.col("id").alias("anchor"))))  # 25 nations
-    adj = _adj(spark, sf_dir).where("p in ('ordered_by', 'located_in')")
-    p = g.walk(adj, s, degrees(spark, sf_dir), predicates(spark), NO_TRANSIT, SYMMETRIC, hops=2, stop_at=ends)
+    """From every asked order to the nations: two steps over the customer or over a date's other orders are looked at, the shortest count."""
+    s = _asked(spark, sf_dir, "orders", "o_orderkey", "order", 1).select("qid", "anchor")
+    ends = s.select("qid").join(F.broadcast(parquet(spark, sf_dir, "nation").select(F.concat(F.lit("nation:"), F.col("n_nationkey").cast("string")).alias("anchor"))))  # 25 nations
+    p = g.walk(_adj(spark, sf_dir), s, _degree(spark, sf_dir), predicates(spark), NO_TRANSIT, SYMMETRIC, hops=2, stop_at=ends)
     return g.connect(p, ends).select("qid", "position", "depth", "score", F.array_join("nodes", ",").alias("nodes"))
 
 
-CONNECT_SQL = f"""WITH {KG}, a AS (SELECT i AS qid, 'order:' || i AS anchor FROM range(1, 31) t(i)),
-p AS (SELECT qid, 2 AS depth, round(1.0::DOUBLE * 0.45 * 0.5, 9) AS score, x.s || ',' || x.o || ',' || y.o AS nodes FROM a JOIN typed x ON x.s = a.anchor AND x.p = 'ordered_by' JOIN typed y ON y.s = x.o AND y.p = 'located_in' JOIN degree ON id = x.o WHERE degree <= 40)
-SELECT qid, 1::BIGINT AS position, depth, score, nodes FROM p"""
+CONNECT_SQL = f"""WITH {KG}, a AS (SELECT (o_orderkey // 20)::INT AS qid, 'order:' || o_orderkey AS anchor FROM orders WHERE o_orderkey % 20 = 0), w(w, prio) AS (VALUES (1.0::DOUBLE, 0), (0.75, 1), (0.5, 2), (0.3, 3)),
+h1 AS (SELECT qid, anchor AS seed, other AS node, w AS score, p, prio, d, eid, row_number() OVER (PARTITION BY qid ORDER BY w DESC, other, prio, d, p, eid) AS b FROM adj JOIN a USING (anchor) JOIN w USING (prio) JOIN degree ON id = other WHERE other_kind = 'entity' AND p NOT IN ('located_in', 'part_of') AND degree <= 40),
+h2 AS (SELECT h1.qid, round(h1.score * 0.45 * w, 9) AS score, h1.p || ',' || t.p AS preds, [(h1.prio, h1.d, h1.p, h1.eid), (t.prio, t.d, t.p, t.eid)] AS trail, seed || ',' || h1.node || ',' || t.other AS nodes FROM h1 JOIN adj t ON t.anchor = h1.node JOIN w ON w.prio = t.prio WHERE b <= 24 AND t.other LIKE 'nation:%')
+SELECT qid, position, 2 AS depth, score, nodes FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, preds, trail) AS position FROM h2) WHERE position <= 3"""
 
 
 def compare_pair(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.range(1, 60).select(F.col("id").alias("qid"), F.concat(F.lit("order:"), F.col("id").cast("string")).alias("a"), F.concat(F.lit("order:"), (F.col("id") + 1).cast("string")).alias("b"))
+    o = _asked(spark, sf_dir, "orders", "o_orderkey", "order", 1)
+    pairs = o.select("qid", F.col("anchor").alias("a"), F.concat(F.lit("order:"), (F.col("qid") * 20 - 1).cast("string")).alias("b"))
     c = g.compare(_adj(spark, sf_dir), pairs, predicates(spark))
     return c.select("qid", "position", "verb", F.array_join("a_objects", ";").alias("a_objects"), F.array_join("b_objects", ";").alias("b_objects"), F.size("shared").alias("shared"))
 
 
-COMPARE_SQL = f"""WITH {KG}, pr AS (SELECT i AS qid, 'order:' || i AS a, 'order:' || (i + 1) AS b FROM range(1, 60) t(i)),
+COMPARE_SQL = f"""WITH {KG}, pr AS (SELECT (o_orderkey // 20)::INT AS qid, 'order:' || o_orderkey AS a, 'order:' || (o_orderkey - 1) AS b FROM orders WHERE o_orderkey % 20 = 0),
 told AS (SELECT anchor, prio, d, adj.p, eid, other_label, CASE dir WHEN 'out' THEN v.label ELSE i.label END AS said FROM adj JOIN preds v ON v.p = adj.p LEFT JOIN preds i ON i.p = v.inverse),
 ea AS (SELECT qid, prio, said, other_label, min((prio, d, p, eid)) AS x FROM told JOIN pr ON anchor = a WHERE said IS NOT NULL GROUP BY ALL), eb AS (SELECT qid, prio, said, other_label, min((prio, d, p, eid)) AS x FROM told JOIN pr ON anchor = b WHERE said IS NOT NULL GROUP BY ALL),
 ga AS (SELECT qid, prio, said, list(other_label ORDER BY x) AS l FROM ea GROUP BY ALL), gb AS (SELECT qid, prio, said, list(other_label ORDER BY x) AS l FROM eb GROUP BY ALL)
 SELECT qid, position, verb, a_objects, b_objects, shared FROM (SELECT ga.qid, row_number() OVER (PARTITION BY ga.qid ORDER BY ga.prio, ga.said) AS position, ga.said AS verb, array_to_string(ga.l, ';') AS a_objects, array_to_string(gb.l, ';') AS b_objects, len(list_intersect(ga.l, gb.l)) AS shared FROM ga JOIN gb USING (qid, prio, said)) WHERE position <= 6"""
 
 
-def narrate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+PERSONS = ["Customer"]
+
+
+def _classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return nodes(spark, sf_dir).where("class is not null").select(F.col("id").alias("node"), "class")
+
+
+def _told(spark: SparkSession, sf_dir: str, paths: DataFrame) -> DataFrame:
+    """paths with `sentence`."""
     from lorekeep.functions.narrate import narrated
 
-    p = g.expand(_paths(spark, sf_dir), 12).join(nodes(spark, sf_dir).select(F.col("id").alias("seed"), F.col("label").alias("seed_label")), "seed")
-    return p.select("qid", "position", narrated(predicates(spark), F.col("seed_label"), F.col("preds"), F.col("dirs"), F.col("labels"), F.array_repeat(F.lit(False), 3)).alias("sentence"))
+    flagged = g.person_flags(paths, _classes(spark, sf_dir), PERSONS)
+    named = flagged.join(nodes(spark, sf_dir).select(F.col("id").alias("seed"), F.col("label").alias("seed_label")), "seed")
+    return named.withColumn("sentence", narrated(predicates(spark), F.col("seed_label"), F.col("preds"), F.col("dirs"), F.col("labels"), F.col("persons")))
+
+
+def narrate_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _told(spark, sf_dir, _expanded(spark, sf_dir)).select("qid", "position", "sentence")
+
+
+NARRATE = """said AS MATERIALIZED (SELECT e.*, CASE WHEN f1 THEN n.label || ' ' || v1 || ' ' || labels[1] ELSE labels[1] || ' ' || own1 || ' ' || n.label END
+    || CASE WHEN depth = 1 THEN '' WHEN f2 AND f1 THEN ', ' || CASE WHEN mid_class = 'Customer' THEN 'who' ELSE 'which' END || ' ' || v2 || ' ' || labels[2] WHEN f2 THEN ', and ' || labels[1] || ' ' || v2 || ' ' || labels[2] ELSE ', and ' || labels[2] || ' ' || own2 || ' ' || labels[1] END || '.' AS sentence
+  FROM (SELECT x.*, p1.label AS own1, p2.label AS own2, CASE WHEN dirs[1] = 'out' THEN p1.label ELSE i1.label END AS v1, CASE WHEN dirs[2] = 'out' THEN p2.label ELSE i2.label END AS v2, v1 IS NOT NULL AS f1, v2 IS NOT NULL AS f2, m.class AS mid_class
+    FROM expanded x JOIN preds p1 ON p1.p = split_part(preds, ',', 1) LEFT JOIN preds i1 ON i1.p = p1.inverse LEFT JOIN preds p2 ON p2.p = split_part(preds, ',', 2) LEFT JOIN preds i2 ON i2.p = p2.inverse LEFT JOIN nodes m ON m.id = split_part(x.nodes, ',', 2)) e JOIN nodes n ON n.id = e.seed)"""
+NARRATE_SQL = f"WITH {WALK}, {NARRATE} SELECT qid, position, sentence FROM said"
+
+
+def context_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Relations of two steps told for each question, four at most; comparisons of its first two nodes fill up."""
+    return r.chains(_told(spark, sf_dir, _expanded(spark, sf_dir).withColumn("connects", F.lit(False))), _prominence(spark, sf_dir), r.comparison_lines(_adj(spark, sf_dir), nodes(spark, sf_dir), _first_two(spark, sf_dir), predicates(spark)), 4)
+
+
+def _first_two(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = _seeds(spark, sf_dir)
+    return s.where("seed_rank = 0").select("qid", F.col("anchor").alias("a")).join(s.where("seed_rank = 1").select("qid", F.col("anchor").alias("b")), "qid")
+
+
+CHAINS = """deep AS (SELECT qid, sentence AS line, min((-score, -degree, other_label, position)) AS at_ FROM said WHERE depth = 2 GROUP BY ALL),
+c1 AS (SELECT qid, line, row_number() OVER (PARTITION BY qid ORDER BY at_) AS position FROM deep QUALIFY position <= 4),
+two AS (SELECT a.qid, a.anchor AS a, b.anchor AS b, (SELECT c_name FROM customer WHERE c_custkey = substr(a.anchor, 6)::BIGINT) AS na, (SELECT c_name FROM customer WHERE c_custkey = substr(b.anchor, 6)::BIGINT) AS nb FROM seeds a JOIN seeds b ON a.qid = b.qid AND a.seed_rank = 0 AND b.seed_rank = 1),
+told AS (SELECT anchor, prio, d, adj.p, eid, other_label, CASE dir WHEN 'out' THEN v.label ELSE i.label END AS said FROM adj JOIN preds v ON v.p = adj.p LEFT JOIN preds i ON i.p = v.inverse),
+ends AS (SELECT qid, 0 AS e, a AS anchor FROM two UNION ALL SELECT qid, 1, b FROM two),
+ob AS (SELECT qid, e, prio, said, other_label, min((prio, d, p, eid)) AS x FROM told JOIN ends USING (anchor) WHERE said IS NOT NULL GROUP BY ALL),
+sides AS (SELECT qid, prio, said, list(other_label ORDER BY x) FILTER (e = 0) AS la, list(other_label ORDER BY x) FILTER (e = 1) AS lb FROM ob GROUP BY ALL),
+c2 AS (SELECT qid, na || ' ' || said || ' ' || array_to_string(la[1:3], ', ') || '; ' || nb || ' ' || said || ' ' || array_to_string(lb[1:3], ', ') || CASE WHEN len(list_intersect(la, lb)) > 0 THEN ' (both: ' || array_to_string(list_filter(la, lambda x: list_contains(lb, x))[1:3], ', ') || ')' ELSE '' END || '.' AS line,
+  row_number() OVER (PARTITION BY qid ORDER BY prio, said) AS position FROM sides JOIN two USING (qid) WHERE la IS NOT NULL AND lb IS NOT NULL QUALIFY position <= 2),
+lines AS (SELECT qid, line, position FROM (SELECT qid, line, row_number() OVER (PARTITION BY qid ORDER BY k, n) AS position FROM (SELECT qid, line, 0 AS k, position AS n FROM c1 UNION ALL SELECT qid, line, 1, position FROM c2 WHERE NOT EXISTS (SELECT 1 FROM c1 WHERE c1.qid = c2.qid AND c1.line = c2.line))) WHERE position <= 4)"""
+CHAINS_SQL = f"WITH {WALK}, {NARRATE}, {CHAINS} SELECT qid, position, line FROM lines"
+
+
+def context_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is recorded of each question's nodes, in their order, twelve lines at most."""
+    return r.seed_facts(_adj(spark, sf_dir), nodes(spark, sf_dir), predicates(spark), _seeds(spark, sf_dir), 12)
+
+
+FACT_LINES = """fr AS (SELECT qid, seed_rank, anchor, prio, d, a.p, eid, CASE WHEN dir = 'out' THEN n.label || ' ' || v.label || ' ' || other_label WHEN i.label IS NOT NULL THEN n.label || ' ' || i.label || ' ' || other_label ELSE other_label || ' ' || v.label || ' ' || n.label END || '.' AS line
+  FROM adj a JOIN seeds USING (anchor) JOIN nodes n ON n.id = anchor JOIN preds v ON v.p = a.p LEFT JOIN preds i ON i.p = v.inverse),
+fl AS MATERIALIZED (SELECT qid, line, row_number() OVER (PARTITION BY qid ORDER BY x) AS position FROM (SELECT qid, line, min((seed_rank, prio, d, p, eid)) AS x FROM fr GROUP BY ALL) QUALIFY position <= 12)"""
+SEED_FACTS_SQL = f"WITH {KG}, {SEEDS}, {FACT_LINES} SELECT qid, position, line FROM fl"
+
+
+def graph_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two blocks of recorded facts as a context shows them, and their tokens."""
+    return r.blocks(context_facts(spark, sf_dir), context_chains(spark, sf_dir))
+
+
+BLOCKS_SQL = f"""WITH {WALK}, {NARRATE}, {CHAINS}, {FACT_LINES},
+b AS (SELECT qid, '[KG] ' AS mark, '{{facts}}' || string_agg(chr(10) || '- ' || line, '' ORDER BY position) AS text, 0 AS k FROM fl GROUP BY qid
+  UNION ALL SELECT qid, '[KG-PATH] ', '{{chains}}' || string_agg(chr(10) || '- ' || line, '' ORDER BY position), 1 FROM lines GROUP BY qid)
+SELECT qid, string_agg(mark || text, chr(10) || chr(10) ORDER BY k) AS blocks, sum(greatest(1, floor(length(text) / 2.6)::INT))::INT AS fact_tokens FROM b GROUP BY qid"""
+
+
+def node_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The nodes of the pages of every twentieth customer and part, with their classes; pages that no node stands for drop out."""
+    pages = parquet(spark, sf_dir, "customer").select(F.col("c_custkey").cast("long").alias("page_id")).where("page_id % 20 = 0")
+    found = g.nodes_for_pages(nodes(spark, sf_dir).where("class = 'Customer'"), pages)
+    classes = g.classes_of(_classes(spark, sf_dir), found.select(F.col("node").alias("id")))
+    rows = g.nodes_of(nodes(spark, sf_dir), found.select(F.col("node").alias("id")))
+    return rows.join(classes, "id").select("id", "label", "page_id", F.array_join("classes", ",").alias("classes"))
+
+
+def class_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many nodes have which classes; dates and part types have none."""
+    all_ids = nodes(spark, sf_dir).select("id")
+    return g.classes_of(_classes(spark, sf_dir), all_ids).groupBy(F.array_join("classes", ",").alias("classes")).agg(F.count("*").alias("n"))
+
+
+def one_hop_channel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph channel of one hop with two leading passages a page; lines stand in for a customer's passages."""
+    pages = g.neighbour_pages(_adj(spark, sf_dir), _asked(spark, sf_dir, "orders", "o_orderkey", "order"), 6).withColumnRenamed("position", "page_rank")
+    return r.page_passages(pages, _passages(spark, sf_dir), 2)
+
+
+def _passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kind = F.when(F.col("l_returnflag") == "R", "infobox").when(F.col("l_returnflag") == "A", "summary").otherwise("body")
+    return parquet(spark, sf_dir, "lineitem").select(F.col("l_partkey").cast("long").alias("page_id"), F.col("l_linenumber").alias("ordinal"), (F.col("l_orderkey") * 100 + F.col("l_linenumber")).alias("chunk_id"), kind.alias("kind"))
+
+
+ONE_HOP_SQL = NEIGHBOUR_SQL.replace("SELECT qid, page_id, position FROM (", ", np AS (SELECT qid, page_id, position FROM (", 1) + """),
+c AS (SELECT l_partkey::BIGINT AS page_id, l_linenumber AS ordinal, l_orderkey * 100 + l_linenumber AS chunk_id, CASE l_returnflag WHEN 'R' THEN 0 WHEN 'A' THEN 1 ELSE 2 END AS kind FROM lineitem WHERE l_returnflag IN ('R', 'A')),
+sl AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY kind, ordinal, chunk_id) AS slot FROM c QUALIFY slot <= 2)
+SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY slot, np.position) AS rank FROM np JOIN sl USING (page_id)"""
 
 
 def schema_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,16 +441,18 @@ def unused_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explorer_intern(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Edges as numbers: nodes numbered by id, predicates by name. The dictionary is numbered by a range sort, not in one task."""
-    from lorekeep.operators.curate import numbered
+    """All typed edges as numbers: nodes numbered by id, predicates by their first appearance."""
+    from lorekeep.operators.curate import first_seen, numbered
 
-    n = numbered(nodes(spark, sf_dir).where("class in ('Nation', 'Region')").select("id"), "id")
-    e = edges(spark, sf_dir).where("p = 'part_of'")
-    return e.join(n.withColumnsRenamed({"id": "s", "n": "sn"}), "s").join(n.withColumnsRenamed({"id": "o", "n": "on_"}), "o").select("sn", "on_", "p")
+    n = numbered(nodes(spark, sf_dir).select("id"), "id")
+    e = edges(spark, sf_dir).where(~F.col("p").isin(g.TAXONOMY))
+    p = first_seen(e, "p", "eid").withColumnRenamed("n", "pn")
+    e = e.join(n.withColumnsRenamed({"id": "s", "n": "sn"}), "s").join(n.withColumnsRenamed({"id": "o", "n": "on_"}), "o").join(F.broadcast(p), "p")  # a row a predicate
+    return e.select("sn", "on_", "pn")
 
 
 def ego_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = _adj(spark, sf_dir).join(_seeds(spark).select("anchor"), "anchor", "left_semi")
+    a = _adj(spark, sf_dir).join(_seeds(spark, sf_dir).select("anchor"), "anchor", "left_semi")
     rows = a.withColumn("nth", F.row_number().over(Window.partitionBy("anchor", "dir", "p").orderBy("other"))).groupBy("anchor", "dir", "p").agg(F.count("*").alias("size"), F.array_join(F.array_sort(F.collect_list(F.when(F.col("nth") <= 8, F.col("other")))), ",").alias("shown"))
     return rows.withColumn("rank", F.row_number().over(Window.partitionBy("anchor").orderBy(F.col("size").desc(), "dir", "p")))
 
@@ -339,19 +475,25 @@ QUERIES = {
     "date_nodes": (date_nodes, DATES_SQL),
     "edges_from": (edges_from, f"WITH {KG}, {SEEDS} SELECT anchor, row_number() OVER (PARTITION BY anchor ORDER BY prio, d, p, eid) AS nth, dir, p, other, other_label FROM adj WHERE anchor IN (SELECT anchor FROM seeds)"),
     "degrees": (degrees, f"WITH {KG} SELECT * FROM degree"),
-    "prominence": (prominence, f"WITH {KG} SELECT id, degree + count(*) OVER (PARTITION BY label) % 7 AS prominence FROM degree JOIN nodes USING (id) WHERE class = 'Part'"),
+    "prominence": (prominence, f"WITH {KG} SELECT id, degree + CASE WHEN class = 'Part' THEN count(*) OVER (PARTITION BY label, class) % 7 ELSE 0 END AS prominence FROM degree JOIN nodes USING (id)"),
     "neighbour_pages": (neighbour_pages, NEIGHBOUR_SQL),
     "facts": (facts, FACTS_SQL),
-    "canonical_edges": (canonical_edges, f"WITH {KG}, c AS (SELECT CASE WHEN p = 'part_of' THEN least(s, o) WHEN inverse < p THEN o ELSE s END AS cs, CASE WHEN p <> 'part_of' AND inverse < p THEN inverse ELSE p END AS cp, CASE WHEN p = 'part_of' THEN greatest(s, o) WHEN inverse < p THEN s ELSE o END AS co FROM edges LEFT JOIN preds USING (p) WHERE p IN ('ordered_by', 'contains', 'part_of')) SELECT cp, count(*) AS n, min(cs) AS least_s, max(co) AS most_o FROM c GROUP BY cp"),
+    "canonical_edges": (canonical_edges, f"WITH {KG}, c AS (SELECT CASE WHEN p = 'part_of' THEN least(s, o) WHEN inverse < p THEN o ELSE s END AS cs, CASE WHEN p <> 'part_of' AND inverse < p THEN inverse ELSE p END AS cp, CASE WHEN p = 'part_of' THEN greatest(s, o) WHEN inverse < p THEN s ELSE o END AS co FROM edges LEFT JOIN preds USING (p)) SELECT cp, count(*) AS n, min(cs) AS least_s, max(co) AS most_o FROM c GROUP BY cp"),
     "adjacency_dedupe": (adjacency_dedupe, DEDUPE_SQL),
-    "beam_expand": (beam_expand, f"WITH {WALK} SELECT qid, position, seed, depth, node, score, preds FROM expanded"),
+    "beam_expand": (beam_expand, f"WITH {WALK} SELECT qid, position, seed, depth, node, score, preds, nodes FROM expanded"),
     "graph_channel": (graph_channel, CHANNEL_SQL),
     "connect_shortest": (connect_shortest, CONNECT_SQL),
     "compare_pair": (compare_pair, COMPARE_SQL),
-    "narrate_paths": (narrate_paths, None),
+    "narrate_paths": (narrate_paths, NARRATE_SQL),
     "schema_triples": (schema_triples, f"WITH {KG}, {CLS} SELECT a.c AS sc, p, b.c AS oc, count(*) AS n FROM typed JOIN cls a ON a.id = s JOIN cls b ON b.id = o GROUP BY ALL"),
     "unused_predicates": (unused_predicates, f"WITH {KG} SELECT p, label FROM preds WHERE p NOT IN (SELECT p FROM edges)"),
-    "explorer_intern": (explorer_intern, f"WITH {KG}, n AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM nodes WHERE class IN ('Nation', 'Region')) SELECT a.n AS sn, b.n AS on_, p FROM edges JOIN n a ON a.id = s JOIN n b ON b.id = o WHERE p = 'part_of'"),
+    "explorer_intern": (explorer_intern, f"WITH {KG}, n AS MATERIALIZED (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM nodes), fp AS (SELECT p, row_number() OVER (ORDER BY min(eid), p) - 1 AS pn FROM typed GROUP BY p) SELECT a.n AS sn, b.n AS on_, pn FROM typed JOIN n a ON a.id = s JOIN n b ON b.id = o JOIN fp USING (p)"),
+    "context_chains": (context_chains, CHAINS_SQL),
+    "context_facts": (context_facts, SEED_FACTS_SQL),
+    "graph_context": (graph_context, BLOCKS_SQL.replace("{facts}", r.FACTS_HEAD).replace("{chains}", r.CHAINS_HEAD)),
+    "node_lookup": (node_lookup, f"WITH {KG} SELECT id, label, page_id, class AS classes FROM nodes WHERE class = 'Customer' AND page_id % 20 = 0"),
+    "class_lookup": (class_lookup, f"WITH {KG} SELECT coalesce(class, '') AS classes, count(*) AS n FROM nodes GROUP BY 1"),
+    "one_hop_channel": (one_hop_channel, ONE_HOP_SQL),
     "ego_groups": (ego_groups, f"WITH {KG}, {SEEDS}, a AS (SELECT *, row_number() OVER (PARTITION BY anchor, dir, p ORDER BY other) AS nth FROM adj WHERE anchor IN (SELECT anchor FROM seeds)), g AS (SELECT anchor, dir, p, count(*) AS size, string_agg(other, ',' ORDER BY other) FILTER (nth <= 8) AS shown FROM a GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY size DESC, dir, p) AS rank FROM g"),
     "category_labels": (category_labels, f"WITH {KG} SELECT s, label FROM edges JOIN nodes ON id = o WHERE p = 'instance_of'"),
 }

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Callable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,6 +22,37 @@ def exists(spark: SparkSession, path: str) -> bool:
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).exists(p)
 
 
+def shared_dir(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which driver and executors share; only a local master may go without it."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        base = "file:///tmp/lorekeep-work"
+    return base.rstrip("/")
+
+
+#: Where tables made once in an application lie, by what they were made from.
+_STORED: dict[tuple[str, str], str] = {}
+
+
+def stored(spark: SparkSession, name: str, make: Callable[[], dict[str, DataFrame]]) -> dict[str, DataFrame]:
+    """The tables that `make` gives, written to the shared folder when first asked for, and read from there after that.
+
+    `name` says what they are made from; within an application equal names mean equal tables.
+    """
+    key = (spark.sparkContext.applicationId, name)
+    path = _STORED.get(key)
+    if path is None or not exists(spark, f"{path}/_names"):
+        path = f"{shared_dir(spark)}/lorekeep-{uuid.uuid4().hex}"
+        made = make()
+        for n, df in made.items():
+            df.write.parquet(f"{path}/{n}")
+        spark.createDataFrame([(n,) for n in made], "name string").coalesce(1).write.parquet(f"{path}/_names")
+        _STORED[key] = path
+    return {r["name"]: spark.read.parquet(f"{path}/{r['name']}") for r in spark.read.parquet(f"{path}/_names").collect()}
+
+
 def raw_path(folder: str, ns: int) -> str:
     return f"{folder}/ns{ns}.jsonl"
 

@@ -82,11 +82,19 @@ def test_dates(spark):
     assert one(spark, "Rajab 13", lambda c: dates.label_of(dates.of_field(c, F.array(F.lit("30 BH"), F.lit("March 15, 600 CE"))))) == "Rajab 13 / 30 BH / March 15, 600 CE"
 
 
-def test_narrate():
-    verbs = {"taught_by": ("was taught by", "taught"), "records": ("records", None)}
-    assert narrate.narrate(verbs, "A", ["taught_by", "taught_by"], ["out", "out"], ["B", "C"], [False, True]) == "A was taught by B, who was taught by C."
-    assert narrate.narrate(verbs, "A", ["records", "taught_by"], ["in", "out"], ["B", "C"], [False, True]) == "B records A, and B was taught by C."
-    assert narrate.narrate(verbs, "A", ["x"], ["out"], ["B"], [False]) is None
+def test_narrate(spark):
+    preds = spark.createDataFrame([("taught_by", "was taught by", "taught"), ("taught", "taught", "taught_by"), ("records", "records", None)], "p string, label string, inverse string")
+    rows = [
+        ("A", ["taught_by", "taught_by"], ["out", "out"], ["B", "C"], [False, True], "A was taught by B, who was taught by C."),
+        ("A", ["records", "taught_by"], ["in", "out"], ["B", "C"], [False, True], "B records A, and B was taught by C."),
+        ("A", ["taught", "taught_by"], ["in", "in"], ["B", "C"], [False, False], "A was taught by B, which taught C."),
+        ("A", ["taught", "records", "taught"], ["out", "in", "out"], ["B", "C", "D"], [True] * 3, "A taught B, and C records B, and C taught D."),
+        ("A", ["taught", "x", "taught"], ["out", "out", "out"], ["B", "C", "D"], [True] * 3, "A taught B."),
+        ("A", ["x"], ["out"], ["B"], [False], None), ("A", ["taught"], ["out"], [None], [False], None),
+    ]
+    d = spark.createDataFrame(rows, "s string, p array<string>, d array<string>, l array<string>, w array<boolean>, want string")
+    got = d.withColumn("got", narrate.narrated(preds, *[F.col(c) for c in "spdlw"])).collect()
+    assert [r.got for r in got] == [r.want for r in got]
 
 
 def test_comparison_line(spark):
