@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions import text as tx
 from lorekeep.operators import fusion, index, vectors
-from lorekeep.sources.tables import parquet
+from lorekeep.plans import retrieve as plan
+from lorekeep.sources.tables import parquet, stored
 
 K = 30
 TOKENS = r"regexp_extract_all(strip_accents(lower(coalesce({0}, ''))), '[\p{{L}}\p{{N}}]+')"
@@ -27,7 +28,7 @@ gain AS (SELECT tf.doc_id, tf.term,
   FROM tf JOIN df USING (term) JOIN lens USING (doc_id), stat),
 scored AS (SELECT qid, doc_id, round(-sum(g), 6) AS score FROM gain JOIN q USING (term) GROUP BY ALL),
 bm25 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, doc_id) AS rank FROM scored) WHERE rank <= {K})"""
-VEC = f"""vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id < 40),
+VEC = f"""vq AS (SELECT vec_id AS qid, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IN (SELECT item_id FROM benchmark)),
 vec AS (SELECT * FROM (SELECT qid, vec_id, round(list_distance(v, embedding::DOUBLE[]), 6) AS distance,
   row_number() OVER (PARTITION BY qid ORDER BY round(list_distance(v, embedding::DOUBLE[]), 6), vec_id) AS rank FROM vq, embeddings) WHERE rank <= {K})"""
 NAMES = r"""regexp_extract(text, '^[^\n]*')"""
@@ -42,9 +43,14 @@ def questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.select(F.col("item_id").alias("qid"), F.array_distinct(toks).alias("terms"))
 
 
+def words(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """The inverted index of the documents, made once."""
+    docs = lambda: parquet(spark, sf_dir, "documents").select("doc_id", "text")
+    return stored(spark, f"words of {sf_dir}", lambda: index.counted(docs(), ["text"], "doc_id"))
+
+
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = parquet(spark, sf_dir, "documents").select("doc_id", "text")
-    return index.bm25(questions(spark, sf_dir), docs, ["text"], K, id_col="doc_id")
+    return index.bm25_of(words(spark, sf_dir), questions(spark, sf_dir), K, {"text": 1.0}, "doc_id")
 
 
 BM25_TOPK = f"WITH {Q_TERMS}, {BM25} SELECT qid, doc_id, score, rank FROM bm25"
@@ -76,19 +82,19 @@ def _page_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def bm25_title_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Title words ask the title column; lengths count title and text."""
     pages = _page_titles(spark, sf_dir)
-    q = pages.where("page_id % 10 = 0").select(F.col("page_id").alias("qid"), tx.title_terms(F.col("title")).alias("terms"))
-    return index.bm25(q, pages.select("page_id", "title", F.col("html").alias("text")), ["title", "text"], 10, {"title": 8.0, "text": 1.0}, ["title"], "page_id")
+    q = pages.where("page_id % 20 = 0").select(F.col("page_id").alias("qid"), tx.title_terms(F.col("title")).alias("terms"))
+    return index.bm25(q, pages.select("page_id", "title", F.col("html").alias("text")), ["title", "text"], plan.TITLE_RECALL, {"title": 8.0, "text": 1.0}, ["title"], "page_id")
 
 
 BM25_TITLE = f"""WITH p AS (SELECT page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) AS title, html FROM pages),
-q AS (SELECT DISTINCT page_id AS qid, unnest({TITLE_TERMS.format("regexp_replace(title, '[(][^)]*[)]', ' ', 'g')")}) AS term FROM p WHERE page_id % 10 = 0),
+q AS (SELECT DISTINCT page_id AS qid, unnest({TITLE_TERMS.format("regexp_replace(title, '[(][^)]*[)]', ' ', 'g')")}) AS term FROM p WHERE page_id % 20 = 0),
 toks AS (SELECT page_id, {TOKENS.format("title")} AS t, len({TOKENS.format("title")}) + len({TOKENS.format("html")}) AS d FROM p),
 stat AS (SELECT count(*) AS n, avg(d) AS avgdl FROM toks),
 tf AS (SELECT page_id, d, term, 8.0 * count(*) AS f FROM (SELECT page_id, d, unnest(t) AS term FROM toks) WHERE term IN (SELECT term FROM q) GROUP BY ALL),
 df AS (SELECT term, count(*) AS df FROM tf GROUP BY term),
 s AS (SELECT qid, page_id, round(-sum(CASE WHEN ln((n - df + 0.5) / (df + 0.5)) > 0 THEN ln((n - df + 0.5) / (df + 0.5)) ELSE 1e-6 END * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * d / avgdl))), 6) AS score
   FROM tf JOIN df USING (term) JOIN q USING (term), stat GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, page_id) AS rank FROM s) WHERE rank <= 10"""
+SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score, page_id) AS rank FROM s) WHERE rank <= {plan.TITLE_RECALL}"""
 
 
 def query_terms(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -113,12 +119,12 @@ def title_coverage_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Which parts a question (the first words of another part's name and brand) names."""
     p = parquet(spark, sf_dir, "part")
     names = p.select(F.col("p_partkey").alias("page_id"), tx.title_terms(F.col("p_name")).alias("terms"))
-    q = p.where("p_partkey <= 20").select(F.col("p_partkey").alias("qid"), tx.title_terms(F.concat_ws(" ", "p_name", "p_type")).alias("terms"))
+    q = p.where("p_partkey % 20 = 0").select(F.col("p_partkey").alias("qid"), tx.title_terms(F.concat_ws(" ", "p_name", "p_type")).alias("terms"))
     return fusion.title_coverage(q, names).select("qid", "page_id", F.round("coverage", 6).alias("coverage"), "hits", "rank")
 
 
 TITLE_COVERAGE_SQL = f"""WITH n AS (SELECT p_partkey AS page_id, {TITLE_TERMS.format("p_name")} AS t FROM part),
-q AS (SELECT p_partkey AS qid, {TITLE_TERMS.format("concat_ws(' ', p_name, p_type)")} AS t FROM part WHERE p_partkey <= 20),
+q AS (SELECT p_partkey AS qid, {TITLE_TERMS.format("concat_ws(' ', p_name, p_type)")} AS t FROM part WHERE p_partkey % 20 = 0),
 c AS (SELECT qid, page_id, len(list_intersect(n.t, q.t)) AS hits, len(list_intersect(n.t, q.t)) / len(n.t) AS coverage FROM q, n WHERE len(n.t) > 0)
 SELECT qid, page_id, round(coverage, 6) AS coverage, hits, rank FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY coverage DESC, hits DESC, page_id) AS rank FROM c WHERE coverage >= 0.6 AND hits > 0) WHERE rank <= 4"""
@@ -140,16 +146,13 @@ SELECT qid, page_id, chunk_id, kind, slot, position FROM (
   SELECT *, row_number() OVER (PARTITION BY qid ORDER BY slot, chunk_id) AS position FROM s WHERE slot <= 3) WHERE position <= 12"""
 
 
-def _vector_queries(spark: SparkSession, sf_dir: str, n: int = 40) -> list[tuple[int, list[float]]]:
-    rows = parquet(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).collect()
-    return [(r.vec_id, list(r.embedding)) for r in rows]
-
-
 def knn_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return vectors.knn(parquet(spark, sf_dir, "embeddings"), _vector_queries(spark, sf_dir), K)
+    """The nearest of all vectors for every vector whose id is divisible by 20, in blocks."""
+    e = parquet(spark, sf_dir, "embeddings")
+    return vectors.knn_of(e, e.where("vec_id % 20 = 0").select(F.col("vec_id").alias("qid"), F.col("embedding").alias("v")), K)
 
 
-KNN_SQL = f"WITH {VEC} SELECT qid, vec_id, distance, rank FROM vec"
+KNN_SQL = f"WITH {VEC.replace('WHERE vec_id IN (SELECT item_id FROM benchmark)', 'WHERE vec_id % 20 = 0')} SELECT qid, vec_id, distance, rank FROM vec"
 
 
 def l2_normalise(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -235,9 +238,9 @@ SELECT qid, page_id, doc_id, position FROM (SELECT *, row_number() OVER (PARTITI
 
 
 def _doc_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document as a hit; eight in a row make a question."""
     d = parquet(spark, sf_dir, "documents")
-    pos = F.row_number().over(Window.partitionBy(F.col("doc_id") % 100).orderBy("doc_id"))
-    return d.select((F.col("doc_id") % 100).alias("qid"), pos.alias("position"), tx.token_estimate(F.col("text")).alias("tokens"), F.col("source").alias("url"), F.col("lang").alias("section")).where("position <= 8")
+    return d.select(F.floor(F.col("doc_id") / 8).alias("qid"), (F.col("doc_id") % 8 + 1).alias("position"), tx.token_estimate(F.col("text")).alias("tokens"), F.col("source").alias("url"), F.col("lang").alias("section"))
 
 
 def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -245,23 +248,23 @@ def context_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("qid", F.array_join(F.transform("used", lambda x: x["position"].cast("string")), ",").alias("positions"), "context_tokens")
 
 
-PACK_SQL = """WITH RECURSIVE h AS (SELECT * FROM (SELECT doc_id % 100 AS qid, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) AS position, greatest(1, floor(length(text) / 2.6)::INT) AS tokens FROM documents) WHERE position <= 8),
+PACK_SQL = """WITH RECURSIVE h AS (SELECT doc_id // 8 AS qid, doc_id % 8 + 1 AS position, greatest(1, floor(length(text) / 2.6)::INT) AS tokens FROM documents),
 r(qid, position, room, used, total) AS (
   SELECT DISTINCT qid, 0::BIGINT, 2600, '', 0 FROM h
   UNION ALL
-  SELECT r.qid, h.position,
-    CASE WHEN room > 0 AND (h.tokens <= room OR used = '') THEN room - h.tokens ELSE room END,
-    CASE WHEN room > 0 AND (h.tokens <= room OR used = '') THEN used || CASE WHEN used = '' THEN '' ELSE ',' END || h.position ELSE used END,
-    CASE WHEN room > 0 AND (h.tokens <= room OR used = '') THEN total + h.tokens ELSE total END
-  FROM r JOIN h ON h.qid = r.qid AND h.position = r.position + 1)
-SELECT qid, used AS positions, total AS context_tokens FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY position DESC) AS n FROM r) WHERE n = 1"""
+  SELECT r.qid, r.position + 1,
+    CASE WHEN h.tokens IS NOT NULL AND room > 0 AND (h.tokens <= room OR used = '') THEN room - h.tokens ELSE room END,
+    CASE WHEN h.tokens IS NOT NULL AND room > 0 AND (h.tokens <= room OR used = '') THEN used || CASE WHEN used = '' THEN '' ELSE ',' END || h.position ELSE used END,
+    CASE WHEN h.tokens IS NOT NULL AND room > 0 AND (h.tokens <= room OR used = '') THEN total + h.tokens ELSE total END
+  FROM r LEFT JOIN h ON h.qid = r.qid AND h.position = r.position + 1 WHERE r.position < 8)
+SELECT qid, used AS positions, total AS context_tokens FROM r WHERE position = 8"""
 
 
 def sources_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fusion.sources(_doc_hits(spark, sf_dir)).select("qid", "url", "first_position", F.array_join("sections", ",").alias("sections"))
 
 
-SOURCES_SQL = """WITH h AS (SELECT * FROM (SELECT doc_id % 100 AS qid, row_number() OVER (PARTITION BY doc_id % 100 ORDER BY doc_id) AS position, source AS url, lang AS section FROM documents) WHERE position <= 8)
+SOURCES_SQL = """WITH h AS (SELECT doc_id // 8 AS qid, doc_id % 8 + 1 AS position, source AS url, lang AS section FROM documents)
 SELECT qid, url, min(position) AS first_position, string_agg(section, ',' ORDER BY position) AS sections FROM h GROUP BY qid, url"""
 
 
@@ -325,17 +328,16 @@ def decomposed_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = b.select("item_id", F.explode(F.array(F.struct(F.lit(0).alias("part"), F.array_join(F.slice("w", F.lit(1), half), " ").alias("text")), F.struct(F.lit(1).alias("part"), F.array_join(F.slice("w", half + 1, F.size("w")), " ").alias("text")))).alias("p"))
     toks = F.array_distinct(F.filter(tx.tokens(F.col("p.text")), lambda w: (F.length(w) >= 2) & ~w.isin(tx.STOPWORDS)))
     q = parts.select((F.col("item_id") * 2 + F.col("p.part")).alias("qid"), toks.alias("terms"))
-    hits = index.bm25(q, parquet(spark, sf_dir, "documents").select("doc_id", "text"), ["text"], K, id_col="doc_id")
-    merged = hits.groupBy(F.floor(F.col("qid") / 2).alias("qid"), F.col("doc_id")).agg(F.round(F.sum(1.0 / (60 + F.col("rank"))), 9).alias("score"))
-    rank = F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "doc_id"))
-    return merged.withColumn("rank", rank).where("rank <= 6")
+    hits = index.bm25_of(words(spark, sf_dir), q, K, {"text": 1.0}, "doc_id")
+    ranks = hits.select(F.floor(F.col("qid") / 2).alias("qid"), (F.col("qid") % 2).alias("part"), F.col("doc_id").alias("chunk_id"), F.col("rank").alias("position"))
+    return plan.merged_ranks(ranks, 60).where("rank <= 6").withColumnRenamed("chunk_id", "doc_id")
 
 
 DECOMPOSED_SQL = f"""WITH b AS (SELECT item_id, string_split(text, ' ') AS w FROM benchmark),
 p AS (SELECT item_id * 2 AS qid, array_to_string(w[1:ceil(len(w) / 2)::INT], ' ') AS text FROM b UNION ALL SELECT item_id * 2 + 1, array_to_string(w[ceil(len(w) / 2)::INT + 1:], ' ') FROM b),
 q AS (SELECT DISTINCT qid, t AS term FROM (SELECT qid, unnest({TOKENS.format("text")}) AS t FROM p) WHERE length(t) >= 2 AND t NOT IN {STOP_SQL}), {BM25},
-m AS (SELECT qid // 2 AS qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score FROM bm25 GROUP BY ALL)
-SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, doc_id) AS rank FROM m) WHERE rank <= 6"""
+m AS (SELECT qid // 2 AS qid, doc_id, round(sum(1.0::DOUBLE / (60 + rank)), 9) AS score, min((qid % 2, rank)) AS first FROM bm25 GROUP BY ALL)
+SELECT qid, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, first, doc_id) AS rank FROM m) WHERE rank <= 6"""
 
 QUERIES = {
     "bm25_topk": (bm25_topk, BM25_TOPK), "bm25_phrase": (bm25_phrase, BM25_PHRASE), "bm25_title_recall": (bm25_title_recall, BM25_TITLE),

@@ -32,6 +32,13 @@ def shared_dir(spark: SparkSession) -> str:
     return base.rstrip("/")
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """The rows as a table in the shared folder: what follows reads them instead of making them again."""
+    path = f"{shared_dir(df.sparkSession)}/lorekeep-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 #: Where tables made once in an application lie, by what they were made from.
 _STORED: dict[tuple[str, str], str] = {}
 
