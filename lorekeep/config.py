@@ -56,6 +56,7 @@ class Settings:
     # fetching
     request_spacing_s: float = 0.35
     request_attempts: int = 6
+    request_maxlag: int = 5
     titles_per_request: int = 50
 
     def model(self, profile: str | None = None) -> str:

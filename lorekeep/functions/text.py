@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import unicodedata
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Words that carry no meaning in a search question.
@@ -102,3 +102,26 @@ def token_estimate(text: Column) -> Column:
 def html_safe(json: Column) -> Column:
     """JSON that can stand inside a script element."""
     return F.replace(json, F.lit("</"), F.lit("<\\/"))
+
+
+def label_search(rows: DataFrame, label: str, needle: str, limit: int, key: str) -> DataFrame:
+    """The shortest labels that hold the needle, whatever the case; ties by key. The needle's % and _ are no wildcards."""
+    found = F.contains(F.lower(F.col(label)), F.lit(needle.lower()))
+    return rows.where(found).orderBy(F.length(label), key).limit(limit)
+
+
+def explorer_search(rows: DataFrame, label: str, needle: str, limit: int, key: str, degree: str | None = None) -> DataFrame:
+    """rows with `place`, where the needle begins in the folded label without apostrophes: by place, then length, then key.
+
+    An empty needle gives the best connected rows, by the column `degree`.
+    """
+    bare = lambda c: F.translate(fold(c), "'’", "")
+    if not needle:
+        return rows.withColumn("place", F.lit(0)).orderBy(F.col(degree).desc() if degree else F.length(label), key).limit(limit)
+    at = F.locate(needle.lower().replace("'", "").replace("’", ""), bare(F.col(label)))
+    return rows.withColumn("place", at).where("place > 0").orderBy("place", F.length(label), key).limit(limit)
+
+
+def json_column(text: Column, schema: str) -> Column:
+    """A JSON text as a struct or array of the given schema; what does not parse is null."""
+    return F.from_json(text, schema)

@@ -21,13 +21,13 @@ DROPPED = [
     "col-begin", "col-break", "col-end", "colbegin", "colend", "year nav",
     "calendar", "today/ad/ah", "about", "otheruses", "disambiguation", "dab",
     "navbox", "portal", "commons", "commonscat", "stub", "clear", "-", "!!",
-    "toc", "tocright", "tocleft", "center", "sisterlinks",
+    "toc", "tocright", "tocleft", "center", "sisterlinks", "shiaislam",
     "authority control", "hijri", "ahref", "enote", "efn", "sfn",
 ]
 #: Templates that point to other pages, and those that hold quotations.
 POINTERS = ["main", "see also", "seealso", "further", "fulltext", "main article"]
 QUOTES = ["quote box", "quotebox", "pull quote", "pullquote", "centered pull quote", "quote", "cquote", "blockquote", "poem quote"]
-FORMAT_TAGS = "small|big|br|center|div|span|sup|sub|u|s|b|i|font|nowiki|poem|blockquote|p"
+FORMAT_TAGS = "onlyinclude|noinclude|includeonly|small|big|br|center|div|span|sup|sub|u|s|b|i|font|nowiki|poem|blockquote|p"
 LONG_PARAMETER = 40
 INFOBOX = re.compile(r"infobox\b|جعبه", re.I)
 
@@ -147,7 +147,7 @@ def body_text(text: str, got: Collected | None) -> str:
     text = re.sub(r"(?is)<gallery.*?</gallery>", "", text)
     text = resolved(text, got)
     text = re.sub(r"(?ms)^\{\|.*?^\|\}", "", text)
-    text = re.sub(r"(?i)\[\[(?:file|image):(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "", text)
+    text = re.sub(r"(?i)\[\[\s*(?:file|image|media)\s*:(?:[^\[\]]|\[\[[^\[\]]*\]\])*\]\]", "", text)
     text = re.sub(r"(?i)\[\[category:[^\[\]]*\]\]", "", text)
     text = re.sub(rf"(?i)</?(?:{FORMAT_TAGS})\b[^>]*>", "", text)
     text = strip_links(text)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.functions.wikitext import clean_pages
@@ -24,10 +24,7 @@ def build_index(raw: DataFrame, aliases: DataFrame, sizes: ck.ChunkSizes = ck.Ch
     pages = clean.select("page_id", "ns", "title", "url", "categories").join(al, "title", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     pages = pages.join(chunks.select("page_id").distinct(), "page_id", "left_semi")
     full = chunks.join(pages.select("page_id", "ns", "title", "url", F.array_join("aliases", " ").alias("aliases")), "page_id")
-    # stable ids without a global sort: page and ordinal
-    full = full.withColumn("chunk_id", F.col("page_id") * 100_000 + F.col("ordinal"))
+    # stable ids without a global sort: page and ordinal, room for 16 million passages a page
+    full = full.withColumn("chunk_id", F.shiftleft(F.col("page_id"), 24) + F.col("ordinal"))
     return {"pages": pages, "chunks": full}
 
-
-def first_by(rows: DataFrame, key: list[str], order: list[str]) -> DataFrame:
-    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(*key).orderBy(*order))).where("_n = 1").drop("_n")

@@ -40,7 +40,7 @@ def chunk_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.posexplode(blocks).alias("nth", "t")).select("doc_id", "nth", F.length("t").alias("chars"), F.md5("t").alias("md5"))
 
 
-CHUNK_PACK_SQL = """WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS b FROM documents WHERE n_chars < 20000),
+CHUNK_PACK_SQL = """WITH RECURSIVE p AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: x <> '') AS b FROM documents),
 r(doc_id, i, open, fresh, done) AS (
   SELECT doc_id, 0, '', 0, []::VARCHAR[] FROM p
   UNION ALL
@@ -132,18 +132,15 @@ def slug(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def label_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = parquet(spark, sf_dir, "customer")
-    return c.where(F.col("c_name").ilike("%00%1%")).orderBy(F.length("c_name"), "c_custkey").limit(10).select("c_custkey", "c_name")
+    return tx.label_search(parquet(spark, sf_dir, "customer").select("c_custkey", "c_name"), "c_name", "R#0000000", 10, "c_custkey")
 
 
 def explorer_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = parquet(spark, sf_dir, "part").select("p_partkey", "p_name", F.replace(tx.fold(F.col("p_name")), F.lit("'"), F.lit("")).alias("folded"))
-    at = F.instr("folded", "re")
-    return p.withColumn("place", at).where("place > 0").orderBy("place", F.length("p_name"), "p_partkey").limit(60).select("p_partkey", "p_name", "place")
+    return tx.explorer_search(parquet(spark, sf_dir, "part").select("p_partkey", "p_name"), "p_name", "R'e", 60, "p_partkey")
 
 
 def json_props(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = parquet(spark, sf_dir, "events").select("event_type", F.from_json("props", "k int").alias("p"))
+    e = parquet(spark, sf_dir, "events").select("event_type", tx.json_column(F.col("props"), "k int").alias("p"))
     return e.groupBy("event_type").agg(F.sum("p.k").cast("long").alias("k"), F.count("*").alias("n"), F.max(F.to_json("p")).alias("largest"))
 
 
@@ -224,7 +221,7 @@ QUERIES = {
     "resolve_links": (resolve_links, f"WITH {RESOLVE} SELECT * FROM resolved"),
     "link_graph": (link_graph, f"WITH {RESOLVE} SELECT page_id AS s, to_page AS o, count(*) AS n FROM resolved WHERE to_page IS NOT NULL AND to_page <> page_id GROUP BY ALL"),
     "slug": (slug, f"SELECT p_partkey, {SLUG.format("concat_ws(' ', p_name, p_type)")} AS slug FROM part"),
-    "label_search": (label_search, "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%00%1%' ORDER BY length(c_name), c_custkey LIMIT 10"),
+    "label_search": (label_search, "SELECT c_custkey, c_name FROM customer WHERE c_name ILIKE '%r#0000000%' ORDER BY length(c_name), c_custkey LIMIT 10"),
     "explorer_search": (explorer_search, "SELECT p_partkey, p_name, instr(replace(strip_accents(lower(p_name)), '''', ''), 're') AS place FROM part WHERE instr(replace(strip_accents(lower(p_name)), '''', ''), 're') > 0 ORDER BY place, length(p_name), p_partkey LIMIT 60"),
     "json_props": (json_props, "SELECT event_type, sum((props->>'k')::INT)::BIGINT AS k, count(*) AS n, max('{\"k\":' || (props->>'k') || '}') AS largest FROM events GROUP BY event_type"),
     "missing_vectors": (missing_vectors, "SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT vec_id FROM embeddings)"),

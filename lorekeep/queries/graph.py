@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lorekeep.operators import graph as g
+from lorekeep.plans import report
 from lorekeep.plans import retrieve as r
 from lorekeep.sources.tables import parquet, stored
 
@@ -427,28 +428,46 @@ SELECT qid, chunk_id, row_number() OVER (PARTITION BY qid ORDER BY slot, np.posi
 
 
 def schema_triples(spark: SparkSession, sf_dir: str) -> DataFrame:
-    cls = nodes(spark, sf_dir).select("id", F.when(F.col("kind") == "date", "Date").otherwise(F.coalesce("class", F.lit("(unclassed)"))).alias("c"))
-    e = edges(spark, sf_dir).where(~F.col("p").isin(g.TAXONOMY))
-    t = e.join(cls.withColumnsRenamed({"id": "s", "c": "sc"}), "s").join(cls.withColumnsRenamed({"id": "o", "c": "oc"}), "o")
-    return t.groupBy("sc", "p", "oc").agg(F.count("*").alias("n"))
+    return report.schema_triples(report.node_classes(nodes(spark, sf_dir)), edges(spark, sf_dir))
+
+
+def schema_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The schema page's forty triples, seats of classes and figures, as (part, name, value)."""
+    cls = report.node_classes(nodes(spark, sf_dir))
+    triples = report.schema_triples(cls, edges(spark, sf_dir))
+    top = triples.orderBy(F.col("n").desc(), "sc", "p", "oc").limit(40).select(F.lit("triple").alias("part"), F.concat_ws(" ", "sc", "p", "oc").alias("name"), F.col("n").cast("double").alias("value"))
+    places = report.seats(cls).select(F.lit("seat").alias("part"), F.col("c").alias("name"), F.col("seat").cast("double").alias("value"))
+    return top.unionByName(places).unionByName(report.schema_figures(cls, triples).select(F.lit("figure").alias("part"), "name", "value"))
 
 
 CLS = "cls AS (SELECT id, CASE kind WHEN 'date' THEN 'Date' ELSE coalesce(class, '(unclassed)') END AS c FROM nodes)"
 
 
 def unused_predicates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return predicates(spark).select("p", "label").join(edges(spark, sf_dir).select("p").distinct(), "p", "left_anti")
+    return report.unused_predicates(predicates(spark).select("p", "label"), edges(spark, sf_dir))
 
 
 def explorer_intern(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All typed edges as numbers: nodes numbered by id, predicates by their first appearance."""
-    from lorekeep.operators.curate import first_seen, numbered
+    return report.explorer_tables(nodes(spark, sf_dir), edges(spark, sf_dir))[1].select("sn", "on_", "pn")
+
+
+def graph_ab(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Graph off, one step and two steps side by side: whether a part that one of the asked customers ordered is among six pages."""
+    s = _seeds(spark, sf_dir)
+    own = s.select("qid", F.substring("anchor", 6, 20).cast("long").alias("page_id"))
+    one = g.neighbour_pages(_adj(spark, sf_dir), s, 6).select(F.lit("one step").alias("setting"), "qid", F.col("page_id").alias("id"), "position")
+    two = g.round_robin_pages(_expanded(spark, sf_dir), 6, own).select(F.lit("two steps").alias("setting"), "qid", F.col("page_id").alias("id"), "position")
+    o = parquet(spark, sf_dir, "orders").select(F.concat(F.lit("cust:"), F.col("o_custkey").cast("string")).alias("anchor"), F.col("o_orderkey").alias("l_orderkey"))
+    truth = s.join(o, "anchor").join(parquet(spark, sf_dir, "lineitem"), "l_orderkey").select("qid", F.col("l_partkey").cast("long").alias("id")).distinct()
+    settings = spark.createDataFrame([("off",), ("one step",), ("two steps",)], "setting string")
+    return report.compared(settings, one.unionByName(two), truth)
+
 
-    n = numbered(nodes(spark, sf_dir).select("id"), "id")
-    e = edges(spark, sf_dir).where(~F.col("p").isin(g.TAXONOMY))
-    p = first_seen(e, "p", "eid").withColumnRenamed("n", "pn")
-    e = e.join(n.withColumnsRenamed({"id": "s", "n": "sn"}), "s").join(n.withColumnsRenamed({"id": "o", "n": "on_"}), "o").join(F.broadcast(p), "p")  # a row a predicate
-    return e.select("sn", "on_", "pn")
+AB_SQL = f"""WITH {WALK}, {PAGES}, two AS (SELECT qid, page_id, row_number() OVER (PARTITION BY qid ORDER BY slot, dep) AS position FROM ps QUALIFY position <= 6),
+truth AS (SELECT DISTINCT qid, l_partkey::BIGINT AS page_id FROM seeds JOIN orders ON 'cust:' || o_custkey = anchor JOIN lineitem ON l_orderkey = o_orderkey),
+f AS (SELECT t.qid, min(position) AS first FROM (SELECT DISTINCT qid FROM truth) t LEFT JOIN (SELECT two.qid, position FROM two JOIN truth USING (qid, page_id)) h ON h.qid = t.qid GROUP BY t.qid)
+SELECT 'two steps' AS setting, count(first)::INT AS found, round(avg(coalesce(1.0 / first, 0.0)), 6) AS mrr FROM f UNION ALL SELECT 'off', 0, 0.0 UNION ALL SELECT 'one step', 0, 0.0"""
 
 
 def ego_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -494,6 +513,8 @@ QUERIES = {
     "node_lookup": (node_lookup, f"WITH {KG} SELECT id, label, page_id, class AS classes FROM nodes WHERE class = 'Customer' AND page_id % 20 = 0"),
     "class_lookup": (class_lookup, f"WITH {KG} SELECT coalesce(class, '') AS classes, count(*) AS n FROM nodes GROUP BY 1"),
     "one_hop_channel": (one_hop_channel, ONE_HOP_SQL),
+    "schema_page": (schema_page, f"WITH {KG}, {CLS}, t AS (SELECT a.c AS sc, p, b.c AS oc, count(*) AS n FROM typed JOIN cls a ON a.id = s JOIN cls b ON b.id = o GROUP BY ALL), z AS (SELECT c, count(*) AS n FROM cls GROUP BY c) SELECT * FROM (SELECT 'triple' AS part, sc || ' ' || p || ' ' || oc AS name, n::DOUBLE AS value FROM t ORDER BY n DESC, sc, p, oc LIMIT 40) UNION ALL SELECT 'seat', c, row_number() OVER (ORDER BY n DESC, c)::DOUBLE FROM z UNION ALL SELECT 'figure', 'nodes', count(*)::DOUBLE FROM cls UNION ALL SELECT 'figure', 'unclassed share', round(avg(CASE WHEN c = '(unclassed)' THEN 1.0 ELSE 0.0 END), 6) FROM cls UNION ALL SELECT 'figure', 'triples', count(*)::DOUBLE FROM t UNION ALL SELECT 'figure', 'triples of two edges or fewer', (count(*) FILTER (n <= 2))::DOUBLE FROM t"),
+    "graph_ab": (graph_ab, AB_SQL),
     "ego_groups": (ego_groups, f"WITH {KG}, {SEEDS}, a AS (SELECT *, row_number() OVER (PARTITION BY anchor, dir, p ORDER BY other) AS nth FROM adj WHERE anchor IN (SELECT anchor FROM seeds)), g AS (SELECT anchor, dir, p, count(*) AS size, string_agg(other, ',' ORDER BY other) FILTER (nth <= 8) AS shown FROM a GROUP BY ALL) SELECT *, row_number() OVER (PARTITION BY anchor ORDER BY size DESC, dir, p) AS rank FROM g"),
     "category_labels": (category_labels, f"WITH {KG} SELECT s, label FROM edges JOIN nodes ON id = o WHERE p = 'instance_of'"),
 }

@@ -26,7 +26,10 @@ class WikiClient:
             if gap > 0:
                 self.sleep(gap)
             self.last = time.monotonic()
-            status, headers, body = self.transport({"format": "json", "formatversion": 2, **params})
+            try:
+                status, headers, body = self.transport({"format": "json", "formatversion": 2, "maxlag": self.settings.request_maxlag, **params})
+            except OSError:  # the network failed: as if the server were busy
+                status, headers, body = 503, {}, {}
             error = body.get("error", {}).get("code") if status == 200 else None
             if status == 200 and error is None:
                 return body
