@@ -126,30 +126,32 @@ def own_licences(files: DataFrame, threshold: float) -> DataFrame:
     known = F.create_map(*[F.lit(x) for t in vocabulary for x in (t, weight[t])])
     of_template = {name: F.create_map(*[F.lit(x) for m, t, w in rows if m == name for x in (t, w)]) for name in notices}
 
+    once = lambda df, **c: df.select("*", F.inline_outer(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))))
+    in_vocabulary = lambda c: F.filter(c, lambda x: x.isin(vocabulary))
+
     def bounded(parts: DataFrame) -> DataFrame:
-        """The parts (list) whose cosine can reach the threshold: other terms weigh 1 at least, and come once each."""
-        parts = parts.withColumn("hits", F.filter("list", lambda x: x.isin(vocabulary)))
-        sums = parts.withColumn("tf", F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("t"), (F.size(F.filter("hits", lambda x: x == t)) * F.element_at(known, t)).alias("w"))))
-        own = F.aggregate("tf", F.lit(0.0), lambda s, x: s + x["w"] * x["w"])
-        others = F.size(F.array_distinct("list")) - F.size("tf")
-        norm = F.sqrt(own + others)
+        """The parts (list, hits: its template terms) whose cosine can reach the threshold: other terms weigh 1 at least, and come once each."""
+        tf = F.transform(F.array_distinct("hits"), lambda t: F.struct(t.alias("t"), (F.size(F.filter("hits", lambda x: x == t)) * F.element_at(known, t)).alias("w")))
+        parts = once(parts, tf=tf, others=F.size(F.array_distinct("list")) - F.size(F.array_distinct("hits")))
+        parts = once(parts, own=F.aggregate("tf", F.lit(0.0), lambda s, x: s + x["w"] * x["w"]))
+        parts = parts.where(F.col("own") >= threshold**2 * (F.col("own") + F.col("others")))
         dot = lambda m: F.aggregate("tf", F.lit(0.0), lambda s, x: s + x["w"] * F.coalesce(F.element_at(m, x["t"]), F.lit(0.0)))
-        dots = [dot(m) for m in of_template.values()]
-        return sums.where(own >= threshold**2 * (own + others)).where(F.greatest(*dots) >= (threshold - 1e-6) * norm).drop("hits", "tf")
+        parts = once(parts, best=F.greatest(*[dot(m) for m in of_template.values()]))
+        return parts.where(F.col("best") >= (threshold - 1e-6) * F.sqrt(F.col("own") + F.col("others"))).select("row", "part", "list")
 
     is_file = F.coalesce(F.col("name"), F.lit("")).rlike(LICENCE_FILE)
-    once = lambda df, **c: df.select("*", F.inline_outer(F.array(F.struct(*[v.alias(k) for k, v in c.items()]))))
     lines = files.select("row", F.posexplode(F.split("text", "\n")).alias("line", "part"))
     lines = once(lines, list=term_list(F.col("part"))).drop("part")
-    lines = lines.withColumn("known", F.size(F.filter("list", lambda x: x.isin(vocabulary)))).where("known > 0")
-    alone = bounded(lines.select("row", F.col("line").alias("part"), "list"))
+    lines = written(once(lines, hits=in_vocabulary("list")).where(F.size("hits") > 0), "lines")  # few of all, so the texts are split once
+    alone = bounded(lines.select("row", F.col("line").alias("part"), "list", "hits"))
     # neighbouring lines of mostly template terms; their numbers are negative
-    dense = written(lines.where(F.col("known") >= RUN_SHARE * F.size("list")).select("row", "line", "list"), "dense")
-    of_row = Window.partitionBy("row").orderBy("line")
-    dense = dense.withColumn("run", F.col("line") - F.row_number().over(of_row))
-    runs = dense.groupBy("row", "run").agg(F.min("line").alias("line"), F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", "list"))), lambda x: x["list"])).alias("list"), F.count("*").alias("lines"))
-    runs = bounded(runs.where("lines > 1").select("row", (-1 - F.col("line")).alias("part"), "list"))
-    whole = files.where(is_file & F.col("text").contains("\n")).select("row", F.lit(1 << 30).alias("part"), term_list(F.col("text")).alias("list"))
+    dense = lines.where(F.size("hits") >= RUN_SHARE * F.size("list"))
+    dense = dense.withColumn("run", F.col("line") - F.row_number().over(Window.partitionBy("row").orderBy("line")))
+    joined = lambda c: F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("line", c))), lambda x: x[c])).alias(c)
+    runs = dense.groupBy("row", "run").agg(F.min("line").alias("line"), joined("list"), joined("hits"), F.count("*").alias("lines"))
+    runs = bounded(runs.where("lines > 1").select("row", (-1 - F.col("line")).alias("part"), "list", "hits"))
+    whole = once(files.where(is_file & F.col("text").contains("\n")).select("row", F.lit(1 << 30).alias("part"), "text"), list=term_list(F.col("text")))
+    whole = once(whole, hits=in_vocabulary("list")).where(F.size("hits") > 0)
     parts = written(alone.unionByName(runs).unionByName(bounded(whole)), "parts")
 
     each = parts.select("row", "part", F.explode("list").alias("term")).groupBy("row", "part", "term").agg(F.count("*").alias("tf"))

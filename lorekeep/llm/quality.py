@@ -15,7 +15,7 @@ the two multinomials, and integer sums make reruns agree.
 
 All is done with DataFrame functions. Per-document work stays in one row (no shuffle of texts);
 only bucket counts move. Words are hashed once; pairs and windows hash their hashes. Repeated windows
-are found by sorting 64-bit numbers (hash and position); neighbours with equal hashes are compared as strings, and a document in which a hash
+are found, where any hash occurs twice, by sorting 64-bit numbers (hash and position); neighbours with equal hashes are compared as strings, and a document in which a hash
 deceives, or that has over two million words, is sorted by the windows' strings instead.
 
 Defined results: a null text has no words, fails the base rules and is not kept; without trusted
@@ -58,14 +58,15 @@ def staged(df: DataFrame, **columns: Column) -> DataFrame:
 def _repeat_words() -> list[tuple[str, str]]:
     """Steps (column, SQL) from `w` (words) and `wh` (their hashes) to `n_repeat_words`."""
     mask = (1 << POSITION_BITS) - 1
-    keyed = f"transform(sequence(0, size(w) - 3), i -> (xxhash64(wh[i], wh[i + 1], wh[i + 2]) & {~mask}L) | i)"
+    keyed = f"transform(h3, (x, i) -> (x & {~mask}L) | i)"
     near = lambda a, x, same: f"filter({a}, ({x}, j) -> (j > 0 AND {same(f'{a}[greatest(j - 1, 0)]', x)}) OR (j < size({a}) - 1 AND {same(x, f'{a}[least(j + 1, size({a}) - 1)]')}))"
     by_hash = lambda x, y: f"shiftright({x}, {POSITION_BITS}) = shiftright({y}, {POSITION_BITS})"
     at = lambda x: f"cast({x} & {mask}L as int)"
     differ = " OR ".join(f"w[{at('rep[j]')} + {k}] <> w[{at('rep[j - 1]')} + {k}]" for k in range(3))
     by_text = lambda x, y: f"{x}.a = {y}.a AND {x}.b = {y}.b AND {x}.c = {y}.c"
     return [
-        ("win", f"CASE WHEN size(w) BETWEEN 4 AND {mask} THEN sort_array({keyed}) ELSE array(cast(null as bigint)) END"),
+        ("h3", "CASE WHEN size(w) > 3 THEN transform(sequence(0, size(w) - 3), i -> xxhash64(wh[i], wh[i + 1], wh[i + 2])) ELSE array(cast(null as bigint)) END"),
+        ("win", f"CASE WHEN size(w) <= {mask} AND size(array_distinct(h3)) < size(h3) THEN sort_array({keyed}) ELSE array(cast(null as bigint)) END"),
         ("rep", f"CASE WHEN size(win) > 1 THEN {near('win', 'x', by_hash)} ELSE array(cast(null as bigint)) END"),
         ("odd", f"size(w) > {mask} OR (size(rep) > 1 AND exists(sequence(1, size(rep) - 1), j -> {by_hash('rep[j]', 'rep[j - 1]')} AND ({differ})))"),
         ("strs", "CASE WHEN odd AND size(w) > 3 THEN sort_array(transform(sequence(0, size(w) - 3), i -> named_struct('a', w[i], 'b', w[i + 1], 'c', w[i + 2], 'i', i))) END"),
@@ -89,7 +90,7 @@ def base_counts(docs: DataFrame) -> DataFrame:
     for name, sql in _repeat_words():
         df = staged(df, **{name: F.expr(sql)})
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words"))
-    return df.withColumn("base_failed", failed).drop("_lines", "win", "rep", "odd", "strs", "pos")
+    return df.withColumn("base_failed", failed).drop("_lines", "h3", "win", "rep", "odd", "strs", "pos")
 
 
 WORD_HASHES = "transform(w, x -> xxhash64(x))"
@@ -113,7 +114,7 @@ def log_ratios(docs: DataFrame, trusted: DataFrame | None) -> list[int]:
     ids = written(ids, "trusted")
     # a filter of fixed size lets texts lie where they are; only those that may be trusted meet the ids
     seen = maybe_in(rows, F.xxhash64("_id"), key_filter(ids, F.xxhash64("_id")))
-    met = seen.where("_hit").drop("_hit").join(ids.withColumn("_good", F.lit(1)), "_id", "left")
+    met = seen.where("_hit").drop("_hit").join(ids.withColumn("_good", F.lit(1)).hint("merge"), "_id", "left")  # one plan at every size
     rows = seen.where("not _hit").drop("_hit").withColumn("_good", F.lit(None).cast("int")).unionByName(met)
     rows = staged(rows, w=words(F.col("text").cast("string")))
     rows = with_grams(staged(rows, wh=F.expr(WORD_HASHES)))
