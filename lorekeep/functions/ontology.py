@@ -27,77 +27,77 @@ Organization | infobox shia organization, infobox website
 Film | infobox film
 """
 
-#: Predicate | phrase | fields | inverse | range or classes of objects (PEOPLE: any person) | classes of subjects.
+#: Fixed values but for the phrases, which are ours: predicate | phrase | fields | inverse | range or classes of objects (PEOPLE: any person) | classes of subjects.
 PREDICATES = """
-taught_by | was taught by | professors, professor, teachers | taught
-taught | taught | students | taught_by
-ijaza_from | held a transmission licence from | permission for hadith transmission from, permission for ijtihad from, permission to narrate from | ijaza_to
-ijaza_to | granted a transmission licence to | permission for hadith transmission to | ijaza_from
-narrated_by | was narrated by | narrator, narrators, main narrator, narrated by
-narrated_from | narrated from | narrated from, narrated from infallible
-companion_of | was a companion of | companion of
-relative_of | was related to | well known relatives, well-known relatives, wellknown relatives
-father | had as father | father | child | PEOPLE
-mother | had as mother | mother | child | PEOPLE
-spouse | was married to | spouse(s), spouses, husband, wife | spouse
-child | had as child | sons, daughters, son(s), daughter(s), children, descendants | parent
-parent | had as parent | | child
-sibling | was a sibling of | brothers, sisters | sibling
-descends_from | descends from | lineage
-contemporary_of | was a contemporary of | contemporary with, contemporary rulers, contemporary prophet | contemporary_of
-born_in | was born in | place of birth, birthplace, birth place
-died_in | died in | place of martyrdom
-buried_at | is buried at | burial place, place of burial, graveyards
-resided_in | resided in | place of residence, places of residence, residence, home town, hometown
-studied_in | studied in | place of study, places of study
-migrated_to | migrated to | migration to
-born_on | was born on | birth, born, birthday | | date
-died_on | died on | death, death/martyrdom, martyrdom, demise | | date
-cause_of_death | died because of | cause of death, cause of death/martyrdom, cause of martyrdom
-affiliation | belonged to | religious affiliation, religion, muhajir/ansar
-authored | wrote | works | authored_by | Book, Supplication, Hadith
-known_for | is known for | known for, notable roles, role
-participated_in | took part in | activities, other activities, socio-political activities, scholarly activities, presence at ghazwas, important events, important rites
-authored_by | was written by | author, writer | authored | PEOPLE
-published_by | was published by | publisher, en publisher, english publisher
-translated_by | was translated by | translator, translated by
-about_subject | is about | subject, topic, about, genre, hadith topics
-in_sura | appears in | sura | | Sura | Verse
-revealed_at | was revealed at | place of revelation
-revealed_because | was revealed because of | cause of revelation
-related_verse | is related to | related verses, others | related_verse
-revelation_type | is of revelation type | makki/madani
-issued_by | was issued by | issued by
-source_shia | is recorded in the Shia source | shi'a sources
-source_sunni | is recorded in the Sunni source | sunni sources
-monograph | has the monograph | monographs
-observed_at | is observed at | time
-combatant | was fought by | combatant1, combatant2
-commander | was commanded by | commander1, commander2
-occurred_at | took place at | place, location
-occurred_on | took place on | date | | date
-caused_by | was caused by | cause
-part_of | is part of | part of
-located_in | is located in | country, province
-founded_by | was founded by | founder, architect
-founded_on | was founded on | established, year of foundation | | date
-contains | contains | shrines, mosques, historical places, husayniyyas, seminary, facilities, research centers, institutes, capital, shi'a areas
-related_event | is connected to the event | related events
-published_on | was published in | published, pub date | | date
-imamate_began | began his imamate in | beginning of imamate | | date
-converted_on | accepted Islam in | converting to islam, conversion to islam | | date
-reigned | reigned in | reign | | date
-renovated_on | was renovated in | renovation | | date
-has_type | is of type | type, types, status
-chain_validity | has chain assessed as | validity of the chain of transmission, reliability
-resulted_in | resulted in | result
-in_era | belongs to the era | era
-opposed_by | was opposed by | enemies
-supported_by_verse | is supported by | qur'anic support
-member | counts as a member | figures, scholars, head, rulers
-originates_from | originates from | origin
-succeeded_by | was succeeded by | successor, after | preceded_by
-preceded_by | was preceded by | predecessor, before | succeeded_by
+taught_by | learnt from | professors, professor, teachers | taught
+taught | instructed | students | taught_by
+ijaza_from | had leave to transmit from | permission for hadith transmission from, permission for ijtihad from, permission to narrate from | ijaza_to
+ijaza_to | gave leave to transmit to | permission for hadith transmission to | ijaza_from
+narrated_by | comes down through | narrator, narrators, main narrator, narrated by
+narrated_from | passed on reports of | narrated from, narrated from infallible
+companion_of | kept company with | companion of
+relative_of | was kin to | well known relatives, well-known relatives, wellknown relatives
+father | was fathered by | father | child | PEOPLE
+mother | was born to | mother | child | PEOPLE
+spouse | was wed to | spouse(s), spouses, husband, wife | spouse
+child | was a parent of | sons, daughters, son(s), daughter(s), children, descendants | parent
+parent | was a child of | | child
+sibling | shared parents with | brothers, sisters | sibling
+descends_from | traces its line to | lineage
+contemporary_of | lived at the time of | contemporary with, contemporary rulers, contemporary prophet | contemporary_of
+born_in | came into the world in | place of birth, birthplace, birth place
+died_in | passed away in | place of martyrdom
+buried_at | rests at | burial place, place of burial, graveyards
+resided_in | made a home in | place of residence, places of residence, residence, home town, hometown
+studied_in | went to study in | place of study, places of study
+migrated_to | moved to | migration to
+born_on | has the birth date | birth, born, birthday | | date
+died_on | has the death date | death, death/martyrdom, martyrdom, demise | | date
+cause_of_death | lost life through | cause of death, cause of death/martyrdom, cause of martyrdom
+affiliation | was counted among | religious affiliation, religion, muhajir/ansar
+authored | is the author of | works | authored_by | Book, Supplication, Hadith
+known_for | is remembered for | known for, notable roles, role
+participated_in | had a part in | activities, other activities, socio-political activities, scholarly activities, presence at ghazwas, important events, important rites
+authored_by | has as its author | author, writer | authored | PEOPLE
+published_by | was brought out by | publisher, en publisher, english publisher
+translated_by | was put into another language by | translator, translated by
+about_subject | deals with | subject, topic, about, genre, hadith topics
+in_sura | stands in | sura | | Sura | Verse
+revealed_at | came down at | place of revelation
+revealed_because | came down on account of | cause of revelation
+related_verse | has a kindred verse in | related verses, others | related_verse
+revelation_type | has the place of revelation type | makki/madani
+issued_by | goes back to | issued by
+source_shia | has the Shia source | shi'a sources
+source_sunni | has the Sunni source | sunni sources
+monograph | is treated in the book | monographs
+observed_at | is kept at the time of | time
+combatant | had as a fighting side | combatant1, combatant2
+commander | had as a leader | commander1, commander2
+occurred_at | happened at | place, location
+occurred_on | happened on | date | | date
+caused_by | arose from | cause
+part_of | forms part of | part of
+located_in | lies in | country, province
+founded_by | owes its founding to | founder, architect
+founded_on | dates from | established, year of foundation | | date
+contains | holds | shrines, mosques, historical places, husayniyyas, seminary, facilities, research centers, institutes, capital, shi'a areas
+related_event | goes with the event | related events
+published_on | appeared in | published, pub date | | date
+imamate_began | led as imam from | beginning of imamate | | date
+converted_on | became a Muslim in | converting to islam, conversion to islam | | date
+reigned | ruled in | reign | | date
+renovated_on | was rebuilt in | renovation | | date
+has_type | is a kind of | type, types, status
+chain_validity | has a chain judged as | validity of the chain of transmission, reliability
+resulted_in | led to | result
+in_era | falls in the time of | era
+opposed_by | had as opponents | enemies
+supported_by_verse | rests on the verse | qur'anic support
+member | includes | figures, scholars, head, rulers
+originates_from | stems from | origin
+succeeded_by | was followed by | successor, after | preceded_by
+preceded_by | came after | predecessor, before | succeeded_by
 """
 
 #: Fields that state no relation.

@@ -2,6 +2,6 @@
 
 
 def catalogue() -> dict:
-    from lorekeep.queries import corpus, graph, retrieval
+    from lorekeep.queries import corpus, graph, retrieval, wiki
 
-    return retrieval.QUERIES | corpus.QUERIES | graph.QUERIES
+    return retrieval.QUERIES | corpus.QUERIES | graph.QUERIES | wiki.QUERIES
