@@ -110,3 +110,85 @@ def test_entry_contract(spark):
     q, sql = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(sql) <= set(q) and len(q) > 60
     assert __spark_entry__.entry(spark).columns[:3] == ["qid", "position", "chunk_id"]
+
+
+def test_clients_read_both_shapes_and_end_when_done():
+    from lorekeep.plans import clients
+
+    sent = []
+
+    def post(url, payload):
+        sent.append((url, payload))
+        if url.endswith("/api/chat"):
+            yield from ({"message": {"content": "So"}}, {"message": {}}, {"message": {"content": " it is"}, "done": True}, {"message": {"content": "never"}})
+        else:
+            yield {"embedding": [1.0]} if len(payload["input"]) == 1 else {"embeddings": [[1.0], [2.0]]}
+
+    chat = clients.ChatClient("http://m/", config.Settings(), post)
+    assert "".join(chat("small", [{"role": "user", "content": "q"}], temperature=0.0)) == "So it is"
+    assert sent[0][0] == "http://m/api/chat" and sent[0][1]["options"]["temperature"] == 0.0 and sent[0][1]["options"]["num_predict"] == 512
+    embed = clients.EmbedClient("http://m", "e", post, lambda: ["e:latest"])
+    assert embed(["a"]) == [[1.0]] and embed(["a", "b"]) == [[1.0], [2.0]] and embed.health() == (True, "ok")
+    with pytest.raises(RuntimeError, match="no vectors"):
+        clients.EmbedClient("http://m", "e", lambda u, p: iter([{}]))(["a"])
+    assert clients.EmbedClient("http://m", "e", post, lambda: (_ for _ in ()).throw(OSError("down"))).health()[0] is False
+
+
+def test_web_service():
+    import json
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from lorekeep.plans import service
+
+    api = answer.Api(engine([{"url": "u", "position": 1, "section": "Summary"}]), lambda: {"embedder": True, "chunks": 1, "vectors": 1})
+    with service.server(api, port=0) as web:
+        threading.Thread(target=web.serve_forever, daemon=True).start()
+        base = f"http://127.0.0.1:{web.server_address[1]}"
+
+        def ask(path, payload=None):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(base + path, payload if payload is None else json.dumps(payload).encode()), timeout=10) as r:
+                    return r.status, r.read().decode()
+            except urllib.error.HTTPError as e:
+                return e.code, e.read().decode()
+
+        assert ask("/health")[0] == 200 and json.loads(ask("/search", {"question": "what"})[1])["context_tokens"] == 3
+        assert json.loads(ask("/ask", {"question": "what"})[1])["text"] == "So it is [1]."
+        assert ask("/ask/stream", {"question": "what"})[1].count("data: ") == 4
+        assert [ask("/ask", p)[0] for p in ({"question": "x"}, {}, {"question": "ok", "top_k": 0})] == [422] * 3 and ask("/none", {"question": "ok"})[0] == 404
+        api.engine = None
+        assert ask("/ask", {"question": "what"})[0] == 503
+        web.shutdown()
+
+
+def test_commands_over_a_data_folder(spark, tmp_path, capsys):
+    from types import SimpleNamespace as given
+
+    from lorekeep import commands
+    from lorekeep.__main__ import parser
+
+    raw = [
+        (1, 0, "Ali Reader", "u1", 1, "t", ["Category:Readers"], "{{Infobox person|teachers=[[Sara Writer]]}}Ali Reader read all the books of the town for many years and told others of what he had read there."),
+        (2, 0, "Sara Writer", "u2", 1, "t", [], "{{Infobox person|students=[[Ali Reader]]|teachers=[[Old Master]]}}Sara Writer wrote many books in the town and taught those who came to hear her speak of them in those years."),
+        (3, 0, "Old Master", "u3", 1, "t", [], "{{Infobox person|place of birth=[[Town]]}}Old Master taught the writers of the town for a long time and was known to all who lived there at that time."),
+    ]
+    s = config.Settings(data_dir=str(tmp_path))
+    tables.write_raw(spark.createDataFrame(raw, tables.RAW_PAGE), s.raw_dir)
+    chat = lambda model, messages, **options: iter(["Sara ", "did [1]."])
+    desk = commands.Desk(spark, s, chat)
+    with pytest.raises(commands.Nothing):
+        list(desk.search(given(question="who", top_k=None, full=False)))
+    assert list(desk.index(given(embed_only=False, text_only=True, limit=None)))[0].startswith("text index: 3 pages")
+    assert "nodes: 4" in list(desk.kg_build(given(jsonl_only=False)))
+    assert any("3 nodes" in x or "4 nodes" in x for x in desk.status())
+    assert any("learnt from" in x for x in desk.kg_show(given(title="ali", limit=5)))
+    assert any("Old Master" in x for x in desk.kg_chain(given(title="ali", hops=2, limit=4, deep_only=True)))
+    assert any("Sara Writer" in x for x in desk.kg_path(given(start="ali", end="old", hops=None, limit=2)))
+    assert any("learnt from" in x for x in desk.kg_compare(given(first="ali", second="sara", limit=3)))
+    assert len(list(desk.kg_viz(given(out=str(tmp_path / "viz"), kind="both")))) == 2 and (tmp_path / "viz" / "schema.html").exists()
+    lines = list(desk.search(given(question="Who taught Ali Reader?", top_k=3, full=False)))
+    assert any(x.startswith("[1] Ali Reader") for x in lines) and any(x.startswith("[KG-PATH]") for x in lines)
+    assert list(desk.ask(given(question="Who taught Ali Reader?", top_k=3, json=False, profile=None, decompose=False)))[-1] == "Sara did [1]."
+    assert parser().parse_args(["kg", "path", "a", "b", "--hops", "3"]).hops == 3
