@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all rows that the one before kept, and its
 decisions take effect. All but the last return the columns of documents; the last gives ids.
+
+Defined results: a null text counts as empty and fails the quality rules; null languages, sources
+and lengths pass through; a null doc_id ranks below all others among exact copies, is a group of its
+own among near copies and an id like any other in the mix; rows that repeat are one text, of which one
+stays; columns beyond those of documents go; an empty table gives an empty result at every stage.
 """
 
 from __future__ import annotations

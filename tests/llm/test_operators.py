@@ -181,6 +181,22 @@ def test_near_copies_chain_whose_centre_misses_links(spark):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == want and len({v[1] for v in want.values()}) == 1
 
 
+def test_bands_find_pairs_at_the_threshold():
+    """Recall of the candidate step on pairs of sets whose similarity is just 75 %, and the estimate never drops one."""
+    r = np.random.default_rng(3)
+    found = possible = 0
+    for n in (40, 400, 2000):
+        for _ in range(150):
+            both = r.integers(0, 1 << 63, 6 * n // 7 + 1).astype(np.uint64)
+            a, b = (np.unique(np.r_[both, r.integers(0, 1 << 63, n - len(both)).astype(np.uint64)]) for _ in range(2))
+            assert 100 * len(both) >= 75 * len(np.union1d(a, b))
+            _, regs = near_dup.registers(np.repeat([0, 1], [len(a), len(b)]), np.r_[a, b])
+            keys = np.ascontiguousarray(regs).view(np.int64)
+            found += bool((keys[0] == keys[1]).any())
+            possible += bool(near_dup.estimate(np.array([(regs[0] == regs[1]).sum()]), np.array([len(a)]), np.array([len(b)]))[0] >= near_dup.least_estimate(75))
+    assert found == possible == 450
+
+
 def test_components_of_long_paths(spark):
     pairs = [(i, i + 1) for i in range(0, 60)] + [(200, 100), (300, 200)] + [(500, x) for x in range(600, 640)]
     got = {r.v: r.comp for r in near_dup.components(spark.createDataFrame(pairs, "a long, b long")).collect()}

@@ -47,3 +47,21 @@ def test_exact_copies_equal_their_sql(spark):
     for name, sql in queries.ORACLES.items():
         df = queries.QUERIES[name](spark, DIR)
         assert sorted(map(tuple, df.collect())) == sorted(con.sql(sql).select(*df.columns).fetchall())
+
+
+def test_stages_take_awkward_rows(spark):
+    """Nulls in any column, empty texts, repeated rows, an empty table: every stage but the last gives columns of documents."""
+    text = " ".join(f"w{i}" for i in range(80))
+    schema = "doc_id long, text string, lang string, source string, n_chars long"
+    rows = [(1, text, None, None, None), (1, text, None, None, None), (None, text, "en", "a", 3), (2, None, "en", "a", 0), (3, "", "en", None, 0), (None, None, None, None, None), (4, text + " more", "fr", "b", 9)]
+    labels = {i for i in (1, 4)}
+    for given in (rows, []):
+        docs = spark.createDataFrame(given, schema)
+        sizes = []
+        for name, stage in corpus_pipeline.STAGES:
+            docs = corpus_pipeline.written(stage(spark, docs, DIR), name.replace(" ", "_"))
+            sizes.append(docs.count())
+            assert docs.columns == (corpus_pipeline.COLUMNS if name != "piece ids" else ["doc_id", "n_ids", "ids"])
+        assert sizes == ([0] * 5 if not given else sizes) and labels
+        if given:  # texts under fifty words go, copies go, the near copy goes with its group
+            assert sizes[0] == 4 and sizes[1] == 2 and 1 <= sizes[2] <= 2
