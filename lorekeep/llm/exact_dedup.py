@@ -6,15 +6,18 @@ with the largest doc_id stays.
 How: (1) each task fills a bounded memtable digest -> (best doc_id, copies) and, whenever it is
 full, flushes it as a run sorted by digest, with its own Bloom filter for later look-ups. Copies
 that meet in a memtable never leave the task, so a huge group of copies costs one row a flush.
-(2) Compaction merges all runs: per digest the best doc_id and the sum of copies. (3) Digests
-with more than one copy are hits. A fixed-size filter of the hits, which is all that is broadcast,
-picks the rows whose texts move at all; every such text is compared byte for byte with that of
-the row that stays. A text that differs although its digest agrees is grouped again, by a second full digest.
+(2) Compaction deals the runs' rows to ranges of digests and merges each range in order, row by row
+as they stream by: per digest the best doc_id and the sum of copies. The ranges in a row are one
+sorted run, and the digests with more than one copy, the hits, get a filter of their own. (3) Rows
+are looked up in the index: only those that the hits' filter lets through meet the hits, and only
+their texts move; every such text is compared byte for byte with that of the row that stays. A text
+that differs although its digest agrees is grouped again, by a second full digest. `probe` looks up
+new digests in runs that were not compacted yet, by the runs' own filters.
 
 Defined results: rows that repeat a doc_id and its text share a verdict (both kept, group_size
 counts both; `one_of_each` then leaves one of them); a null doc_id stays only if its whole group
-has none; extra columns are ignored; an empty table gives an empty result. No cap on group or
-text sizes.
+has none; extra columns, whatever their names, are ignored by `exact_duplicates` and kept by
+`one_of_each`; an empty table gives an empty result. No cap on group or text sizes.
 """
 
 from __future__ import annotations
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lorekeep.llm.common import hot_keys, key_filter, maybe_in, packed, skew_join, unpacked, written
+from lorekeep.llm.common import hot_keys, key_filter, maybe_in, packed, rows_of, skew_join, unpacked, written
 
 #: Digests that a memtable holds before it is flushed: some 20 MB of a task's memory.
 MEMTABLE_ROWS = 100_000
@@ -97,20 +100,50 @@ def build_runs(keys: DataFrame, memtable_rows: int = MEMTABLE_ROWS) -> DataFrame
     return written(keys.select("doc_id", "digest").mapInArrow(flusher(memtable_rows), RUN_SCHEMA), "runs")
 
 
+def merger(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One range of all runs, sorted by digest: equal neighbours become one row. Holds one digest between batches."""
+    held: list | None = None
+
+    def closed(rows: list[list]) -> pa.RecordBatch:
+        cols = list(zip(*rows, strict=True)) or [(), (), ()]
+        return pa.RecordBatch.from_arrays([pa.array(cols[0], pa.binary()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64())], names=["digest", "best", "copies"])
+
+    for b in batches:
+        done = []
+        for d, i, n in zip(*(b.column(c).to_pylist() for c in ("digest", "best", "copies")), strict=True):
+            if held is not None and held[0] == d:
+                held[2] += n
+                if i is not None and (held[1] is None or i > held[1]):
+                    held[1] = i
+            else:
+                if held is not None:
+                    done.append(held)
+                held = [d, i, n]
+        yield closed(done)
+    if held is not None:
+        yield closed([held])
+
+
 def compact(runs: DataFrame) -> DataFrame:
-    """One sorted run of all: per digest the best doc_id and all copies."""
-    merged = runs.groupBy("digest").agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
-    return written(merged.sortWithinPartitions("digest"), "level1")
+    """One sorted run of all, in ranges of digests: per digest the best doc_id and all copies."""
+    ranges = runs.select("digest", "best", "copies").repartitionByRange("digest").sortWithinPartitions("digest")
+    return written(ranges.mapInArrow(merger, "digest binary, best long, copies long"), "level1")
+
+
+#: New digests that are tried against a run's filter at once.
+PROBE_BLOCK = 4096
 
 
 def probe(runs: DataFrame, keys: DataFrame) -> DataFrame:
-    """The keys (digest) that an index already holds: (digest, best, copies).
+    """The keys (digest) that runs already hold: (digest, best, copies).
 
-    For incremental use. Each run's filter is tried before the run itself is read, in blocks of
-    new keys, so runs without a hit cost their filter alone.
+    For incremental use, before new runs are compacted. Each run's filter is tried before the run
+    itself is read, in blocks of some PROBE_BLOCK new keys, so runs without a hit cost their filter alone.
     """
+    news = written(keys.select("digest").distinct(), "new")
+    n = max(1, -(-rows_of(news) // PROBE_BLOCK))
+    blocks = news.groupBy(F.pmod(F.xxhash64("digest"), F.lit(n)).alias("block")).agg(F.collect_list("digest").alias("digests"))
     filters = runs.where("filter is not null").select("run", "filter")
-    news = keys.select("digest").distinct().groupBy(F.pmod(F.xxhash64("digest"), F.lit(64)).alias("block")).agg(F.collect_list("digest").alias("digests"))
 
     def tried(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -118,8 +151,8 @@ def probe(runs: DataFrame, keys: DataFrame) -> DataFrame:
                 hit = [d for d, ok in zip(digests, bloom_has(filt, digests), strict=True) if ok]
                 yield pa.RecordBatch.from_arrays([pa.array([run] * len(hit), pa.string()), pa.array(hit, pa.binary())], names=["run", "digest"])
 
-    per_run = filters.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(63)))).withColumn("block", F.col("block").cast("long"))
-    likely = per_run.join(news, "block").select("run", "filter", "digests").mapInArrow(tried, "run string, digest binary")
+    per_run = filters.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    likely = per_run.join(blocks, "block").select("run", "filter", "digests").mapInArrow(tried, "run string, digest binary")
     hits = runs.join(likely, ["run", "digest"])
     return hits.groupBy("digest").agg(F.max("best").alias("best"), F.sum("copies").alias("copies"))
 
