@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space that separates words: blank and 0x09 to 0x0D, nothing else.
@@ -45,9 +45,17 @@ def work_dir(spark: SparkSession) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """The rows as a table in the shared folder: cuts the lineage and survives lost executors."""
     spark = df.sparkSession
-    path = f"{work_dir(spark)}/{name}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    path, seen = f"{work_dir(spark)}/{name}", Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("rows")).write.parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.rows_written = seen.get["rows"]
+    return out
+
+
+def rows_of(df: DataFrame) -> int:
+    """The number of rows, which `written` tables know already."""
+    known = getattr(df, "rows_written", None)
+    return df.count() if known is None else known
 
 
 def packed(df: DataFrame, *columns: str) -> DataFrame:
@@ -84,7 +92,7 @@ def key_filter(keys: DataFrame, hashed: Column) -> KeyFilter:
     It has FILTER_ROWS bitmaps of 4 KB at most, so it can always be broadcast. Beyond 16 million
     keys it fills up: more rows pass `maybe_in` than need to (at worst all), and none is ever lost.
     """
-    n = keys.count()
+    n = rows_of(keys)
     slots = max(1, min(FILTER_ROWS, -(-n * FILTER_BITS // BITMAP_BITS)))
     slot, bits = _places(F.col("h"), slots)
     each = keys.select(hashed.alias("h")).select(slot.alias("slot"), F.explode(F.array(*bits)).alias("bit"))
@@ -102,21 +110,27 @@ def maybe_in(df: DataFrame, hashed: Column, filt: KeyFilter) -> DataFrame:
     return df.withColumn("_hit", F.coalesce(F.col("_bits").isNotNull() & one[0] & one[1], F.lit(False))).drop("_h", "_slot", "_bits")
 
 
-def hot_keys(counted: DataFrame, keys: list[str], count: str) -> DataFrame:
-    """(h, k): hashes of the keys that are dealt over k tasks, as a written table of HOT_KEYS rows at most.
+def hot_keys(counted: DataFrame, keys: list[str], count: str) -> DataFrame | None:
+    """(h, k): hashes of the keys that are dealt over k tasks; None if there are none.
 
-    A key is hot if it has over HOT_ROWS rows and over 1 / HOT_KEYS of all rows of such keys; k grows
-    with its rows, so a task gets an even share of it however large it is.
+    The HOT_KEYS keys with most rows are looked at, if they have over HOT_ROWS: no other has more
+    than 1 / HOT_KEYS of the rows. k grows with a key's rows, so a task gets an even share of it
+    however large it is. What reaches the driver is these rows, HOT_KEYS at most.
     """
-    hot = counted.where(F.col(count) > HOT_ROWS).groupBy(F.xxhash64(*keys).alias("h")).agg(F.max(count).alias("n"))
-    hot = written(hot, "hot")
-    total = hot.agg(F.sum("n")).first()[0] or 0
-    share = max(HOT_ROWS, -(-total // HOT_KEYS))
-    return hot.where(F.col("n") >= share).select("h", F.ceil(F.col("n") / share).cast("int").alias("k"))
+    hot = counted.where(F.col(count) > HOT_ROWS).select(F.xxhash64(*keys).alias("h"), F.col(count).cast("long").alias("n"))
+    top = hot.orderBy(F.col("n").desc(), "h").limit(HOT_KEYS).collect()
+    share = max(HOT_ROWS, sum(r.n for r in top) // HOT_KEYS)
+    most: dict[int, int] = {}
+    for r in top:
+        most[r.h] = max(most.get(r.h, 0), -(-r.n // share))
+    rows = [(h, k) for h, k in most.items() if k > 1]
+    return counted.sparkSession.createDataFrame(rows, "h long, k int") if rows else None
 
 
-def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, hot: DataFrame, how: str = "inner") -> DataFrame:
+def skew_join(left: DataFrame, right: DataFrame, keys: list[str], spread: Column, hot: DataFrame | None, how: str = "inner") -> DataFrame:
     """left join right where right has one row a key: the rows of hot keys are dealt over as many tasks as `hot` says."""
+    if hot is None:
+        return left.join(right, keys, how)
     hot = F.broadcast(hot.select(F.col("h").alias("_h"), F.col("k").alias("_k")))  # HOT_KEYS rows at most
     h = F.xxhash64(*keys)
     left = left.withColumn("_h", h).join(hot, "_h", "left")

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lorekeep.llm import tokens as tk
-from lorekeep.llm.common import hot_keys, key_filter, maybe_in, packed, skew_join, unpacked, written
+from lorekeep.llm.common import hot_keys, key_filter, maybe_in, packed, rows_of, skew_join, unpacked, written
 
 REGISTERS, ROWS, BANDS = 128, 4, 32
 MANTISSA = 10
@@ -173,14 +173,16 @@ def checker(percent: int):
 
 def full_sets(docs: DataFrame, ids: DataFrame, k: int) -> DataFrame:
     """(cid, shingles) of the documents in ids (cid), written; other texts stay where they are."""
+    ids = written(ids, "ids")
     some = maybe_in(docs, F.xxhash64("doc_id"), key_filter(ids, F.xxhash64("cid"))).where("_hit").select("doc_id", "text")
-    sets = some.join(ids.withColumnRenamed("cid", "doc_id"), "doc_id", "left_semi").mapInArrow(set_maker(k), "cid long, shingles array<long>")
+    sets = some.join(ids.withColumnRenamed("cid", "doc_id").hint("merge"), "doc_id", "left_semi").mapInArrow(set_maker(k), "cid long, shingles array<long>")
     return written(sets.where(F.size("shingles") > 0), "sets")
 
 
 def similar_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes that are links, by estimate and then by their full sets."""
-    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}"))
+    # joined by merging at every size, so that what moves grows in step with the input
+    side = lambda x: classes.select(F.col("cid").alias(x), F.col("n_shingles").alias(f"n_{x}"), F.col("bands").alias(f"bands_{x}")).hint("merge")
     pairs = written(pairs, "pairs")
     hot = hot_keys(pairs.groupBy("a").count(), ["a"], "count")
     both = skew_join(pairs, side("a"), ["a"], F.col("b"), hot).join(side("b"), "b")
@@ -188,12 +190,12 @@ def similar_pairs(pairs: DataFrame, docs: DataFrame, classes: DataFrame, k: int,
     sets = full_sets(docs, likely.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), k)
     a = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("set_a"))
     b = sets.select(F.col("cid").alias("b"), F.col("shingles").alias("set_b"))
-    full = skew_join(likely, a, ["a"], F.col("b"), hot).join(b, "b").select("a", "b", "set_a", "set_b")
+    full = skew_join(likely, a.hint("merge"), ["a"], F.col("b"), hot).join(b.hint("merge"), "b").select("a", "b", "set_a", "set_b")
     return written(full.mapInArrow(checker(percent), "a long, b long").distinct(), "links")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(v, comp) for every end of a link (a, b): comp is the smallest id that it reaches.
+def components(links: DataFrame, rounds: int | None = None) -> DataFrame:
+    """(v, comp) for every end of a link (a, b): comp is the smallest id that it reaches, or, after so many rounds, some id that it reaches.
 
     Minimum labels travel along links and onto the labels' own roots, then every label is
     replaced by its label's label; the rounds are logarithmic in the longest path. All is done
@@ -204,24 +206,26 @@ def components(links: DataFrame) -> DataFrame:
     label = written(degree.select("v", F.least("v", "m").alias("p"), "n"), "labels")
     hot = hot_keys(label, ["v"], "n")
     label = label.select("v", "p")
+    done = 0
     while True:
         to = edges.select(F.col("u").alias("v"), F.col("v").alias("of"))
         near = skew_join(to, label, ["v"], F.col("of"), hot).groupBy(F.col("of").alias("v")).agg(F.min("p").alias("m"))
         own = label.join(near, "v").select("v", "p", F.least("p", "m").alias("m"))
         roots = own.groupBy(F.col("p").alias("v")).agg(F.min("m").alias("r"))
-        new = own.join(roots, "v", "left").select("v", F.col("p").alias("was"), F.least("m", F.coalesce("r", "m")).alias("p"))
+        new = written(own.join(roots, "v", "left").select("v", F.col("p").alias("was"), F.least("m", F.coalesce("r", "m")).alias("p")), "near")
         # then every label is replaced by its own label
         up = new.select(F.col("v").alias("p"), F.col("p").alias("pp"))
         popular = hot_keys(new.groupBy("p").count(), ["p"], "count")
         jumped = skew_join(new, up, ["p"], F.col("v"), popular, "left").select("v", "was", F.least("p", F.coalesce("pp", "p")).alias("p"))
         label = written(jumped, "labels")
-        if label.where("p <> was").isEmpty():
+        done += 1
+        if done == rounds or label.where("p <> was").isEmpty():
             return label.select("v", F.col("p").alias("comp"))
         label = label.select("v", "p")
 
 
 def _blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
-    """Rows (band, key, cid, comp, n, bands, ga, gb, side) of block pairs to compare in buckets with several components.
+    """Rows (band, key, cid, comp, kind, x, y), one a member and pair of blocks to compare, of buckets with several components.
 
     The bucket's largest component needs no comparing with itself: its blocks (A) meet those of
     the others (B) only, and the B blocks meet each other.
@@ -240,7 +244,7 @@ def _blocks(rows: DataFrame, hot: DataFrame) -> DataFrame:
         F.transform(all_a, lambda i: F.struct(F.lit("ab").alias("kind"), i.alias("x"), F.col("mine").alias("y"))),
         F.transform(all_b, lambda j: F.struct(F.lit("bb").alias("kind"), F.least(F.col("mine"), j).alias("x"), F.greatest(F.col("mine"), j).alias("y"))),
     )
-    return rows.withColumn("at", F.explode(F.when(is_a, a_side).otherwise(b_side))).select(*bucket, "cid", "comp", "n_shingles", "bands", "shingles", "at.kind", "at.x", "at.y")
+    return rows.withColumn("at", F.explode(F.when(is_a, a_side).otherwise(b_side))).select(*bucket, "cid", "comp", "at.kind", "at.x", "at.y")
 
 
 def block_comparer(percent: int):
@@ -296,19 +300,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 75) -> DataFrame
     members = written(skew_join(banded, shared, ["band", "key"], F.col("cid"), crowded), "members")
     stars = members.where("cid <> center").select(F.col("center").alias("a"), F.col("cid").alias("b")).distinct()
     links = similar_pairs(stars, docs, classes, k, percent)
-    comps = components(links)
+    comps = components(links, rounds=1)  # stars, so one round joins nearly all that the links join
 
     # buckets of three or more that still hold several components: their other pairs
     named = members.where("m > 2").join(comps.withColumnRenamed("v", "cid"), "cid", "left")
     named = named.select("band", "key", "cid", F.coalesce("comp", "cid").alias("comp"))
     split = named.groupBy("band", "key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo < hi").select("band", "key")
     named = written(skew_join(named, split, ["band", "key"], F.col("cid"), crowded), "split")
-    if not named.isEmpty():
-        full = named.join(classes.select("cid", "n_shingles", "bands"), "cid").join(full_sets(docs, named.select("cid").distinct(), k), "cid")
-        pairs = _blocks(full, crowded).groupBy("band", "key", "kind", "x", "y").applyInArrow(block_comparer(percent), "a long, b long")
-        more = written(pairs.distinct(), "more")
-        if not more.isEmpty():
-            comps = components(links.union(more))
+    all_links = links
+    if rows_of(named):
+        sets = full_sets(docs, named.select("cid").distinct(), k).hint("merge")
+        full = _blocks(named, crowded).join(classes.select("cid", "n_shingles", "bands").hint("merge"), "cid").join(sets, "cid")
+        pairs = full.groupBy("band", "key", "kind", "x", "y").applyInArrow(block_comparer(percent), "a long, b long")
+        all_links = links.union(written(pairs.distinct(), "more"))
+    comps = components(all_links)
 
     moved = classes.join(comps.withColumnRenamed("v", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     moved = moved.where("copies > 1 or comp <> cid").select("h1", "h2", "comp")
