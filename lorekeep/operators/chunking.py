@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lorekeep.functions.text import token_estimate
 
 CHARS_PER_TOKEN = 2.6
+#: Unicode's spaces (category Zs).
+SPACES = " \u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u202f\u205f\u3000"
 SENTENCE = r"(?<=[.!?؟])\s+(?=[A-Z؀-ۿ])"
 #: Sections that are bibliography or navigation.
 SKIPPED_SECTIONS = [
@@ -30,7 +32,9 @@ class ChunkSizes:
 
 
 def paragraphs(text: Column, pattern: str = r"\n\s*\n") -> Column:
-    return F.filter(F.transform(F.split(text, pattern), F.trim), lambda p: p != "")
+    """The pieces of a text without the spaces around them; empty ones go."""
+    # not F.trim itself: transform would hand it a piece's index as the characters to trim
+    return F.filter(F.transform(F.split(text, pattern), lambda p: F.trim(p, F.lit(SPACES))), lambda p: p != "")
 
 
 def split_long(block: Column, max_chars: int) -> Column:
