@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from lorekeep.functions.wikitext import clean_pages
 from lorekeep.operators import chunking as ck
+from lorekeep.sources.tables import kept
 
 
 def build_index(raw: DataFrame, aliases: DataFrame, sizes: ck.ChunkSizes = ck.ChunkSizes(), noise: list[str] | None = None) -> dict[str, DataFrame]:
     """pages and chunks; a page is the infobox's passage, then the summary's, then its sections'. Navigation pages and pages without passages are left out."""
-    clean = clean_pages(raw.where(~ck.is_navigation(F.col("title"), F.col("wikitext"))))
+    clean = kept(clean_pages(raw.where(~ck.is_navigation(F.col("title"), F.col("wikitext")))))  # pages are parsed once
     box = F.filter("infobox", lambda x: ~F.lower(x["k"]).isin(noise or []))
     parts = F.concat(
         F.when(F.size(box) > 0, F.array(F.struct(F.lit("infobox").alias("kind"), F.lit("Key facts").alias("section"), ck.infobox_text(F.col("title"), box).alias("text")))).otherwise(F.array().cast("array<struct<kind:string,section:string,text:string>>")),
@@ -19,7 +20,7 @@ def build_index(raw: DataFrame, aliases: DataFrame, sizes: ck.ChunkSizes = ck.Ch
         F.transform("sections", lambda x: F.struct(F.lit("body").alias("kind"), F.array_join(x["path"], " > ").alias("section"), x["text"].alias("text"))),
     )
     rows = clean.select("page_id", F.posexplode(parts).alias("section_no", "s")).select("page_id", "section_no", "s.kind", "s.section", "s.text")
-    chunks = ck.chunk_sections(rows, sizes)
+    chunks = kept(ck.chunk_sections(rows, sizes))
     al = aliases.select(F.col("target").alias("title"), "aliases")
     pages = clean.select("page_id", "ns", "title", "url", "categories").join(al, "title", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>")))
     pages = pages.join(chunks.select("page_id").distinct(), "page_id", "left_semi")

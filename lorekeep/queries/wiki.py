@@ -70,12 +70,12 @@ def _filled(template: str, **columns: Column) -> Column:
 def raw_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A book a part, ten makers, a category and a page that only leads on."""
     p = parquet(spark, sf_dir, "part")
-    k = F.col("p_partkey").cast("long")
+    k = F.col("p_partkey").cast("long")  # a page is a hundred times its row: the rows are dealt out before
     s = lambda c: c.cast("string")
     name = F.concat_ws(" ", F.initcap("p_name"), s(k))
     book = _filled(BOOK, n=name, k=s(k), b=F.col("p_brand"), t=F.col("p_type"), m=s(k % 10), d=s(1 + k % 28), y=s(1900 + k % 100))
     rest = [F.lit(None).cast("long").alias("revid"), F.lit(None).cast("string").alias("timestamp")]
-    books = p.select(k.alias("pageid"), F.lit(0).alias("ns"), name.alias("title"), F.concat(F.lit("http://w/"), s(k)).alias("url"), *rest, F.array(F.concat(F.lit("Category:"), F.col("p_type")), F.lit("category : Books")).alias("categories"), book.alias("wikitext"))
+    books = tables.dealt(p, "p_partkey").select(k.alias("pageid"), F.lit(0).alias("ns"), name.alias("title"), F.concat(F.lit("http://w/"), s(k)).alias("url"), *rest, F.array(F.concat(F.lit("Category:"), F.col("p_type")), F.lit("category : Books")).alias("categories"), book.alias("wikitext"))
     first = p.where("p_partkey < 10").select(k.alias("k"), name.alias("n"))
     n = F.col("k")
     maker = _filled(MAKER, n=F.col("n"), k=s(n), b=F.lit(""), t=F.lit(""), m=s(n), d=F.lit(""), y=s(300 + n))

@@ -4,6 +4,7 @@ import hashlib
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from lorekeep.queries import catalogue
 
@@ -31,3 +32,13 @@ def test_lines_keep_the_digits_of_their_number(spark, tmp_path, name):
     assert got == want and got
     if name == "paragraph_split":
         assert hashlib.md5(b"1219 one 1").hexdigest() in {r[2] for r in got}
+
+
+def test_pages_made_of_a_small_table_are_dealt_over_tasks(spark, tmp_path):
+    from lorekeep.queries import wiki
+
+    p = spark.range(25_000).selectExpr("id as p_partkey", "concat('bolt ', id % 7) as p_name", "'Brand#1' as p_brand", "'LARGE' as p_type")
+    p.coalesce(1).write.parquet(f"{tmp_path}/part.parquet")
+    books = wiki.raw_pages(spark, str(tmp_path)).where("pageid < 1000000000")
+    sizes = sorted(r["count"] for r in books.groupBy(F.spark_partition_id()).count().collect())
+    assert len(sizes) == 3 and sizes[-1] < 2 * sizes[0] and sum(sizes) == 25_000
