@@ -12,6 +12,7 @@ from lorekeep.functions import text as tx
 from lorekeep.functions.wikitext import infobox_fields
 from lorekeep.operators.chunking import is_navigation
 from lorekeep.operators.curate import apply_overrides
+from lorekeep.sources.tables import kept
 
 
 @dataclass(frozen=True)
@@ -64,21 +65,25 @@ class Ontology:
 def page_index(raw: DataFrame, redirects: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(pages (page_id, title, node, aliases), names (name, node): titles and one redirect hop)."""
     pages = raw.where((F.col("ns") != 14) & ~is_navigation(F.col("title"), F.col("wikitext"))).select(F.col("pageid").cast("long").alias("page_id"), tx.page_title(F.col("title")).alias("title"), "url")
-    pages = pages.withColumn("node", F.concat(F.lit("page:"), F.col("page_id").cast("string")))
+    pages = kept(pages.withColumn("node", F.concat(F.lit("page:"), F.col("page_id").cast("string"))))
     direct = pages.select(F.col("title").alias("name"), "node")
     red = redirects.select(tx.page_title(F.col("alias")).alias("name"), tx.page_title(F.col("target")).alias("title"))
     hop = red.join(pages, "title").select("name", "node")
     aliases = hop.groupBy("node").agg(F.array_sort(F.collect_set("name")).alias("aliases"))
-    names = direct.unionByName(hop.join(direct, "name", "left_anti")).dropDuplicates(["name"])
+    names = kept(direct.unionByName(hop.join(direct, "name", "left_anti")).dropDuplicates(["name"]))
     return pages.join(aliases, "node", "left").withColumn("aliases", F.coalesce("aliases", F.array().cast("array<string>"))), names
 
 
 def extract(raw: DataFrame, redirects: DataFrame, onto: Ontology, rules: DataFrame | None = None) -> dict[str, DataFrame]:
-    """nodes, edges (s, p, o, src, field, raw), links (s, o, n), classes (node, class) and unmapped (template, field, pages, links)."""
+    """nodes, edges (s, p, o, src, field, raw), links (s, o, n), classes (node, class) and unmapped (template, field, pages, links).
+
+    What several of them are made of (pages, names, fields, what fields mean) is written once, so
+    the pages are read three times: for titles, for templates and for links.
+    """
     spark = raw.sparkSession
     preds, field_map, class_map = onto.tables(spark)
     pages, names = page_index(raw, redirects)
-    fields = infobox_fields(raw).withColumn("template", tx.field_name(F.col("template"))).join(pages.select("page_id", "node"), "page_id")
+    fields = kept(infobox_fields(raw).withColumn("template", tx.field_name(F.col("template"))).join(pages.select("page_id", "node"), "page_id"))
     classes = fields.join(F.broadcast(class_map), "template").select("node", "class", "class_no").distinct()
 
     named = fields.where("field is not null").withColumn("field_name", tx.field_name(F.col("field"))).where(~F.col("field_name").isin(list(onto.noise)))
@@ -86,7 +91,7 @@ def extract(raw: DataFrame, redirects: DataFrame, onto: Ontology, rules: DataFra
     met = named.join(F.broadcast(field_map), "field_name", "left").join(classes.select("node", F.col("class").alias("domain"), F.lit(True).alias("has")), ["node", "domain"], "left")
     met = met.where(F.col("p").isNull() | F.col("domain").isNull() | F.col("has"))
     one = Window.partitionBy("fid").orderBy(F.col("domain").isNull(), F.col("p").isNull(), "p")
-    best = met.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k", "domain", "has").join(F.broadcast(preds.select("p", "range", "range_classes")), "p", "left")
+    best = kept(met.withColumn("k", F.row_number().over(one)).where("k = 1").drop("k", "domain", "has").join(F.broadcast(preds.select("p", "range", "range_classes")), "p", "left"))
 
     linked = best.withColumn("target", F.explode_outer(F.array_distinct(tx.wiki_links(F.col("raw")))))
     linked = linked.withColumn("name", tx.page_title(F.col("target"))).join(names.select("name", F.col("node").alias("o")), "name", "left")

@@ -42,3 +42,23 @@ def test_pages_made_of_a_small_table_are_dealt_over_tasks(spark, tmp_path):
     books = wiki.raw_pages(spark, str(tmp_path)).where("pageid < 1000000000")
     sizes = sorted(r["count"] for r in books.groupBy(F.spark_partition_id()).count().collect())
     assert len(sizes) == 3 and sizes[-1] < 2 * sizes[0] and sum(sizes) == 25_000
+
+
+def test_extraction_parses_a_page_once(spark):
+    from lorekeep.operators import extract as ex
+    from lorekeep.queries import wiki
+    from lorekeep.sources import tables
+
+    read = spark.sparkContext.accumulator(0)
+
+    @F.udf("string")
+    def counted(text):
+        read.add(1)
+        return text
+
+    text = "{{Infobox book|author=[[maker_1]]|published=May 1, 1900 CE|series=[[Maker 1]]}} [[Maker 1]]"
+    raw = spark.createDataFrame([(i, 0, t, "u", None, None, ["Category:Books"], text) for i, t in ((1, "Book"), (2, "Maker 1"))], tables.RAW_PAGE).withColumn("wikitext", counted("wikitext"))
+    made = ex.extract(raw, spark.createDataFrame([], "alias string, target string"), wiki.ONTOLOGY)
+    rows = {n: df.count() for n, df in made.items()}
+    assert rows["edges"] == 4 and rows["links"] == 1 and rows["unmapped"] == 1
+    assert read.value <= 2 * 3
