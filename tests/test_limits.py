@@ -62,3 +62,35 @@ def test_extraction_parses_a_page_once(spark):
     rows = {n: df.count() for n, df in made.items()}
     assert rows["edges"] == 4 and rows["links"] == 1 and rows["unmapped"] == 1
     assert read.value <= 2 * 3
+
+
+@pytest.mark.parametrize("pages", [2, None])
+def test_title_coverage_of_equal_names_and_aliases(spark, pages):
+    import random
+
+    from lorekeep.operators import fusion
+
+    r = random.Random(3)
+    some = lambda most: r.sample("abcdef", r.randrange(most + 1))
+    names = [(i % 60, some(3)) for i in range(150)]
+    questions = [(i, some(5)) for i in range(40)]
+    want = []
+    for q, terms in questions:
+        best = {}
+        for p, name in names:
+            if name and (hits := len(set(name) & set(terms))) / len(name) >= 0.6:
+                best[p] = max(best.get(p, (0, 0)), (hits / len(name), hits))
+        order = sorted(best, key=lambda p: (-best[p][0], -best[p][1], -sum(x == p for x, _ in names), p))
+        want += [(q, p, *best[p], n) for n, p in enumerate(order[:pages], 1)]
+    q = spark.createDataFrame(questions, "qid int, terms array<string>")
+    got = fusion.title_coverage(q, spark.createDataFrame(names, "page_id int, terms array<string>"), pages=pages)
+    assert sorted((x.qid, x.page_id, x.coverage, x.hits, x["rank"]) for x in got.collect()) == sorted(want)
+
+
+def test_equal_names_are_not_paired_with_all_equal_questions(spark):
+    from lorekeep.operators import fusion
+
+    many = spark.range(20_000)
+    q = many.selectExpr("id as qid", "array('alpha', 'beta', 'gamma') as terms").where("qid < 5000")
+    got = fusion.title_coverage(q, many.selectExpr("id as page_id", "array('alpha', 'beta') as terms"), pages=1)
+    assert [tuple(r) for r in got.groupBy("page_id", "coverage", "hits").count().collect()] == [(0, 1.0, 2, 5000)]
