@@ -33,9 +33,11 @@ def apply_overrides(edges: DataFrame, rules: DataFrame) -> tuple[DataFrame, Data
     drops = rules.where("action = 'drop'")
     exact = drops.where("o is not null").select("s", "p", "o").distinct()
     wild = drops.where("o is null").select("s", "p").distinct()
-    kept = edges.join(exact, ["s", "p", "o"], "left_anti").join(wild, ["s", "p"], "left_anti").select(edges.columns)
-    new = rules.where("action = 'add'").select("s", "p", "o").distinct().join(kept, ["s", "p", "o"], "left_anti")
-    e = edges.select(F.col("s").alias("es"), F.col("p").alias("ep"), F.col("o").alias("eo"))
+    kept = edges.join(F.broadcast(exact), ["s", "p", "o"], "left_anti").join(F.broadcast(wild), ["s", "p"], "left_anti").select(edges.columns)
+    added = rules.where("action = 'add'").select("s", "p", "o").distinct()
+    new = added.join(kept.join(F.broadcast(added), ["s", "p", "o"], "left_semi").select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+    named = rules.select(F.col("s").alias("es"), F.col("p").alias("ep")).distinct()
+    e = edges.select(F.col("s").alias("es"), F.col("p").alias("ep"), F.col("o").alias("eo")).join(F.broadcast(named), ["es", "ep"], "left_semi")  # rules are written by hand
     met = rules.join(e, (F.col("s") == F.col("es")) & (F.col("p") == F.col("ep")) & (F.col("o").isNull() | (F.col("o") == F.col("eo"))), "left")
     report = met.groupBy("action", "s", "p", "o").agg(F.when(F.first("action") == "add", F.lit(1)).otherwise(F.count("es")).alias("matches"))
     return kept.unionByName(new, allowMissingColumns=True), report

@@ -6,9 +6,14 @@ priority) is the small ontology table.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.operators.keys import Keys, among
+from lorekeep.sources.tables import kept
+
 TAXONOMY = ["instance_of", "subclass_of"]
 HOP_DECAY = 0.45
 TIER_WEIGHTS = [1.0, 0.75, 0.5, 0.3]
@@ -16,10 +21,25 @@ DEFAULT_PRIORITY = 3
 HUB_DEGREE = 40
 
 
-def adjacency(nodes: DataFrame, edges: DataFrame, predicates: DataFrame, taxonomy: bool = False) -> DataFrame:
-    """(anchor, dir, p, other, other_label, other_kind, other_page, prio, eid): both directions of every edge."""
+#: A table, or what gives its rows for some keys: walks over large graphs then never make the whole of it.
+Table = DataFrame | Callable[[DataFrame], DataFrame]
+
+
+def rows_for(table: Table, keys: DataFrame) -> DataFrame:
+    return table if isinstance(table, DataFrame) else table(keys)
+
+
+def adjacency(nodes: DataFrame, edges: DataFrame, predicates: DataFrame, taxonomy: bool = False, anchors: DataFrame | None = None, eid: Column | None = None) -> DataFrame:
+    """(anchor, dir, p, other, other_label, other_kind, other_page, prio, eid): both directions of every edge.
+
+    With anchors (anchor) of edges at these only: the others are left where they
+    lie. `eid` numbers edges that have no number, after that.
+    """
     e = edges if taxonomy else edges.where(~F.col("p").isin(TAXONOMY))
-    both = e.select(F.col("s").alias("anchor"), F.lit("out").alias("dir"), "p", F.col("o").alias("other"), "eid").unionByName(e.select(F.col("o").alias("anchor"), F.lit("in").alias("dir"), "p", F.col("s").alias("other"), "eid"))
+    keys = None if anchors is None else Keys(anchors.select("anchor"))
+    at = lambda end: e if keys is None else among(e, end, keys)
+    numbered = lambda df: df if eid is None else df.withColumn("eid", eid)
+    both = numbered(at("s")).select(F.col("s").alias("anchor"), F.lit("out").alias("dir"), "p", F.col("o").alias("other"), "eid").unionByName(numbered(at("o")).select(F.col("o").alias("anchor"), F.lit("in").alias("dir"), "p", F.col("s").alias("other"), "eid"))
     n = nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("kind").alias("other_kind"), F.col("page_id").alias("other_page"))
     prio = F.coalesce("priority", F.lit(DEFAULT_PRIORITY))
     return both.join(n, "other", "left").join(predicates.select("p", "priority"), "p", "left").withColumn("prio", prio).drop("priority")
@@ -62,11 +82,14 @@ def edges_from(adj: DataFrame, anchors: DataFrame) -> DataFrame:
     return near.withColumn("nth", F.row_number().over(Window.partitionBy("anchor").orderBy(*edge_order())))
 
 
-def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
-    """(id, degree): typed edges in and out, 0 for isolated nodes; a loop counts twice."""
+def degrees(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, degree): typed edges in and out, 0 for isolated nodes; a loop counts twice. With ids (id) of these nodes only."""
     e = edges.where(~F.col("p").isin(TAXONOMY))
-    ends = e.select(F.col("s").alias("id")).unionAll(e.select(F.col("o").alias("id"))).groupBy("id").agg(F.count("*").alias("degree"))
-    return nodes.select("id").join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
+    keys = None if ids is None else Keys(ids.select("id"))
+    at = lambda end: e.select(F.col(end).alias("id")) if keys is None else among(e.select(F.col(end).alias("id")), "id", keys)
+    ends = at("s").unionAll(at("o")).groupBy("id").agg(F.count("*").alias("degree"))
+    own = nodes.select("id") if keys is None else among(nodes.select("id"), "id", keys)
+    return own.join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 
 
 def prominence(nodes: DataFrame, edges: DataFrame, aliases: DataFrame) -> DataFrame:
@@ -119,25 +142,28 @@ def tier_weight(prio: Column) -> Column:
     return F.element_at(F.array(*[F.lit(w) for w in TIER_WEIGHTS]), F.least(prio, F.lit(len(TIER_WEIGHTS) - 1)).cast("int") + 1)
 
 
-def walk(adj: DataFrame, seeds: DataFrame, degree: DataFrame, predicates: DataFrame, no_transit: list[str], symmetric: list[str], hops: int = 2, beam: int = 24, hub: int = HUB_DEGREE, stop_at: DataFrame | None = None) -> DataFrame:
+def walk(adj: Table, seeds: DataFrame, degree: Table, predicates: DataFrame, no_transit: list[str], symmetric: list[str], hops: int = 2, beam: int = 24, hub: int = HUB_DEGREE, stop_at: DataFrame | None = None) -> DataFrame:
     """Paths of 1 to `hops` steps from the seeds (qid, anchor), as rows (qid, seed, depth, node, score, preds, nodes, labels, dirs, pages, trail).
 
     A path never meets a seed or a node of its own, and no fact twice. Of paths with equal facts the
     first counts. It goes on from entities only, not over a predicate in no_transit, not from a node
     with more than `hub` edges, and only the `beam` best of a question by (score, node) go on. The
-    hops are unrolled; each is a join with the adjacency.
+    hops are unrolled; each is a join with the adjacency, or with what `adj` gives for the nodes
+    (anchor) that a hop leaves from, and `degree` for those (id) that may be gone on from. Every
+    hop but the last is written once.
     """
     pred = predicates.select("p", "inverse")
     sym = F.col("p").isin(symmetric) | F.coalesce(F.col("inverse") == F.col("p"), F.lit(False))
     flip = ~sym & F.coalesce(F.col("inverse") < F.col("p"), F.lit(False))
     s, o = F.when(F.col("dir") == "out", F.col("anchor")).otherwise(F.col("other")), F.when(F.col("dir") == "out", F.col("other")).otherwise(F.col("anchor"))
     sig = F.concat_ws("|", F.when(sym, F.least(s, o)).when(flip, o).otherwise(s), F.when(flip, F.col("inverse")).otherwise(F.col("p")), F.when(sym, F.greatest(s, o)).when(flip, s).otherwise(o))
-    steps = adj.join(F.broadcast(pred), "p", "left").withColumn("sig", sig).drop("inverse")
     taken = seeds.select("qid", F.collect_set("anchor").over(Window.partitionBy("qid")).alias("all_seeds")).distinct()
     none = F.array().cast("array<string>")
     front = seeds.select("qid", F.col("anchor").alias("seed"), F.col("anchor").alias("node"), F.lit(1.0).alias("score"), none.alias("preds"), F.array("anchor").alias("nodes"), none.alias("labels"), none.alias("dirs"), F.array().cast("array<bigint>").alias("pages"), none.alias("sigs"), F.array().cast("array<struct<prio:int,d:int,p:string,eid:bigint>>").alias("trail"))
     out = None
     for depth in range(1, hops + 1):
+        near = rows_for(adj, front.select(F.col("node").alias("anchor")).distinct())
+        steps = near.join(F.broadcast(pred), "p", "left").withColumn("sig", sig).drop("inverse")
         nxt = front.join(steps, front["node"] == steps["anchor"]).join(taken, "qid")
         free = ~F.array_contains("nodes", F.col("other")) & ~F.array_contains("sigs", F.col("sig"))
         free &= ~F.array_contains("all_seeds", F.col("other"))
@@ -149,28 +175,33 @@ def walk(adj: DataFrame, seeds: DataFrame, degree: DataFrame, predicates: DataFr
             F.concat("dirs", F.array("dir")).alias("dirs"), F.concat("pages", F.array(F.col("other_page").cast("long"))).alias("pages"), F.array_sort(F.concat("sigs", F.array("sig"))).alias("sigs"), rank.alias("trail"), F.col("p").alias("last_p"),
         )
         nxt = nxt.withColumn("_n", F.row_number().over(Window.partitionBy("qid", "seed", "sigs").orderBy("trail"))).where("_n = 1").drop("_n")
+        nxt = kept(nxt) if depth < hops else nxt
         rows = nxt.select("qid", "seed", "depth", "node", "other_page", "score", "preds", "nodes", "labels", "dirs", "pages", "trail")
         out = rows if out is None else out.unionByName(rows)
         if depth < hops:
             on = nxt.where((F.col("other_kind") == "entity") & ~F.col("last_p").isin(no_transit))
             if stop_at is not None:
                 on = on.join(stop_at.select("qid", F.col("anchor").alias("node")), ["qid", "node"], "left_anti")
-            on = on.join(degree.select(F.col("id").alias("node"), "degree"), "node").where(F.col("degree") <= hub)
+            found = rows_for(degree, on.select(F.col("node").alias("id")).distinct())
+            on = on.join(found.select(F.col("id").alias("node"), "degree"), "node").where(F.col("degree") <= hub)
             on = on.withColumn("_b", F.row_number().over(Window.partitionBy("qid").orderBy(F.col("score").desc(), "node", "trail"))).where(F.col("_b") <= beam)
-            front = on.select("qid", "seed", "node", "score", "preds", "nodes", "labels", "dirs", "pages", "sigs", "trail")
+            front = kept(on.select("qid", "seed", "node", "score", "preds", "nodes", "labels", "dirs", "pages", "sigs", "trail"))
     return out
 
 
-def path_order(prominence: DataFrame | None, paths: DataFrame) -> tuple[DataFrame, list[Column]]:
+def path_order(prominence: Table | None, paths: DataFrame) -> tuple[DataFrame, list[Column]]:
     """(paths with what they are ordered by, the order): score, then shortness, prominence of the end, its label, its id, the way there."""
     if prominence is not None:
-        paths = paths.join(prominence.select(F.col("id").alias("node"), F.col("prominence").alias("_prom")), "node", "left")
+        if not isinstance(prominence, DataFrame):
+            paths = kept(paths)
+        found = rows_for(prominence, paths.select(F.col("node").alias("id")).distinct())
+        paths = paths.join(found.select(F.col("id").alias("node"), F.col("prominence").alias("_prom")), "node", "left")
     else:
         paths = paths.withColumn("_prom", F.lit(0))
     return paths, [F.col("score").desc(), F.col("depth"), F.coalesce("_prom", F.lit(0)).desc(), F.coalesce(F.element_at("labels", -1), F.lit("")), F.col("node"), F.col("trail")]
 
 
-def expand(paths: DataFrame, limit: int, prominence: DataFrame | None = None) -> DataFrame:
+def expand(paths: DataFrame, limit: int, prominence: Table | None = None) -> DataFrame:
     """The best paths of a question: by seed and depth in path_order, dealt depth-major round robin; `position` from 1."""
     rows, order = path_order(prominence, paths)
     rows = rows.withColumn("slot", F.row_number().over(Window.partitionBy("qid", "seed", "depth").orderBy(*order)))
@@ -212,10 +243,14 @@ def path_pages(paths: DataFrame) -> DataFrame:
 
 def shown_inbound(edges: DataFrame, predicates: DataFrame) -> DataFrame:
     """(node, p, other): inbound edges as a reader of `node` sees them, without those whose inverse is stated outbound as well."""
-    into = edges.select(F.col("o").alias("node"), "p", F.col("s").alias("other"))
-    stated = edges.select(F.col("s").alias("node"), F.col("p").alias("ip"), F.col("o").alias("other"))
-    inv = predicates.select("p", F.col("inverse").alias("ip"))
-    return into.join(F.broadcast(inv), "p", "left").join(stated, ["node", "ip", "other"], "left_anti").select("node", "p", "other")  # the ontology: tens of rows
+    inv = predicates.where("inverse is not null").select("p", F.col("inverse").alias("ip"))
+    # only where both a predicate and its inverse are used can an edge be stated twice: the others stay where they lie
+    used = edges.select("p").distinct()
+    both = kept(inv.join(used, "p", "left_semi").join(used.select(F.col("p").alias("ip")), "ip", "left_semi").select("p", "ip"))
+    into = edges.select(F.col("o").alias("node"), "p", F.col("s").alias("other")).join(F.broadcast(both), "p", "left")  # the ontology: tens of rows
+    stated = edges.select(F.col("s").alias("node"), F.col("p").alias("ip"), F.col("o").alias("other")).join(F.broadcast(both.select("ip")), "ip", "left_semi")
+    alone = into.where("ip is null").unionByName(into.where("ip is not null").join(stated, ["node", "ip", "other"], "left_anti"))
+    return alone.select("node", "p", "other")
 
 
 def round_robin_pages(paths: DataFrame, limit: int, seeds: DataFrame | None = None) -> DataFrame:

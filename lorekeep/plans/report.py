@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from lorekeep.operators import graph
 from lorekeep.operators.curate import first_seen, numbered
+from lorekeep.sources.tables import kept
 
 PAGE = """<!doctype html><meta charset="utf-8"><title>{title}</title>
 <body><h1>{title}</h1><input id="find" placeholder="find"><table id="rows"></table>
@@ -75,11 +76,11 @@ def schema_payload(nodes: DataFrame, edges: DataFrame, predicates: DataFrame, to
 
 def explorer_tables(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(nodes with their number n by id, typed edges as numbers sn, on_, pn): predicates are numbered by first appearance."""
-    n = numbered(nodes, "id")
+    n = kept(numbered(nodes, "id"))
     e = edges.where(~F.col("p").isin(graph.TAXONOMY))
-    p = first_seen(e, "p", "eid").withColumnRenamed("n", "pn")
+    p = F.broadcast(kept(first_seen(e, "p", "eid").withColumnRenamed("n", "pn")))  # a row a predicate
     ends = lambda c, to: n.select(F.col("id").alias(c), F.col("n").alias(to))
-    return n, e.join(ends("s", "sn"), "s").join(ends("o", "on_"), "o").join(F.broadcast(p), "p")  # a row a predicate
+    return n, e.join(p, "p").drop("p").join(ends("s", "sn"), "s").join(ends("o", "on_"), "o").join(p, "pn")
 
 
 def explorer_payload(nodes: DataFrame, edges: DataFrame, top: int | None = None) -> dict:

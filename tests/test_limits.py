@@ -94,3 +94,34 @@ def test_equal_names_are_not_paired_with_all_equal_questions(spark):
     q = many.selectExpr("id as qid", "array('alpha', 'beta', 'gamma') as terms").where("qid < 5000")
     got = fusion.title_coverage(q, many.selectExpr("id as page_id", "array('alpha', 'beta') as terms"), pages=1)
     assert [tuple(r) for r in got.groupBy("page_id", "coverage", "hits").count().collect()] == [(0, 1.0, 2, 5000)]
+
+
+@pytest.mark.parametrize("few", [0, 1000])
+def test_rows_for_keys_by_filter_and_by_list(spark, monkeypatch, few):
+    from lorekeep.operators import keys
+
+    monkeypatch.setattr(keys, "FEW", few)
+    rows = spark.range(20_000).selectExpr("concat('n:', id) as s", "id as o")
+    asked = spark.range(900).selectExpr("if(id = 0, null, concat('n:', id * 50)) as anchor")
+    got = keys.among(rows.unionByName(rows.limit(60)), "s", keys.Keys(asked.unionByName(asked)))
+    assert got.columns == ["s", "o"] and sorted(r.o for r in got.collect()) == sorted([*range(50, 20_000, 50), 50])
+    assert not keys.among(rows, "s", keys.Keys(asked.where("false"))).count()
+
+
+def test_walk_moves_edges_of_its_nodes_only(spark):
+    from lorekeep.operators import graph
+
+    nodes = spark.range(4000).selectExpr("concat('n', id) as id", "'entity' as kind", "concat('l', id) as label", "id as page_id")
+    edges = spark.range(4000).selectExpr("concat('n', id) as s", "'to' as p", "concat('n', (id + 1) % 4000) as o", "id as eid")
+    preds = spark.createDataFrame([("to", "leads to", None, 1)], "p string, label string, inverse string, priority int")
+    asked = []
+
+    def near(anchors):
+        out = graph.adjacency(nodes, edges, preds, anchors=anchors)
+        asked.append(out.count())
+        return out
+
+    seeds = spark.createDataFrame([(1, "n7"), (2, "n9")], "qid int, anchor string")
+    got = graph.walk(near, seeds, lambda ids: graph.degrees(nodes, edges, ids), preds, [], [])
+    whole = graph.walk(graph.adjacency(nodes, edges, preds), seeds, graph.degrees(nodes, edges), preds, [], [])
+    assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and asked == [4, 6]
