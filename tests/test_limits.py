@@ -125,3 +125,12 @@ def test_walk_moves_edges_of_its_nodes_only(spark):
     got = graph.walk(near, seeds, lambda ids: graph.degrees(nodes, edges, ids), preds, [], [])
     whole = graph.walk(graph.adjacency(nodes, edges, preds), seeds, graph.degrees(nodes, edges), preds, [], [])
     assert sorted(map(str, got.collect())) == sorted(map(str, whole.collect())) and asked == [4, 6]
+
+
+def test_postings_of_asked_terms_only(spark):
+    from lorekeep.operators import index
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "c d"), (3, None)], "doc_id long, text string")
+    asked = spark.createDataFrame([("a",), ("d",), ("a",)], "term string")
+    got = index.postings(docs, ["text"], "doc_id", asked).collect()
+    assert sorted((r.doc_id, r.term, r.positions) for r in got) == [(1, "a", [0, 2]), (2, "d", [1])]
