@@ -5,6 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from lorekeep.sources.tables import kept
+
+#: Rows of a range that are numbered in one task; more ranges than asked for are not made.
+RANGE_ROWS = 20_000
+
 
 def invalid_rules(rules: list[dict], predicates: set[str]) -> list[str]:
     """What is wrong with override rules (action, subject, predicate, object, note), one line each."""
@@ -33,31 +38,29 @@ def apply_overrides(edges: DataFrame, rules: DataFrame) -> tuple[DataFrame, Data
     drops = rules.where("action = 'drop'")
     exact = drops.where("o is not null").select("s", "p", "o").distinct()
     wild = drops.where("o is null").select("s", "p").distinct()
-    kept = edges.join(F.broadcast(exact), ["s", "p", "o"], "left_anti").join(F.broadcast(wild), ["s", "p"], "left_anti").select(edges.columns)
+    left = edges.join(F.broadcast(exact), ["s", "p", "o"], "left_anti").join(F.broadcast(wild), ["s", "p"], "left_anti").select(edges.columns)
     added = rules.where("action = 'add'").select("s", "p", "o").distinct()
-    new = added.join(kept.join(F.broadcast(added), ["s", "p", "o"], "left_semi").select("s", "p", "o"), ["s", "p", "o"], "left_anti")
+    new = added.join(left.join(F.broadcast(added), ["s", "p", "o"], "left_semi").select("s", "p", "o"), ["s", "p", "o"], "left_anti")
     named = rules.select(F.col("s").alias("es"), F.col("p").alias("ep")).distinct()
     e = edges.select(F.col("s").alias("es"), F.col("p").alias("ep"), F.col("o").alias("eo")).join(F.broadcast(named), ["es", "ep"], "left_semi")  # rules are written by hand
     met = rules.join(e, (F.col("s") == F.col("es")) & (F.col("p") == F.col("ep")) & (F.col("o").isNull() | (F.col("o") == F.col("eo"))), "left")
     report = met.groupBy("action", "s", "p", "o").agg(F.when(F.first("action") == "add", F.lit(1)).otherwise(F.count("es")).alias("matches"))
-    return kept.unionByName(new, allowMissingColumns=True), report
+    return left.unionByName(new, allowMissingColumns=True), report
 
 
 def numbered(rows: DataFrame, key: str, buckets: int = 256) -> DataFrame:
     """rows with n, their number from 0 in order of a key.
 
-    The keys are cut into ranges at `buckets` bounds, taken from a sample of bounded size; rows are
-    numbered inside their range and the ranges' sizes summed up, so no task sees more than a range.
-    A poor sample makes uneven ranges, never other numbers.
+    Rows are dealt into ranges of the key, `buckets` at most, sorted there and written once; the
+    ranges' sizes are summed up, so no task sees more than a range and no row is compared with
+    bounds one by one. A poor sample makes uneven ranges, never other numbers.
     """
-    some = rows.select(F.col(key).alias("k")).orderBy(F.xxhash64("k")).limit(64 * buckets)
-    cut = some.withColumn("i", F.row_number().over(Window.orderBy("k"))).where("i % 64 = 0").select("k").distinct().collect()
-    bounds = F.array(*[F.lit(k) for k in sorted(r.k for r in cut)]) if cut else F.array().cast("array<string>")
-    rows = rows.withColumn("_b", F.size(F.filter(bounds, lambda x: x < F.col(key))))
-    sizes = rows.groupBy("_b").agg(F.count("*").alias("_c"))
-    start = sizes.withColumn("_from", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c")
-    inside = F.row_number().over(Window.partitionBy("_b").orderBy(key)) - 1
-    return rows.withColumn("_i", inside).join(F.broadcast(start), "_b").withColumn("n", F.col("_from") + F.col("_i")).drop("_b", "_i", "_from")
+    ranges = max(1, min(buckets, -(-rows.count() // RANGE_ROWS)))
+    placed = kept(rows.repartitionByRange(ranges, key).sortWithinPartitions(key).withColumn("_at", F.monotonically_increasing_id()))
+    cut = placed.withColumn("_b", F.shiftright("_at", 33))  # the range, and below it the place there
+    sizes = cut.groupBy("_b").agg(F.count("*").alias("_c"))
+    start = kept(sizes.withColumn("_from", F.coalesce(F.sum("_c").over(Window.orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).drop("_c"))
+    return cut.join(F.broadcast(start), "_b").withColumn("n", F.col("_from") + F.col("_at").bitwiseAND((1 << 33) - 1)).drop("_b", "_at", "_from")
 
 
 def first_seen(rows: DataFrame, key: str, order: str) -> DataFrame:

@@ -134,3 +134,35 @@ def test_postings_of_asked_terms_only(spark):
     asked = spark.createDataFrame([("a",), ("d",), ("a",)], "term string")
     got = index.postings(docs, ["text"], "doc_id", asked).collect()
     assert sorted((r.doc_id, r.term, r.positions) for r in got) == [(1, "a", [0, 2]), (2, "d", [1])]
+
+
+def test_numbers_over_several_ranges_without_a_list_of_bounds(spark, monkeypatch):
+    from lorekeep.operators import curate
+
+    monkeypatch.setattr(curate, "RANGE_ROWS", 100, raising=False)
+    rows = spark.range(1000).selectExpr("concat('n:', id * 7919 % 1000) as id", "id as was").repartition(5).cache()
+    made = curate.numbered(rows.unionByName(spark.sql("select cast(null as string) as id, -1L as was")), "id", 8)
+    assert "lambda" not in made._jdf.queryExecution().toString()
+    got = {r.n: (r.id, r.was) for r in made.collect()}
+    want = sorted((f"n:{i * 7919 % 1000}", i) for i in range(1000))
+    assert made.columns == ["id", "was", "n"] and [got[n] for n in range(1001)] == [(None, -1), *want]
+    assert not curate.numbered(rows.where("false"), "id").count()
+
+
+def test_pairs_of_the_lines_are_distinct_and_in_order(spark, tmp_path):
+    from lorekeep.queries import graph
+
+    lines = spark.range(3000).selectExpr("id * 31 % 700 as l_orderkey", "id * 17 % 90 as l_partkey", "id % 4 as l_suppkey")
+    lines.unionByName(lines).write.parquet(f"{tmp_path}/lineitem.parquet")
+    for name, (a, b) in {"contains": ("l_orderkey", "l_partkey"), "supplied_by": ("l_partkey", "l_suppkey")}.items():
+        pairs = graph._pairs(spark, str(tmp_path))[name]
+        each = [[tuple(r[1:]) for r in rows] for rows in _by_file(pairs.select(F.input_file_name(), a, b))]
+        assert all(rows == sorted(rows) for rows in each)
+        assert sorted(sum(each, [])) == sorted({(r[a], r[b]) for r in lines.collect()})
+
+
+def _by_file(rows):
+    found = {}
+    for r in rows.collect():
+        found.setdefault(r[0], []).append(r)
+    return found.values()
