@@ -201,12 +201,16 @@ def path_order(prominence: Table | None, paths: DataFrame) -> tuple[DataFrame, l
     return paths, [F.col("score").desc(), F.col("depth"), F.coalesce("_prom", F.lit(0)).desc(), F.coalesce(F.element_at("labels", -1), F.lit("")), F.col("node"), F.col("trail")]
 
 
-def expand(paths: DataFrame, limit: int, prominence: Table | None = None) -> DataFrame:
-    """The best paths of a question: by seed and depth in path_order, dealt depth-major round robin; `position` from 1."""
+def expand(paths: DataFrame, limit: int, prominence: Table | None = None, shown: bool = False) -> DataFrame:
+    """The best paths of a question: by seed and depth in path_order, dealt depth-major round robin; `position` from 1.
+
+    If shown, each with the `prominence` of its end, so that who needs it later need not count edges again.
+    """
     rows, order = path_order(prominence, paths)
     rows = rows.withColumn("slot", F.row_number().over(Window.partitionBy("qid", "seed", "depth").orderBy(*order)))
     position = F.row_number().over(Window.partitionBy("qid").orderBy("slot", "depth", "seed"))
-    return rows.withColumn("position", position).where(F.col("position") <= limit).drop("_prom")
+    best = rows.withColumn("position", position).where(F.col("position") <= limit)
+    return best.withColumnRenamed("_prom", "prominence") if shown else best.drop("_prom")
 
 
 def connect(paths: DataFrame, ends: DataFrame, limit: int = 3) -> DataFrame:

@@ -161,6 +161,28 @@ def test_pairs_of_the_lines_are_distinct_and_in_order(spark, tmp_path):
         assert sorted(sum(each, [])) == sorted({(r[a], r[b]) for r in lines.collect()})
 
 
+def test_chains_look_among_all_edges_four_times(spark, monkeypatch):
+    from lorekeep.operators import graph as g
+    from lorekeep.queries import graph
+
+    looked = []
+    for name in ("adjacency", "degrees"):
+        real = getattr(g, name)
+        monkeypatch.setattr(g, name, lambda *a, _real=real, _name=name, **k: looked.append(_name) or _real(*a, **k))
+    rows = graph.graph_context(spark, "/root/testdata/sf0.001")
+    assert rows.count() and looked.count("adjacency") <= 2 and looked.count("degrees") <= 2
+
+
+def test_expanded_paths_show_the_prominence_they_were_ordered_by(spark):
+    from lorekeep.operators import graph
+
+    paths = spark.createDataFrame([(1, "s", 1, "a", 1.0, ["A"], 1), (1, "s", 1, "b", 1.0, ["B"], 2), (1, "s", 1, "c", 1.0, ["C"], 3)], "qid int, seed string, depth int, node string, score double, labels array<string>, trail int")
+    known = spark.createDataFrame([("a", 1), ("b", 5)], "id string, prominence long")
+    got = graph.expand(paths, 3, known, shown=True).orderBy("position").collect()
+    assert [(r.node, r.prominence) for r in got] == [("b", 5), ("a", 1), ("c", None)]
+    assert "prominence" not in graph.expand(paths, 3, known).columns
+
+
 def _by_file(rows):
     found = {}
     for r in rows.collect():
