@@ -183,6 +183,19 @@ def test_expanded_paths_show_the_prominence_they_were_ordered_by(spark):
     assert "prominence" not in graph.expand(paths, 3, known).columns
 
 
+def test_index_of_a_batch_keeps_its_terms_and_all_lengths(spark):
+    from lorekeep.operators import index
+
+    docs = spark.createDataFrame([(1, "a b a c"), (2, "c d"), (3, None), (4, "x y z a")], "doc_id long, text string")
+    asked = spark.createDataFrame([("a",), ("d",), ("a",)], "term string")
+    made = index.counted(docs, ["text"], "doc_id", asked)
+    assert sorted((r.doc_id, r.term, r.f, r.d) for r in made["postings"].collect()) == [(1, "a", 2, 4), (2, "d", 1, 2), (4, "a", 1, 4)]
+    assert tuple(made["stats"].first()) == (4, 2.5)
+    q = spark.createDataFrame([(1, ["a", "d"]), (2, ["d"])], "qid int, terms array<string>")
+    whole = index.bm25_of(index.counted(docs, ["text"], "doc_id"), q, 5, {"text": 1.0}, "doc_id")
+    assert sorted(map(tuple, index.bm25_of(made, q, 5, {"text": 1.0}, "doc_id").collect())) == sorted(map(tuple, whole.collect()))
+
+
 def _by_file(rows):
     found = {}
     for r in rows.collect():
