@@ -29,18 +29,24 @@ def rows_for(table: Table, keys: DataFrame) -> DataFrame:
     return table if isinstance(table, DataFrame) else table(keys)
 
 
-def adjacency(nodes: DataFrame, edges: DataFrame, predicates: DataFrame, taxonomy: bool = False, anchors: DataFrame | None = None, eid: Column | None = None) -> DataFrame:
+def adjacency(nodes: DataFrame, edges: DataFrame, predicates: DataFrame, taxonomy: bool = False, anchors: DataFrame | None = None, eid: Column | None = None, repeated: DataFrame | None = None) -> DataFrame:
     """(anchor, dir, p, other, other_label, other_kind, other_page, prio, eid): both directions of every edge.
 
-    With anchors (anchor) of edges at these only: the others are left where they
-    lie. `eid` numbers edges that have no number, after that.
+    With anchors (anchor) of edges at these only: the others, and nodes that none of these leads to,
+    are left where they lie. `eid` numbers edges that have no number, after that. `repeated` holds
+    further edges, each of which counts once however often it is stated: of those at the anchors
+    that is found out, not of all.
     """
-    e = edges if taxonomy else edges.where(~F.col("p").isin(TAXONOMY))
+    typed = lambda df: df if taxonomy else df.where(~F.col("p").isin(TAXONOMY))
     keys = None if anchors is None else Keys(anchors.select("anchor"))
-    at = lambda end: e if keys is None else among(e, end, keys)
+    met = lambda df, end: typed(df) if keys is None else among(typed(df), end, keys)
+    at = lambda end: met(edges, end) if repeated is None else met(edges, end).unionByName(met(repeated, end).distinct())
     numbered = lambda df: df if eid is None else df.withColumn("eid", eid)
     both = numbered(at("s")).select(F.col("s").alias("anchor"), F.lit("out").alias("dir"), "p", F.col("o").alias("other"), "eid").unionByName(numbered(at("o")).select(F.col("o").alias("anchor"), F.lit("in").alias("dir"), "p", F.col("s").alias("other"), "eid"))
     n = nodes.select(F.col("id").alias("other"), F.col("label").alias("other_label"), F.col("kind").alias("other_kind"), F.col("page_id").alias("other_page"))
+    if keys is not None:
+        both = kept(both)
+        n = among(n, "other", Keys(both.select("other")))
     prio = F.coalesce("priority", F.lit(DEFAULT_PRIORITY))
     return both.join(n, "other", "left").join(predicates.select("p", "priority"), "p", "left").withColumn("prio", prio).drop("priority")
 

@@ -196,6 +196,49 @@ def test_index_of_a_batch_keeps_its_terms_and_all_lengths(spark):
     assert sorted(map(tuple, index.bm25_of(made, q, 5, {"text": 1.0}, "doc_id").collect())) == sorted(map(tuple, whole.collect()))
 
 
+@pytest.fixture
+def star(spark, tmp_path):
+    """A folder of small star tables, in which most lines state the pairs of another."""
+    rows = lambda n, *cols: spark.range(n).selectExpr(*cols)
+    tables = {
+        "region": rows(2, "id as r_regionkey", "concat('R', id) as r_name"),
+        "nation": rows(5, "id as n_nationkey", "concat('N', id) as n_name", "id % 2 as n_regionkey"),
+        "customer": rows(90, "id as c_custkey", "concat('C', id) as c_name", "id % 5 as c_nationkey"),
+        "supplier": rows(7, "id as s_suppkey", "concat('S', id) as s_name", "id % 5 as s_nationkey"),
+        "part": rows(50, "id as p_partkey", "concat('P', id % 9) as p_name", "concat('T', id % 3) as p_type"),
+        "orders": rows(300, "id as o_orderkey", "id * 7 % 90 as o_custkey", "timestamp'2001-01-01' + make_interval(0, 0, 0, int(id % 40)) as o_orderdate"),
+        "lineitem": rows(2400, "id * 31 % 300 as l_orderkey", "id * 31 % 300 * 11 % 50 + id % 2 as l_partkey", "id % 4 as l_suppkey").where("l_partkey < 50"),
+    }
+    for name, df in tables.items():
+        df.write.parquet(f"{tmp_path}/{name}.parquet")
+    return tmp_path, list(tables)
+
+
+@pytest.mark.parametrize("name", ["context_facts", "facts", "neighbour_pages", "compare_pair"])
+def test_one_look_among_the_edges_makes_no_table_of_all_pairs(spark, star, monkeypatch, name):
+    from lorekeep.queries import graph
+
+    monkeypatch.setattr(graph, "_pairs", lambda *a: pytest.fail("the pairs of all lines were made"))
+    got, want = against_sql(spark, star[0], name, star[1])
+    assert got == want and got
+
+
+def test_edges_around_anchors_count_once_and_move_their_own_nodes_only(spark, monkeypatch):
+    from lorekeep.operators import graph
+
+    looked, real = [], graph.among
+    monkeypatch.setattr(graph, "among", lambda rows, key, keys: looked.append((key, keys.n)) or real(rows, key, keys))
+    nodes = spark.range(4000).selectExpr("concat('n', id) as id", "'entity' as kind", "concat('l', id) as label", "id as page_id")
+    once = spark.range(4000).selectExpr("concat('n', id) as s", "'to' as p", "concat('n', (id + 1) % 4000) as o")
+    lines = spark.range(8000).selectExpr("concat('n', id % 4000) as s", "'by' as p", "concat('n', (id + 2) % 4000) as o")
+    preds = spark.createDataFrame([("to", "leads to", None, 1)], "p string, label string, inverse string, priority int")
+    asked = spark.createDataFrame([("n7",), ("n900",)], "anchor string")
+    got = graph.adjacency(nodes, once, preds, anchors=asked, eid=F.xxhash64("s", "p", "o"), repeated=lines)
+    want = {(f"n{i}", d, p, f"n{i + k}", f"l{i + k}") for i in (7, 900) for d, p, k in (("out", "to", 1), ("in", "to", -1), ("out", "by", 2), ("in", "by", -2))}
+    assert sorted((r.anchor, r.dir, r.p, r.other, r.other_label) for r in got.collect()) == sorted(want)
+    assert ("other", 8) in looked
+
+
 def _by_file(rows):
     found = {}
     for r in rows.collect():
