@@ -67,8 +67,14 @@ def nodes_for_pages(nodes: DataFrame, pages: DataFrame) -> DataFrame:
     return pages.join(own, "page_id")
 
 
-def classes_of(classes: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, classes) for every one of ids (id), from rows (node, class); an empty list without any."""
+def classes_of(classes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
+    """(id, classes) for every one of ids (id), from rows (node, class); an empty list without any.
+
+    Without ids for every node of the rows; a node without a class then has a row without one, and
+    rows move once.
+    """
+    if ids is None:
+        return classes.select(F.col("node").alias("id"), "class").repartition("id").distinct().groupBy("id").agg(F.array_sort(F.collect_set("class")).alias("classes"))
     of = classes.join(ids.select(F.col("id").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("classes"))
     return ids.select("id").distinct().join(of.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("classes", F.array().cast("array<string>")).alias("classes"))
 

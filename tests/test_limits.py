@@ -239,6 +239,17 @@ def test_edges_around_anchors_count_once_and_move_their_own_nodes_only(spark, mo
     assert ("other", 8) in looked
 
 
+def test_classes_of_all_nodes_move_rows_once(spark):
+    from lorekeep.operators import graph
+
+    rows = spark.createDataFrame([("a", "X"), ("a", None), ("b", None), ("a", "W"), ("a", "X"), ("c", "X"), ("b", None)], "node string, class string")
+    made = graph.classes_of(rows)
+    some = graph.classes_of(rows.where("class is not null"), rows.select(F.col("node").alias("id")))
+    assert sorted((r.id, r.classes) for r in made.collect()) == sorted((r.id, r.classes) for r in some.collect()) == [("a", ["W", "X"]), ("b", []), ("c", ["X"])]
+    assert made._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1
+    assert not graph.classes_of(rows.where("false")).count()
+
+
 def _by_file(rows):
     found = {}
     for r in rows.collect():
