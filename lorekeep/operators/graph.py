@@ -98,8 +98,9 @@ def degrees(nodes: DataFrame, edges: DataFrame, ids: DataFrame | None = None) ->
     """(id, degree): typed edges in and out, 0 for isolated nodes; a loop counts twice. With ids (id) of these nodes only."""
     e = edges.where(~F.col("p").isin(TAXONOMY))
     keys = None if ids is None else Keys(ids.select("id"))
-    at = lambda end: e.select(F.col(end).alias("id")) if keys is None else among(e.select(F.col(end).alias("id")), "id", keys)
-    ends = at("s").unionAll(at("o")).groupBy("id").agg(F.count("*").alias("degree"))
+    at = lambda end: among(e.select(F.col(end).alias("id")), "id", keys)
+    met = e.select(F.explode(F.array("s", "o")).alias("id")) if keys is None else at("s").unionAll(at("o"))
+    ends = met.groupBy("id").agg(F.count("*").alias("degree"))
     own = nodes.select("id") if keys is None else among(nodes.select("id"), "id", keys)
     return own.join(ends, "id", "left").select("id", F.coalesce("degree", F.lit(0)).alias("degree"))
 

@@ -214,7 +214,7 @@ def star(spark, tmp_path):
     return tmp_path, list(tables)
 
 
-@pytest.mark.parametrize("name", ["context_facts", "facts", "neighbour_pages", "compare_pair"])
+@pytest.mark.parametrize("name", ["context_facts", "facts", "neighbour_pages", "compare_pair", "degrees", "prominence"])
 def test_one_look_among_the_edges_makes_no_table_of_all_pairs(spark, star, monkeypatch, name):
     from lorekeep.queries import graph
 
