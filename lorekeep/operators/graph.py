@@ -74,7 +74,7 @@ def classes_of(classes: DataFrame, ids: DataFrame | None = None) -> DataFrame:
     rows move once.
     """
     if ids is None:
-        return classes.select(F.col("node").alias("id"), "class").repartition("id").distinct().groupBy("id").agg(F.array_sort(F.collect_set("class")).alias("classes"))
+        return classes.select(F.col("node").alias("id"), "class").repartition("id").groupBy("id").agg(F.array_sort(F.collect_set("class")).alias("classes"))
     of = classes.join(ids.select(F.col("id").alias("node")).distinct(), "node", "left_semi").groupBy("node").agg(F.array_sort(F.collect_set("class")).alias("classes"))
     return ids.select("id").distinct().join(of.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("classes", F.array().cast("array<string>")).alias("classes"))
 
